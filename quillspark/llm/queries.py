@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, lm_scoring, pii, substring_dedup, toxicity
+from . import best_fit_packing, decontamination, jaccard_join, lm_scoring, pii, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,5 +45,5 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op6_decontamination, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_ngram_jaccard, op6_decontamination, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
