@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import best_fit_packing, decontamination, pii, queries, toxicity
+from quillspark.llm import best_fit_packing, decontamination, jaccard_join, pii, queries, toxicity
 from quillspark.llm.flow import cut
 
 
@@ -16,6 +16,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, toxicity.fit(docs, queries.table(spark, sf_dir, "labels"), queries.train_rows))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard_join.representatives(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with test items go."""
     return decontamination.without_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -31,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("benchmark_decontamination", drop_contaminated), ("pii", mask_personal_data), ("best_fit_packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("benchmark_decontamination", drop_contaminated), ("pii", mask_personal_data), ("best_fit_packing", pack)]
 #: Learnt scores decide in the first stage, which SQL can't express; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
