@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, jaccard_join, lm_scoring, pii, substring_dedup, toxicity
+from . import best_fit_packing, decontamination, fingerprints, jaccard_join, lm_scoring, pii, quality, substring_dedup, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +15,14 @@ def train_rows(doc_id):
     return toxicity.remainder(doc_id, 4) != 2
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -24,6 +31,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.packed(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +56,5 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_ngram_jaccard, op6_decontamination, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_pii, op4_ngram_jaccard, op5_token_output, op6_decontamination, op7_toxicity, op8_lm_scoring, op9_substring_dedup, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
