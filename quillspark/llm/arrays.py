@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 _P, _Q, _R = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xC2B2AE3D27D4EB4F)
 

@@ -60,7 +60,7 @@ def _seeds(k: int, seed: int, n: int):
         for batch_ in batches:
             one, two = batch_["k1"].to_numpy(zero_copy_only=False), batch_["k2"].to_numpy(zero_copy_only=False)
             g, a, b = [], [], []
-            for i, _, block in blocks(batch_["text"], SPACED, most=8 << 20):
+            for i, _, block in blocks(batch_["text"], SPACED):
                 h = block.hashes()
                 _, _, at = minimizers(block, h, k, seed)
                 if not len(at):
