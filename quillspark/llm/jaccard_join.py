@@ -2,10 +2,11 @@
 
 Documents of equal shingle sets are one node, so copies cost one. A document's shingles are ordered
 from rare to frequent by a counting sketch of fixed size over all documents (any one order is right, so the sketch
-need not be exact). Two sets of the wanted overlap share a shingle among the rarest of each: the
+need not be exact). Two sets of the wanted overlap share at least needed() of the rarest shingles of each: the
 short inverted lists. Members of a list are first compared with the list's smallest set of like size, as
-leaders, and, once links have made components, with members of other components only; no link is lost
-that would join two components.
+leaders, and, once links have made components, with members of other components only, if they are
+together in enough lists: first the likeliest pair of each, then what still lies in different
+components. No link is lost that would join two components.
 
 A comparison is a search: a leader is the query, the sets of a block of its candidates are indexed, and
 DivideSkip merges the short lists with a heap and probes the long ones by binary search, keeping
@@ -29,6 +30,7 @@ from .flow import cut, documents, n_buckets, pack, ranges_by_bucket, unpack
 
 WORDS, PERCENT, BLOCK = 5, 80, 400
 CELLS, PARTS = 1 << 22, 64
+_PAIRS = "leader long, other long, weight long, need long"
 
 
 def sets_of(block, n: int):
@@ -51,9 +53,9 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(keepdims=True) + U64(len(s))).view(np.int64)[0])
 
 
-def prefix(n: int, percent: int) -> int:
-    """How many of a set's n rarest shingles must hold one in common with any set that reaches the percentage."""
-    return n - -(-percent * n // 100) + 1
+def prefix(n, percent: int):
+    """How many of a set's n rarest shingles have inverted lists: what one common shingle needs, and a twentieth of n."""
+    return np.minimum(n, n + (-percent * n // 100) + 1 + n // 20)
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -61,6 +63,15 @@ def overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def needed(n, m, percent: int):
+    """In how many lists two sets of n and m elements are together at least if they reach the percentage.
+
+    Of n elements n - overlap aren't common, so the first of the common ones, as many as this, stand in both prefixes.
+    """
+    both = overlap(n, m, percent)
+    return np.minimum(prefix(n, percent) - (n - both), prefix(m, percent) - (m - both))
+
+
 def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> U64(42)).astype(np.int64)
 
@@ -107,7 +118,7 @@ def _postings(n: int, percent: int, buckets: int, levels):
                     if not len(s) or (node := node_of(s)) in done:
                         continue
                     done.add(node)
-                    rare, k = (level[_cells(s)].astype(U64) << U64(56)) | (s >> U64(8)), prefix(len(s), percent)
+                    rare, k = (level[_cells(s)].astype(U64) << U64(56)) | (s >> U64(8)), int(prefix(len(s), percent))
                     short = s[np.argpartition(rare, k - 1)[:k]] if k < len(s) else s
                     parts.append((short, np.full(k, node, np.int64), np.full(k, len(s), np.uint32)))
                 if parts:
@@ -121,7 +132,7 @@ def _postings(n: int, percent: int, buckets: int, levels):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The inverted lists of two nodes or more, each distinct list of members once, members by size."""
+    """The inverted lists of two nodes or more, each distinct list of members once with the number of its shingles, members by size."""
     parts = [unpack(x, U64, np.int64, np.uint32) for x in table["blob"].to_pylist()]
     h, node, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.lexsort((node, size, h))
@@ -133,8 +144,18 @@ def _lists(table: pa.Table) -> pa.Table:
     name = np.add.reduceat(mix(node.view(U64)), start)
     keep = end - start > 1
     start, end, name = start[keep], end[keep], name[keep]
-    _, first = np.unique(name, return_index=True)
-    return pa.table({"list": pa.array(name[first].view(np.int64), pa.int64()), "members": pa.array([pack(node[i:j], size[i:j]) for i, j in zip(start[first], end[first], strict=True)], pa.binary())})
+    _, first, many = np.unique(name, return_index=True, return_counts=True)
+    return pa.table({"list": pa.array(name[first].view(np.int64), pa.int64()), "weight": pa.array(many, pa.int64()), "members": pa.array([pack(node[i:j], size[i:j]) for i, j in zip(start[first], end[first], strict=True)], pa.binary())})
+
+
+def _pairs(one: list, two: list, weight: list, percent: int) -> pa.RecordBatch:
+    """Pairs of (node, size) rows with what they need, and the weights of their lists summed."""
+    a, b, w = np.concatenate(one), np.concatenate(two), np.concatenate(weight)
+    order = np.lexsort((b[:, 0], a[:, 0]))
+    a, b, w = a[order], b[order], w[order]
+    start = np.flatnonzero(np.r_[True, (a[1:, 0] != a[:-1, 0]) | (b[1:, 0] != b[:-1, 0])]) if len(a) else np.zeros(0, np.int64)
+    w = np.add.reduceat(w, start) if len(a) else w
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[start, 0], b[start, 0], w, needed(a[start, 1], b[start, 1], percent))], names=["leader", "other", "weight", "need"])
 
 
 def _led(percent: int):
@@ -142,18 +163,18 @@ def _led(percent: int):
 
     def run(batches):
         for b in batches:
-            one, two = [], []
-            for blob in b["members"].to_pylist():
+            one, two, weights = [], [], []
+            for blob, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
                 node, size = unpack(blob, np.int64, np.uint32)
-                i = 0
-                while i < len(node):
-                    j = max(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, "right")))
-                    one.append(np.full(j - i - 1, node[i]))
-                    two.append(node[i + 1 : j])
+                x, i = np.stack([node, size.astype(np.int64)], 1), 0
+                while i < len(x):
+                    j = max(i + 1, int(np.searchsorted(x[:, 1], x[i, 1] * 100 // percent, "right")))
+                    one.append(np.repeat(x[i : i + 1], j - i - 1, 0))
+                    two.append(x[i + 1 : j])
+                    weights.append(np.full(j - i - 1, weight))
                     i = j
             if one:
-                one, two = np.unique(np.stack([np.concatenate(one), np.concatenate(two)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["leader", "other"])
+                yield _pairs(one, two, weights, percent)
 
     return run
 
@@ -163,17 +184,21 @@ def _across(percent: int):
 
     def run(batches):
         for b in batches:
-            for members in b["members"].to_pylist():
+            one, two, weights, held = [], [], [], 0
+            for members, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
                 x = np.array(sorted((m["size"], m["node"], m["component"]) for m in members), np.int64)
-                end = np.searchsorted(x[:, 0], x[:, 0] * 100 // percent, "right")
-                one, two = [], []
+                end, flat = np.searchsorted(x[:, 0], x[:, 0] * 100 // percent, "right"), x[:, 1::-1]
                 for i in range(len(x)):
                     others = i + 1 + np.flatnonzero(x[i + 1 : end[i], 2] != x[i, 2])
-                    one.append(np.full(len(others), x[i, 1]))
-                    two.append(x[others, 1])
-                    if sum(map(len, one[-256:])) > 1 << 16 or i == len(x) - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one), pa.int64()), pa.array(np.concatenate(two), pa.int64())], names=["leader", "other"])
-                        one, two = [], []
+                    one.append(np.repeat(flat[i : i + 1], len(others), 0))
+                    two.append(flat[others])
+                    weights.append(np.full(len(others), weight))
+                    held += len(others)
+                    if held > 1 << 18:
+                        yield _pairs(one, two, weights, percent)
+                        one, two, weights, held = [], [], [], 0
+            if held:
+                yield _pairs(one, two, weights, percent)
 
     return run
 
@@ -250,34 +275,60 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     levels = spark.sparkContext.broadcast(np.minimum(4 * np.log2(count + 1.0), 255).astype(np.uint8))
     each = survey.filter("part < 0").select("doc_id", "key", "node", "size")
 
-    lists = rows.select("text").mapInArrow(_postings(words, percent, n_buckets(spark), levels), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists, "list long, members binary")
-    lists = cut(lists.dropDuplicates(["list"]))
-    pairs = cut(lists.select("members").mapInArrow(_led(percent), "leader long, other long").distinct())
+    lists = rows.select("text").mapInArrow(_postings(words, percent, n_buckets(spark), levels), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists, "list long, weight long, members binary")
+    lists = cut(lists.groupBy("list").agg(F.sum("weight").alias("weight"), F.first("members").alias("members")))
+    led = lists.mapInArrow(_led(percent), _PAIRS).groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
+    pairs = cut(led.filter("2 * weight >= need").select("leader", "other"))  # a list's leader may change, so half is enough
     members = _members(lists)
+    # Texts are read once: for leaders and led, and for all that would be compared if these pairs were the links.
+    rest = _rest(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
+    nodes = pairs.select(F.col("leader").alias("node")).union(pairs.select("other")).union(rest.select("leader")).union(rest.select("other")).distinct()
     of_node = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
-    needed = members.select("node").distinct().join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k"))
-    texts = cut(rows.join(needed, rows["doc_id"].eqNullSafe(F.col("d")) & (F.coalesce(rows["key"], F.lit(0)) == F.col("k"))).select("node", "text").dropDuplicates(["node"]))
+    needed_ = nodes.join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k"))
+    texts = cut(rows.join(needed_, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["key"] == F.col("k"))).select("node", "text").dropDuplicates(["node"]))
 
     links = cut(_verified(pairs, texts, words, percent))
     labels = components(links)
-    labelled = members.join(labels, "node", "left").select("list", "node", "size", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("node", "size", "component")).alias("members")).filter("low < high").select("members")
-    rest = cut(several.mapInArrow(_across(percent), "leader long, other long").distinct().join(pairs, ["leader", "other"], "left_anti"))
-    if not rest.isEmpty():
-        labels = components(links.union(_verified(rest, texts, words, percent)))
+    rest = cut(_rest(members, labels, percent).join(pairs, ["leader", "other"], "left_anti"))
+    for last in (False, False, True):
+        if rest.isEmpty():
+            break
+        tried = rest if last else _likeliest(rest)
+        links = cut(links.union(_verified(tried.select("leader", "other"), texts, words, percent)))
+        labels = components(links)
+        if not last:
+            one, two = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("leader", "other"))
+            apart = F.coalesce("of_leader", "leader") != F.coalesce("of_other", "other")
+            rest = cut(rest.join(tried, ["leader", "other"], "left_anti").join(one, "leader", "left").join(two, "other", "left").filter(apart).select(*rest.columns))
     least = of_node.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("one.doc_id").alias("least"))
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     return each.join(named, "node", "left").select("doc_id", "key", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _rest(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(leader, other) of all pairs in different components that are together in as many lists as links are."""
+    labelled = members.join(labels, "node", "left").select("list", "weight", "node", "size", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("list").agg(F.first("weight").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("node", "size", "component")).alias("members")).filter("low < high")
+    found = several.select("weight", "members").mapInArrow(_across(percent), _PAIRS)
+    return found.groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need")).filter("weight >= need")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each node the pair that is together in most lists for its need, as a leader and as another; its links may spare the rest."""
+    best = [pairs.groupBy(a).agg(F.max_by(b, F.struct(F.col("weight") / F.col("need"), b)).alias(b)).select("leader", "other") for a, b in (("leader", "other"), ("other", "leader"))]
+    return cut(best[0].union(best[1]).distinct())
+
+
 def _members(lists: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             parts = [unpack(x, np.int64, np.uint32) for x in b["members"].to_pylist()]
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["list"].to_numpy(), [len(p[0]) for p in parts]), pa.int64()), pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]).astype(np.int64))], names=["list", "node", "size"])
+                many = [len(p[0]) for p in parts]
+                cols = [np.repeat(b[c].to_numpy(), many) for c in ("list", "weight")] + [np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["list", "weight", "node", "size"])
 
-    return lists.mapInArrow(run, "list long, node long, size long")
+    return lists.mapInArrow(run, "list long, weight long, node long, size long")
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
