@@ -10,7 +10,7 @@ from ..operators import analytics as A
 from ..operators import checks as C
 from .tables import NOW, accesses, log, notes, read, vectors
 
-_TS = F.to_timestamp(F.lit(NOW))
+
 
 
 def activation_scores(spark, d):
@@ -21,7 +21,7 @@ def activation_scores(spark, d):
 def self_hot_stale(spark, d):
     """The hottest ten notes by activation from the last access only, and whether a week has passed."""
     x = accesses(spark, d).groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    age = A.seconds(_TS) - A.seconds(F.col("last"))
+    age = A.seconds(F.to_timestamp(F.lit(NOW))) - A.seconds(F.col("last"))
     x = x.select("id", "n", age.alias("age"), F.log(F.col("n") * F.pow(age / 3600, F.lit(-0.5))).alias("hot"))
     return x.orderBy(F.desc("hot"), "id").limit(10).select("id", "n", F.round("hot", 6).alias("hot"), (F.col("age") > 7 * 86400).alias("stale"), ago(F.col("age")).alias("ago"))
 

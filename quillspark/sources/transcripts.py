@@ -1,0 +1,28 @@
+"""Conversation transcripts in JSON lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMA = "type string, sessionId string, timestamp string, isSidechain boolean, message struct<role:string,content:string>, prUrl string, _corrupt string"
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Turns (session_id, ts, role, text); torn and unknown lines, and side chains, are left out."""
+    rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return rows.filter("type in ('user', 'assistant') and not coalesce(isSidechain, false)").select(F.col("sessionId").alias("session_id"), F.try_to_timestamp("timestamp").alias("ts"), F.col("message.role").alias("role"), F.col("message.content").alias("text"))
+
+
+def episodes(turns: DataFrame) -> DataFrame:
+    """One row for each session, its messages in order."""
+    return turns.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "role", "text"))), lambda x: F.concat_ws(": ", x["role"], x["text"])).alias("messages"))
+
+
+def write_redacted(events: DataFrame, path: str, tier: str = "anonymous") -> None:
+    """JSON lines of an event log: tier full as it is, pseudonymous with hashed users, anonymous also without payload."""
+    if tier != "full":
+        events = events.withColumn("user", F.sha2(F.col("user").cast("string"), 256))
+    if tier == "anonymous":
+        events = events.drop("props", "query_text", "event_data")
+    events.write.mode("overwrite").json(path)
