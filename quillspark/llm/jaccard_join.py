@@ -333,6 +333,6 @@ def _members(lists: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All columns of one document of each component, that of least doc_id; of repeated rows one."""
-    kept = near_duplicates(docs, words, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("d"), F.coalesce("key", F.lit(0)).alias("k")).distinct()
-    keyed = docs.withColumn("key__", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("d")) & (F.col("key__") == F.col("k"))).dropDuplicates(["d", "k"]).select(*docs.columns)
+    kept = near_duplicates(docs, words, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("rep_doc__"), F.col("key").alias("rep_key__")).distinct()
+    keyed = docs.withColumn("key__", F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("rep_doc__")) & (F.col("key__") == F.col("rep_key__"))).dropDuplicates(["rep_doc__", "rep_key__"]).select(*docs.columns)
