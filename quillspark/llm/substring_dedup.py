@@ -7,8 +7,9 @@ a window can only do so if its minimizer, the least hash among its runs of SEED
    once for each slice of texts, which finds the repeated edges and those where paths branch;
 3. these flags are joined back to the slices, where each maximal run of repeated edges is cut at the
    branches into nonbranching paths, and its source coordinates give the words to remove.
-An edge is held equal to another if two independent hashes (96 bits) of its words, taken at its
-coordinates, agree.
+An edge is held equal to another if two independent hashes (80 bits) of its words, taken at its
+coordinates, agree. The words beside an edge are compared by 15 bits: a branch missed so joins two paths
+into one, but no word is removed or kept for it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .flow import arrow, batch, cut, documents, n_buckets, pack, ranges_by_bucke
 
 K, SEED = 35, 12
 _OTHER = U64(0xA0761D6478BD642F)
-MANY = np.uint32(0xFFFFFFFF)
-EDGE = (U64, np.uint32, np.uint32, np.uint32, np.uint8)
+MANY = np.uint16(0xFFFF)
+EDGE = (U64, np.uint16, np.uint16, np.uint16, np.uint8)  # two hashes, left and right word, 1 or 2 for more
 WORK = "slice long,bucket int,blob binary,at int,doc_id long,n_words long,kept string,text string"
 RESULT = "doc_id long,n_words long,n_removed long,kept_sha256 string,n_paths long"
 
@@ -101,9 +102,9 @@ def _twice(table: pa.Table) -> pa.Table:
 def edges(b: Block, at: np.ndarray, k: int):
     """Sorted distinct edges at the positions (two hashes, left and right word, 1 or 2 for more), and which one each position has."""
     h = b.hashes()
-    one, two = windows(h, k)[at], (windows(b.hashes(_OTHER), k)[at] >> U64(32)).astype(np.uint32)
-    short = (h >> U64(33)).astype(np.uint32) + np.uint32(2)
-    left, right = np.ones(len(at), np.uint32), np.zeros(len(at), np.uint32)
+    one, two = windows(h, k)[at], (windows(b.hashes(_OTHER), k)[at] >> U64(48)).astype(np.uint16)
+    short = (h >> U64(49)).astype(np.uint16) + np.uint16(2)
+    left, right = np.ones(len(at), np.uint16), np.zeros(len(at), np.uint16)
     first, last = b.first[b.text[at]], b.first[b.text[at] + 1]
     has = at > first
     left[has] = short[at[has] - 1]
