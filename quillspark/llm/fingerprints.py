@@ -88,12 +88,11 @@ def vectors(rows: DataFrame, keys: list[str], texts: list[str], meta: list[Colum
     parts.append(F.array(*[_code(end + i, x) for i, x in enumerate([F.lit(1), *meta])]))
     sums = rows.select(*keys, F.explode(F.concat(*parts)).alias("code")).groupBy(*keys, F.shiftright("code", 52).alias("lane")).agg(F.sum(F.col("code").bitwiseAND(_VALUE) - 1).alias("v"))
     dense = sums.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("lane", "v"))), lambda x: x["v"]).alias("all"))
-    copies = F.get("all", F.lit(end))
-    one = dense.withColumn("all", F.when(copies > 1, F.expr(f"transform(all, v -> v div get(all, {end}))")).otherwise(F.col("all")))
+    one = dense.withColumn("copies", F.get("all", F.lit(end))).withColumn("all", F.when(F.col("copies") > 1, F.expr("transform(all, v -> v div copies)")).otherwise(F.col("all")))
     out = []
     for k, t in enumerate(texts):
         out += [F.transform(F.slice("all", k * wide + 1, LANES), wrapped).alias(f"{t}_lanes"), F.slice("all", k * wide + LANES + 1, STRONG).alias(f"{t}_strong")]
-    return one.select(*keys, copies.alias("copies"), *out, *[F.get("all", F.lit(end + 1 + i)).alias(f"meta{i}") for i in range(len(meta))])
+    return one.select(*keys, "copies", *out, *[F.get("all", F.lit(end + 1 + i)).alias(f"meta{i}") for i in range(len(meta))])
 
 
 def successors(ids: DataFrame) -> DataFrame:
