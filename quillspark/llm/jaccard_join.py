@@ -99,14 +99,14 @@ def _surveyed(n: int):
 
 
 def _summed(batches):
-    """Sums of the counts that came to this task, a part at a time."""
+    """The cells' levels, four for each power of two of the sums of all partitions' counts; a part's counts all come to one task."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist(), strict=True):
             x = np.frombuffer(blob, np.uint32).astype(np.uint64)
             total[part] = total[part] + x if part in total else x
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(4 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
 
 
 def _postings(n: int, percent: int, buckets: int, levels):
@@ -164,9 +164,8 @@ def _led(percent: int):
     def run(batches):
         for b in batches:
             one, two, weights = [], [], []
-            for blob, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
-                node, size = unpack(blob, np.int64, np.uint32)
-                x, i = np.stack([node, size.astype(np.int64)], 1), 0
+            for members, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
+                x, i = np.array([(m["node"], m["size"]) for m in members], np.int64), 0
                 while i < len(x):
                     j = max(i + 1, int(np.searchsorted(x[:, 1], x[i, 1] * 100 // percent, "right")))
                     one.append(np.repeat(x[i : i + 1], j - i - 1, 0))
@@ -268,18 +267,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     rows = documents(docs).withColumn("key", F.xxhash64("text"))
     survey = cut(rows.mapInArrow(_surveyed(words), "part int, blob binary, doc_id long, key long, node long, size long"))
-    total = survey.filter("part >= 0").select("part", "blob").repartition("part").mapInArrow(_summed, "part int, blob binary").collect()  # CELLS counts
-    count = np.zeros(CELLS, np.uint64)
+    total = survey.filter("part >= 0").select("part", "blob").repartition("part").mapInArrow(_summed, "part int, blob binary").collect()  # a byte for each of CELLS
+    level = np.zeros(CELLS, np.uint8)
     for r in total:
-        count[r.part * (CELLS // PARTS) : (r.part + 1) * (CELLS // PARTS)] += np.frombuffer(r.blob, np.uint64)
-    levels = spark.sparkContext.broadcast(np.minimum(4 * np.log2(count + 1.0), 255).astype(np.uint8))
+        level[r.part * (CELLS // PARTS) : (r.part + 1) * (CELLS // PARTS)] = np.frombuffer(r.blob, np.uint8)
+    levels = spark.sparkContext.broadcast(level)
     each = survey.filter("part < 0").select("doc_id", "key", "node", "size")
 
     lists = rows.select("text").mapInArrow(_postings(words, percent, n_buckets(spark), levels), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists, "list long, weight long, members binary")
     lists = cut(lists.groupBy("list").agg(F.sum("weight").alias("weight"), F.first("members").alias("members")))
-    led = lists.mapInArrow(_led(percent), _PAIRS).groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
+    members = cut(_hopeful(_members(lists)))
+    alive = members.groupBy("list").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("size", "node"))).alias("members")).filter(F.size("members") > 1)
+    led = alive.select("weight", "members").mapInArrow(_led(percent), _PAIRS).groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
     pairs = cut(led.filter("2 * weight >= need").select("leader", "other"))  # a list's leader may change, so half is enough
-    members = _members(lists)
     # Texts are read once: for leaders and led, and for all that would be compared if these pairs were the links.
     rest = _rest(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
     nodes = pairs.select(F.col("leader").alias("node")).union(pairs.select("other")).union(rest.select("leader")).union(rest.select("other")).distinct()
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = cut(_verified(pairs, texts, words, percent))
     labels = components(links)
     rest = cut(_rest(members, labels, percent).join(pairs, ["leader", "other"], "left_anti"))
-    for last in (False, False, True):
+    for last in (False, True):
         if rest.isEmpty():
             break
         tried = rest if last else _likeliest(rest)
@@ -319,6 +319,12 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return cut(best[0].union(best[1]).distinct())
 
 
+def _hopeful(members: DataFrame) -> DataFrame:
+    """Members that are in as many lists as any pair of theirs needs: a twenty-fifth of their size, since the other may be a fifth smaller."""
+    node = members.groupBy(F.col("node").alias("n")).agg(F.sum("weight").alias("w"), F.max("size").alias("s")).filter("w >= floor(s / 25) + 1").select("n")
+    return members.join(node, F.col("node") == F.col("n"), "left_semi")
+
+
 def _members(lists: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
