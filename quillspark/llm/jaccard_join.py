@@ -3,8 +3,8 @@
 Documents of equal shingle sets are one node, so copies cost one. A document's shingles are ordered
 from rare to frequent by a counting sketch of fixed size over all documents (any one order is right, so the sketch
 need not be exact). Two sets of the wanted overlap share at least needed() of the rarest shingles of each: the
-short inverted lists. Members of a list are first compared with the list's smallest set of like size, as
-leaders, and, once links have made components, with members of other components only, if they are
+short inverted lists. Members of a list are first compared with the one of like size that shares most, as
+leader, and, once links have made components, with members of other components only, if they are
 together in enough lists: first the likeliest pair of each, then what still lies in different
 components. No link is lost that would join two components.
 
@@ -159,19 +159,20 @@ def _pairs(one: list, two: list, weight: list, percent: int) -> pa.RecordBatch:
 
 
 def _led(percent: int):
-    """(leader, other) of every list: the smallest set leads until one is too large to reach the overlap with it."""
+    """(leader, other) of every list: the member that shares most leads all of like size, then the first of the rest; members come so ordered."""
 
     def run(batches):
         for b in batches:
             one, two, weights = [], [], []
             for members, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
-                x, i = np.array([(m["node"], m["size"]) for m in members], np.int64), 0
-                while i < len(x):
-                    j = max(i + 1, int(np.searchsorted(x[:, 1], x[i, 1] * 100 // percent, "right")))
-                    one.append(np.repeat(x[i : i + 1], j - i - 1, 0))
-                    two.append(x[i + 1 : j])
-                    weights.append(np.full(j - i - 1, weight))
-                    i = j
+                x = np.array([(m["node"], m["size"]) for m in members], np.int64)
+                while len(x):
+                    near = 100 * np.minimum(x[:, 1], x[0, 1]) >= percent * np.maximum(x[:, 1], x[0, 1])
+                    led = x[near][1:]
+                    one.append(np.repeat(x[:1], len(led), 0))
+                    two.append(led)
+                    weights.append(np.full(len(led), weight))
+                    x = x[~near]
             if one:
                 yield _pairs(one, two, weights, percent)
 
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     lists = rows.select("text").mapInArrow(_postings(words, percent, n_buckets(spark), levels), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists, "list long, weight long, members binary")
     lists = cut(lists.groupBy("list").agg(F.sum("weight").alias("weight"), F.first("members").alias("members")))
     members = cut(_hopeful(_members(lists)))
-    alive = members.groupBy("list").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("size", "node"))).alias("members")).filter(F.size("members") > 1)
+    alive = members.groupBy("list").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("alone", "node", "size"))).alias("members")).filter(F.size("members") > 1)
     led = alive.select("weight", "members").mapInArrow(_led(percent), _PAIRS).groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
     pairs = cut(led.filter("2 * weight >= need").select("leader", "other"))  # a list's leader may change, so half is enough
     # Texts are read once: for leaders and led, and for all that would be compared if these pairs were the links.
@@ -289,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     links = cut(_verified(pairs, texts, words, percent))
     labels = components(links)
-    rest = cut(_rest(members, labels, percent).join(pairs, ["leader", "other"], "left_anti"))
+    rest = cut(_rest(members, labels, percent).join(pairs.union(pairs.select("other", "leader")), ["leader", "other"], "left_anti"))
     for last in (False, True):
         if rest.isEmpty():
             break
@@ -320,9 +321,12 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 
 def _hopeful(members: DataFrame) -> DataFrame:
-    """Members that are in as many lists as any pair of theirs needs: a twenty-fifth of their size, since the other may be a fifth smaller."""
-    node = members.groupBy(F.col("node").alias("n")).agg(F.sum("weight").alias("w"), F.max("size").alias("s")).filter("w >= floor(s / 25) + 1").select("n")
-    return members.join(node, F.col("node") == F.col("n"), "left_semi")
+    """Members that are in as many lists as any pair of theirs needs: a twenty-fifth of their size, since the other may be a fifth smaller.
+
+    alone: the lower, the more of its shingles others have, as the source of copies that differ from each other.
+    """
+    node = members.groupBy(F.col("node").alias("n")).agg(F.sum("weight").alias("w"), F.max("size").alias("s")).filter("w >= floor(s / 25) + 1").select("n", (-F.col("w") / F.col("s")).alias("alone"))
+    return members.join(node, F.col("node") == F.col("n")).drop("n")
 
 
 def _members(lists: DataFrame) -> DataFrame:
