@@ -180,16 +180,18 @@ def _led(percent: int):
 
 
 def _across(percent: int):
-    """Pairs of like size in different components, of lists that hold several; members come as (size, node, component)."""
+    """Pairs of like size in different components, of lists that hold several, if either is in as many such lists as the pair needs."""
 
     def run(batches):
         for b in batches:
             one, two, weights, held = [], [], [], 0
             for members, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
-                x = np.array(sorted((m["size"], m["node"], m["component"]) for m in members), np.int64)
+                x = np.array(sorted((m["size"], m["node"], m["component"], m["w"]) for m in members), np.int64)
                 end, flat = np.searchsorted(x[:, 0], x[:, 0] * 100 // percent, "right"), x[:, 1::-1]
                 for i in range(len(x)):
-                    others = i + 1 + np.flatnonzero(x[i + 1 : end[i], 2] != x[i, 2])
+                    later = x[i + 1 : end[i]]
+                    enough = needed(x[i, 0], later[:, 0], percent) <= np.minimum(x[i, 3], later[:, 3])
+                    others = i + 1 + np.flatnonzero((later[:, 2] != x[i, 2]) & enough)
                     one.append(np.repeat(flat[i : i + 1], len(others), 0))
                     two.append(flat[others])
                     weights.append(np.full(len(others), weight))
@@ -309,7 +311,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def _rest(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(leader, other) of all pairs in different components that are together in as many lists as links are."""
     labelled = members.join(labels, "node", "left").select("list", "weight", "node", "size", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("list").agg(F.first("weight").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("node", "size", "component")).alias("members")).filter("low < high")
+    apart = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("list")
+    left = _hopeful(labelled.join(apart, "list", "left_semi"))
+    several = left.groupBy("list").agg(F.first("weight").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("node", "size", "component", "w")).alias("members")).filter("low < high")
     found = several.select("weight", "members").mapInArrow(_across(percent), _PAIRS)
     return found.groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need")).filter("weight >= need")
 
@@ -323,9 +327,9 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 def _hopeful(members: DataFrame) -> DataFrame:
     """Members that are in as many lists as any pair of theirs needs: a twenty-fifth of their size, since the other may be a fifth smaller.
 
-    alone: the lower, the more of its shingles others have, as the source of copies that differ from each other.
+    w: in how many. alone: the lower, the more of its shingles others have, as the source of copies that differ from each other.
     """
-    node = members.groupBy(F.col("node").alias("n")).agg(F.sum("weight").alias("w"), F.max("size").alias("s")).filter("w >= floor(s / 25) + 1").select("n", (-F.col("w") / F.col("s")).alias("alone"))
+    node = members.groupBy(F.col("node").alias("n")).agg(F.sum("weight").alias("w"), F.max("size").alias("s")).filter("w >= floor(s / 25) + 1").select("n", "w", (-F.col("w") / F.col("s")).alias("alone"))
     return members.join(node, F.col("node") == F.col("n")).drop("n")
 
 
