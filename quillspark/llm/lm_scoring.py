@@ -1,14 +1,16 @@
 """Language-model scores: a log-bilinear model over frequent words, trained by noise-contrastive estimation.
 
-The TOP most frequent words have outputs of their own; other words of the head (HEAD words whose counts
-are sent to executors) share an output with those of like frequency, and all others share the last.
+The most frequent words have outputs of their own, OWN times the fourth root of the vocabulary, so that the
+normalisers of all pairs of outputs grow less than the vocabulary. Other words of the head (HEAD words whose counts are sent to
+executors) share an output with those of like frequency, and all others share the last.
 Within a shared output a word has the part (c + 1) of its class, where one unseen word counts 1, so that
 the probabilities of all words sum to 1. The two words before predict the output; since contexts are pairs
 of outputs, the normaliser of each context is computed once, by batched matrix products.
 
 Counts, classes, noise and base scores come from all training tokens and are gathered by hashed
 buckets; counts of words outside the head never leave their bucket, which returns sums for each text.
-The network's weights are fitted to EXAMPLES positions, spread evenly by hash over all training text.
+The network's weights are fitted to all training positions: in each of EPOCHS rounds every partition goes on
+from the common weights over its own positions, and the weights it ends with count by its positions in their mean.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .arrays import SPACED, U64, blocks, mix
 from .flow import arrow, batch, cut, documents, pack, ranges_by_bucket, unpack
 
-TOP, HEAD, EXAMPLES = 1000, 1 << 17, 400_000
+OWN, HEAD = 42, 1 << 17
 DIM, NOISE, EPOCHS, RATE = 32, 128, 2, 0.15
 END = U64(0x5E0F5E0F5E0F5E0F)  # the end of a text, as a token
 RESULT = "doc_id long,held_out boolean,n_tokens long,n_known long,train_tokens long,base_score double,score double"
@@ -127,15 +129,16 @@ class Model:
 
 
 def classes(gathered: list) -> Model:
-    """The head's words by falling count: the first TOP alone, then by powers of two of their counts, then all the rest."""
+    """The head's words by falling count: the first alone, then by powers of two of their counts, then all the rest."""
     parts = [unpack(r.top, U64, np.int64) for r in gathered]
     u = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
     c = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
     n, v = sum(r.n for r in gathered), sum(r.v for r in gathered)
+    top = int(np.ceil(OWN * v**0.25))
     order = np.lexsort((u, -c))[:HEAD]
     bins = np.floor(np.log2(np.maximum(c[order], 1))).astype(int)
     output = np.arange(len(order))
-    output[TOP:] = TOP + np.unique(-bins[TOP:], return_inverse=True)[1] if len(order) > TOP else output[TOP:]
+    output[top:] = top + np.unique(-bins[top:], return_inverse=True)[1] if len(order) > top else output[top:]
     k = int(output.max(initial=-1)) + 2
     mass = np.bincount(output, c[order] + 1, k)
     mass[-1] = (n - c[order].sum()) + (v - len(order)) + 1
@@ -143,70 +146,144 @@ def classes(gathered: list) -> Model:
     return Model(u[order][at], output[at], np.log10(c[order][at] + 1.0), np.log10(mass), n, v)
 
 
-def sampled(docs: DataFrame, model: Model, most: int = EXAMPLES) -> np.ndarray:
-    """(two before, one before, output) at the training positions whose hash falls under most / N; about `most` rows at any size."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    bound = U64(min(2**64 - 1, int(2**64 * most / max(model.n, most))))
+class Network:
+    """The weights, and their sums of squared gradients, as noise-contrastive estimation with Adagrad changes them."""
 
-    def run(batches):
-        for b in batches:
-            train = ~np.array(b["held_out"].to_pylist(), bool)
-            key = np.array([x or 0 for x in b["doc_id"].to_pylist()], np.int64).astype(U64)
-            for i, j, block in blocks(b["text"], SPACED, True):
-                t, first = tokens(block)
-                size = np.diff(first)
+    def __init__(self, model: Model, seed: int = 11):
+        k, rng = model.outputs, np.random.default_rng(seed)
+        self.share = 10**model.log_class
+        self.share /= self.share.sum()
+        r, q, b = rng.normal(0, 0.1, (k + 1, DIM)).astype(np.float32), rng.normal(0, 0.1, (k, DIM)).astype(np.float32), np.log(self.share).astype(np.float32)
+        self.params = [r, q, b, *(np.eye(DIM, dtype=np.float32) * s for s in (0.7, 0.3))]
+        self.past = [np.full_like(p, 1e-2) for p in self.params]
+        self.log_noise = (np.log(NOISE) + np.log(self.share)).astype(np.float32)
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.params, *self.past)])
+
+    def become(self, state: np.ndarray) -> None:
+        at = 0
+        for x in (*self.params, *self.past):
+            x[...] = state[at : at + x.size].reshape(x.shape)
+            at += x.size
+
+    def learn(self, rows: np.ndarray, rng: np.random.Generator, size: int = 512) -> None:
+        """One pass over rows (two before, one before, output) in random order; the noise is the outputs' share of all training tokens."""
+        noises = np.searchsorted(np.cumsum(self.share)[:-1], rng.random((-(-len(rows) // size), NOISE)), "right")
+        order = rng.permutation(len(rows))
+        for i, noise in zip(range(0, len(rows), size), noises, strict=True):
+            self._step(*rows[order[i : i + size]].T, noise)
+
+    def _step(self, two: np.ndarray, one: np.ndarray, out: np.ndarray, noise: np.ndarray) -> None:
+        (r, q, b, near, far), m = self.params, np.float32(len(out))
+        x, y, z, w = r[one], r[two], q[out], q[noise]
+        h = x @ near + y @ far
+        gain = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, z) + b[out] - self.log_noise[out])) / m  # of true words
+        loss = (h * np.float32(0.5)) @ w.T  # of noise words: the logistic function by tanh, in place
+        loss += (b[noise] - self.log_noise[noise]) * np.float32(0.5)
+        np.tanh(loss, out=loss)
+        loss += 1
+        loss *= -0.5 / m
+        gh = gain[:, None] * z + loss @ w
+        before = _summed(np.concatenate([one, two]), np.concatenate([gh @ near.T, gh @ far.T]))
+        word, g = _summed(np.concatenate([out, noise]), np.concatenate([np.c_[gain[:, None] * h, gain], np.c_[loss.T @ h, loss.sum(0)]]))
+        for p, at, g in ((0, *before), (1, word, g[:, :-1]), (2, word, g[:, -1]), (3, slice(None), x.T @ gh), (4, slice(None), y.T @ gh)):
+            self.past[p][at] += g * g
+            self.params[p][at] += RATE * g / np.sqrt(self.past[p][at])
+
+
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def positions(batches, model: Model, most: int | None = None):
+    """Blocks of (two before, one before, output) at the training positions: all, or the share of them whose hash falls under most / N."""
+    bound = U64(2**64 - 1 if most is None else min(2**64 - 1, int(2**64 * most / max(model.n, most))))
+    for b in batches:
+        train = ~np.array(b["held_out"].to_pylist(), bool)
+        key = np.array([x or 0 for x in b["doc_id"].to_pylist()], np.int64).astype(U64)
+        for i, j, block in blocks(b["text"], SPACED, True):
+            t, first = tokens(block)
+            size = np.diff(first)
+            pick = np.repeat(train[i:j], size)
+            if most is not None:
                 place = np.arange(len(t)) - np.repeat(first[:-1], size)
-                pick = (mix(mix(np.repeat(key[i:j], size)) + place.astype(U64)) <= bound) & np.repeat(train[i:j], size)
-                if pick.any():
-                    out, _ = held.value.find(t)
-                    one, two = held.value.contexts(out, first)
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(*(x[pick].astype(np.int16) for x in (two, one, out)))], pa.binary())], names=["blob"])
+                pick &= mix(mix(np.repeat(key[i:j], size)) + place.astype(U64)) <= bound
+            if pick.any():
+                out, _ = model.find(t)
+                one, two = model.contexts(out, first)
+                yield np.stack([x[pick] for x in (two, one, out)], 1).astype(np.int32)
+
 
-    got = [np.stack(unpack(r.blob, *[np.int16] * 3), 1) for r in docs.mapInArrow(run, "blob binary").collect()]
-    rows = np.concatenate(got) if got else np.zeros((0, 3), np.int16)
-    return rows[np.lexsort(rows.T)].astype(np.int64)
+def fitted(docs: DataFrame, model: Model, n: int, most: int | None = None, seed: int = 11) -> Model:
+    """The model with the network fitted to the training positions of docs; `most` bounds them only where a caller asks for it."""
+    net = Network(model, seed)
+    bare, cuts = docs.sparkSession.sparkContext.broadcast(model), np.linspace(0, len(net.state()), n + 1).astype(int)
+
+    def summed(table):
+        table = table.sort_by("part")  # sums in one order
+        weight = table["n"].to_numpy()
+        total = sum(np.frombuffer(x, np.float32) * np.float64(w) for x, w in zip(table["blob"].to_pylist(), weight, strict=True))
+        return pa.table({"slice": table["slice"][:1].combine_chunks(), "blob": pa.array([pack((total / weight.sum()).astype(np.float32))], pa.binary())})
+
+    for epoch in range(EPOCHS):
+        start = docs.sparkSession.sparkContext.broadcast(net.state())
+
+        def run(batches, start=start, epoch=epoch):
+            part, seen = TaskContext.get().partitionId(), 0
+            own, rng = Network(bare.value, seed), np.random.default_rng((seed, epoch, part))
+            own.become(start.value)
+            for rows in positions(batches, bare.value, most):
+                own.learn(rows, rng)
+                seen += len(rows)
+            if seen:
+                state = own.state()
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "n": pa.array([seen] * n), "blob": pa.array([pack(state[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+
+        means = docs.mapInArrow(run, "slice int, part int, n long, blob binary").groupBy("slice").applyInArrow(summed, "slice int, blob binary").collect()
+        if means:
+            net.become(np.concatenate([np.frombuffer(r.blob, np.float32) for r in sorted(means, key=lambda r: r.slice)]))
+    return finished(model, net, docs.sparkSession, n)
 
 
 def train(model: Model, rows: np.ndarray, seed: int = 11) -> Model:
-    """Noise-contrastive estimation with Adagrad; the noise is the outputs' share of all training tokens."""
-    k, rng = model.outputs, np.random.default_rng(seed)
-    share = 10**model.log_class
-    share /= share.sum()
-    r, q, b = rng.normal(0, 0.1, (k + 1, DIM)).astype(np.float32), rng.normal(0, 0.1, (k, DIM)).astype(np.float32), np.log(share).astype(np.float32)
-    c = [np.eye(DIM, dtype=np.float32) * s for s in (0.7, 0.3)]
-    params = [r, q, b, *c]
-    past = [np.full_like(p, 1e-2) for p in params]
-    log_noise = (np.log(NOISE) + np.log(share)).astype(np.float32)
+    """The model fitted to rows (two before, one before, output) that are here."""
+    net, rng = Network(model, seed), np.random.default_rng(seed)
     for _ in range(EPOCHS if len(rows) else 0):
-        order = rng.permutation(len(rows))
-        for i in range(0, len(rows), 512):
-            two, one, out = rows[order[i : i + 512]].T
-            noise, m = rng.choice(k, NOISE, p=share), len(out)
-            h = r[one] @ c[0] + r[two] @ c[1]
-            gain = 1 / (1 + np.exp((h * q[out]).sum(1) + b[out] - log_noise[out]))  # of true words
-            loss = -1 / (1 + np.exp(-(h @ q[noise].T + b[noise] - log_noise[noise])))  # of noise words
-            gh = gain[:, None] * q[out] + loss @ q[noise]
-            grads = [np.zeros_like(p) for p in params]
-            np.add.at(grads[1], out, gain[:, None] * h)
-            np.add.at(grads[1], noise, loss.T @ h)
-            np.add.at(grads[2], out, gain)
-            np.add.at(grads[2], noise, loss.sum(0))
-            np.add.at(grads[0], one, gh @ c[0].T)
-            np.add.at(grads[0], two, gh @ c[1].T)
-            grads[3][:], grads[4][:] = r[one].T @ gh, r[two].T @ gh
-            for p, g, a in zip(params, grads, past, strict=True):
-                g /= m
-                a += g * g
-                p += RATE * g / np.sqrt(a)
-    model.near, model.far, model.weight, model.bias = r @ c[0], r @ c[1], q, b
-    model.norm = np.empty((k + 1) ** 2, np.float32)
-    for two in range(k + 1):
-        x = (model.near + model.far[two]) @ q.T + b
-        top = x.max(1, keepdims=True)
-        model.norm[two * (k + 1) : (two + 1) * (k + 1)] = np.log(np.exp(x - top).sum(1)) + top[:, 0]
+        net.learn(rows, rng)
+    return finished(model, net)
+
+
+def finished(model: Model, net: Network, spark=None, n: int = 1) -> Model:
+    """The model with the network's weights and each context's normaliser, computed by executors where a session is given."""
+    (r, q, b, near, far), k = net.params, model.outputs
+    model.near, model.far, model.weight, model.bias = r @ near, r @ far, q, b
+    if spark is None:
+        model.norm = np.concatenate([normaliser(model, two) for two in range(k + 1)])
+        return model
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for x in batches:
+            for two in x["id"].to_pylist():
+                yield pa.RecordBatch.from_pydict({"two": pa.array([two], pa.int64()), "blob": pa.array([pack(normaliser(held.value, two))], pa.binary())})
+
+    rows = spark.range(0, k + 1, 1, n).mapInArrow(run, "two long, blob binary").collect()
+    model.norm = np.concatenate([np.frombuffer(x.blob, np.float32) for x in sorted(rows, key=lambda x: x.two)])
     return model
 
 
+def normaliser(model: Model, two: int) -> np.ndarray:
+    """Log of the normaliser of every context with this output two places before."""
+    x = (model.near + model.far[two]) @ model.weight.T + model.bias
+    top = x.max(1, keepdims=True)
+    return (np.log(np.exp(x - top).sum(1)) + top[:, 0]).astype(np.float32)
+
+
 def scored(docs: DataFrame, model: Model, n: int) -> DataFrame:
     """A row for each text (bucket -1), and for each slice of texts and bucket the words outside the head with their texts."""
     held, schema = docs.sparkSession.sparkContext.broadcast(model), arrow(SCORED)
@@ -252,12 +329,12 @@ def _looked_up(table: pa.Table) -> pa.Table:
     return pa.table({"slice": slices, "blob": pa.array([pack((texts[a:b] & 0xFFFFFFFF).astype(np.uint32), sums[a:b], known[a:b]) for a, b in zip(edge, edge[1:], strict=False)], pa.binary())})
 
 
-def score(docs: DataFrame, by: int = 7, held_out: int = 2, examples: int = EXAMPLES) -> DataFrame:
+def score(docs: DataFrame, by: int = 7, held_out: int = 2, examples: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Null texts are empty: their end is their one token. Repeated rows count as often as they stand,
     and give a row each; a null doc_id counts as the empty string for the fold. Without training rows
-    every word is unknown.
+    every word is unknown. `examples` bounds the positions the network learns from; by default it learns from all.
     """
     from .toxicity import remainder
 
@@ -265,7 +342,7 @@ def score(docs: DataFrame, by: int = 7, held_out: int = 2, examples: int = EXAMP
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents(docs).withColumn("held_out", remainder(F.col("doc_id"), by) == held_out)
     model = classes(counted(rows, n).collect())  # a row for each bucket, HEAD words in all
-    model = train(model, sampled(rows, model, examples))
+    model = fitted(rows, model, n, examples)
     found = cut(scored(rows, model, n))
     back = found.filter("bucket >= 0").groupBy("bucket").applyInArrow(_looked_up, "slice long, blob binary")
     total, schema = float(np.log10(model.n + model.v + 1)), arrow(RESULT)

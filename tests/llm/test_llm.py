@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, namedtuple
 
 import numpy as np
 import pytest
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import best_fit_packing, decontamination, fingerprints, jaccard_join, lm_scoring, pii, quality, substring_dedup, token_output, toxicity
 
+Counts = namedtuple("Counts", "n v top")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, slice long, node long, d long, k long, held_out string"
 
 
@@ -271,3 +272,23 @@ def test_empty_tables(spark):
         substring_dedup.remove_repeats(docs), best_fit_packing.pack_documents(docs), token_output.packed(docs), fingerprints.compared(docs), quality.classify(docs), jaccard_join.representatives(docs),
     ):
         assert df.collect() == []
+
+
+def test_language_model_learns_from_every_position_and_outputs_grow():
+    r = random.Random(3)
+    texts = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(200))) for i in range(30)]
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in texts], "text": [t for _, t in texts], "held_out": [d % 7 == 2 for d, _ in texts]})
+    u = np.unique(np.concatenate([lm_scoring.tokens(b)[0] for _, _, b in lm_scoring.blocks(part["text"], lm_scoring.SPACED, True)]))
+    model = lm_scoring.Model(u, np.arange(len(u)), np.zeros(len(u)), np.zeros(len(u) + 1), 1, len(u))
+    assert sum(map(len, lm_scoring.positions([part], model))) == 201 * sum(d % 7 != 2 for d, _ in texts)
+    own = [lm_scoring.classes([Counts(n=v, v=v, top=lm_scoring.pack(np.arange(min(v, 5000), dtype=np.uint64), np.ones(min(v, 5000), np.int64)))]).outputs for v in (10**5, 10**7)]
+    assert own[1] > 2 * own[0]
+
+
+def test_language_model_has_no_bound_by_default(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_scoring, "fitted", lambda docs, model, n, most=None, **k: seen.append(most) or lm_scoring.train(model, np.zeros((0, 3), np.int32)))
+    lm_scoring.score(make(spark, [(i, "a b c") for i in range(9)]))
+    assert seen == [None]
