@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import tokens
 from ..functions.vectors import chunks, cosine, maxsim, minmax
 
 K1, B, RRF = 1.2, 0.75, 60
+MAX_PAIRS = 200_000
 
 
 def top(lane: DataFrame, k: int, offset: int = 0) -> DataFrame:
@@ -84,11 +86,22 @@ def noise_floor(vectors: DataFrame, probes: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(probes)).agg(F.max(cosine(F.col("v"), F.col("p"))).alias("noise_floor"))
 
 
-def pair_spread(vectors: DataFrame, most: int) -> DataFrame:
-    """Mean and population deviation of cosines of the first vectors' pairs, `most` vectors by id at most."""
-    few = vectors.orderBy("id").limit(most)
-    pairs = few.alias("a").join(F.broadcast(few.alias("b")), F.col("a.id") < F.col("b.id")).select(cosine(F.col("a.v"), F.col("b.v")).alias("c"))
-    return pairs.agg(F.avg("c").alias("mu"), F.stddev_pop("c").alias("sigma"), F.count("*").alias("n_pairs"))
+def pair_spread(vectors: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
+    """Mean and population deviation of cosines over the pairs i < j of all vectors by id: every stride-th pair, the least stride that keeps `most` at most.
+
+    Kept pairs come from their number alone, pair k of n vectors in row-wise order, so that no all-pairs join is needed.
+    """
+    ids = vectors.select("id").orderBy("id")
+    numbered = ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(StructType([ids.schema["id"], StructField("at", LongType())]))
+    placed = vectors.select("id", "v").join(numbered, "id").select("at", "v")
+    k = F.expr("explode(sequence(0L, total - 1, stride))").alias("k")
+    kept = vectors.agg(F.count("*").alias("n")).filter("n > 1").withColumn("total", F.expr("n * (n - 1) div 2")).withColumn("stride", F.expr(f"(total + {most - 1}) div {most}")).select("n", k)
+    near = kept.withColumn("i", F.expr("cast((2 * n - 1 - sqrt((2 * n - 1) * (2 * n - 1) - 8 * k)) / 2 as bigint)"))
+    begin = "({0}) * (2 * n - ({0}) - 1) div 2"  # the number of row i's first pair
+    row = near.withColumn("i", F.expr(f"i + CASE WHEN {begin.format('i')} > k THEN -1 WHEN {begin.format('i + 1')} <= k THEN 1 ELSE 0 END"))
+    pairs = row.select("i", F.expr(f"i + 1 + k - {begin.format('i')}").alias("j"))
+    one, two = placed.select(F.col("at").alias("i"), F.col("v").alias("a")), placed.select(F.col("at").alias("j"), F.col("v").alias("b"))
+    return pairs.join(one, "i").join(two, "j").select(cosine(F.col("a"), F.col("b")).alias("c")).agg(F.avg("c").alias("mu"), F.stddev_pop("c").alias("sigma"), F.count("*").alias("n_pairs"))
 
 
 def nearest(texts: DataFrame, arcs: DataFrame, k: int = 3) -> DataFrame:

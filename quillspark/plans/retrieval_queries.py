@@ -71,12 +71,12 @@ def activation_rerank(spark, d):
 def noise_floor_stats(spark, d):
     v = vectors(spark, d)
     floor = R.noise_floor(v.filter("id >= 8"), v.filter("id < 8").select(F.col("v").alias("p")))
-    return floor.crossJoin(R.pair_spread(v, 200)).select(F.round("noise_floor", 6).alias("noise_floor"), F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "n_pairs", F.round(clamp_sigma(F.col("sigma")), 6).alias("sigma_eff"))
+    return floor.crossJoin(R.pair_spread(v)).select(F.round("noise_floor", 6).alias("noise_floor"), F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "n_pairs", F.round(clamp_sigma(F.col("sigma")), 6).alias("sigma_eff"))
 
 
 def relevance_label(spark, d):
     v = vectors(spark, d)
-    stats = R.noise_floor(v.filter("id >= 8"), v.filter("id < 8").select(F.col("v").alias("p"))).crossJoin(R.pair_spread(v, 200))
+    stats = R.noise_floor(v.filter("id >= 8"), v.filter("id < 8").select(F.col("v").alias("p"))).crossJoin(R.pair_spread(v))
     probes = R.nearest(v.filter("id < 8").select("id", "v"), v.filter("id >= 8").select(F.col("id").alias("arc_id"), F.col("v").alias("arc_v")), 1)
     x = relevance(F.col("score"), F.col("noise_floor"), clamp_sigma(F.col("sigma")), 0.3)
     return probes.crossJoin(F.broadcast(stats)).select("id", x["label"].alias("label"), F.round(x["z"], 4).alias("z"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,15 @@ def test_streamed_sessions_match_batch(spark, tmp_path):
     q = user_sessions(stream).writeStream.format("memory").queryName("sess").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.user, r.n) for r in spark.table("sess").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_pair_spread_strides_over_the_pairs_of_all_vectors(spark):
+    r = random.Random(2)
+    vectors = [(3 * i, [r.gauss(i > 200, 1) for _ in range(4)]) for i in range(230)]
+    shuffled = spark.createDataFrame(r.sample(vectors, len(vectors)), "id long, v array<double>")
+    u = np.array([v for _, v in vectors])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    every = np.array([u[i] @ u[j] for i in range(len(u)) for j in range(i + 1, len(u))])
+    for most in (200_000, 1000, 999):
+        want, got = every[:: -(-len(every) // most)], R.pair_spread(shuffled, most).first()
+        assert got.n_pairs == len(want) and np.allclose([got.mu, got.sigma], [want.mean(), want.std()])
