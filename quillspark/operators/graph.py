@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise
 
+WORD = r"[\p{L}\p{M}\p{N}_]"
+BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"  # a word boundary for letters of every script
+
 
 def resolve(inputs: DataFrame, names: DataFrame) -> DataFrame:
     """input -> (tier, id, n) of the first tier that matches: id, title, title in any case, normalised. names: (id, title)."""
@@ -55,13 +58,17 @@ def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None) -> Data
 
 
 def alias_mentions(notes: DataFrame, aliases: DataFrame, min_length: int = 3) -> DataFrame:
-    """(id, alias_id) where a note's text holds an alias, in any case. aliases: (alias_id, alias), a bounded catalogue.
+    """(id, alias_id) where a note's text holds an alias between word boundaries, in any case. aliases: (alias_id, alias), a bounded catalogue.
 
-    Word tuples make it an equi-join: the aliases' first words are looked up among the notes' words.
+    Runs of word characters make it an equi-join: a boundary on either side makes an alias's first run a whole run of the note.
+    An alias without any is looked for in every note, by the empty run.
     """
-    short = aliases.filter(F.char_length("alias") >= min_length).select("alias_id", F.lower("alias").alias("alias"), F.substring_index(F.lower("alias"), " ", 1).alias("word"))
-    words = notes.select("id", F.lower("text").alias("text")).select("id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    return words.join(F.broadcast(short), "word").filter(F.contains("text", "alias")).select("id", "alias_id").distinct()
+    runs = lambda x: F.regexp_extract_all(x, F.lit(f"({WORD}+)"), F.lit(1))
+    quoted = F.concat(F.lit(rf"{BOUNDARY}\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E{BOUNDARY}"))
+    known = aliases.filter(F.char_length("alias") >= min_length).select("alias_id", F.lower("alias").alias("alias"))
+    known = known.select("alias_id", "alias", quoted.alias("pattern"), F.coalesce(F.get(runs(F.col("alias")), F.lit(0)), F.lit("")).alias("word"))
+    words = notes.select("id", F.lower("text").alias("text")).select("id", "text", F.explode(F.array_union(F.array(F.lit("")), runs(F.col("text")))).alias("word"))
+    return words.join(F.broadcast(known), "word").filter(F.contains("text", "alias") & F.rlike("text", F.col("pattern"))).select("id", "alias_id").distinct()
 
 
 def resolve_links(links: DataFrame, passes: list[DataFrame]) -> DataFrame:

@@ -171,3 +171,10 @@ def test_pair_spread_strides_over_the_pairs_of_all_vectors(spark):
     for most in (200_000, 1000, 999):
         want, got = every[:: -(-len(every) // most)], R.pair_spread(shuffled, most).first()
         assert got.n_pairs == len(want) and np.allclose([got.mu, got.sigma], [want.mean(), want.std()])
+
+
+def test_alias_mentions_stand_between_word_boundaries(spark):
+    texts = ["see (Acme corp, now", "Acme, then", "acme", "acmes and pacme", "an\nold\nfirm", "x+++y été, z", "a+b\\E.c", "a+b\\E.cd", "_acme", None]
+    aliases = [(1, "ACME"), (2, "acme Corp"), (3, "An\nold firm"), (4, "an\nold"), (5, "+++"), (8, "ÉTÉ"), (9, "été,"), (6, "A+b\\E.c"), (7, "ac")]
+    found = G.alias_mentions(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(aliases, "alias_id int, alias string"))
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (1, 1), (2, 1), (4, 4), (5, 5), (5, 8), (6, 6)]
