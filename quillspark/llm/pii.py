@@ -1,11 +1,11 @@
 """Personal data: base patterns, and candidates that boosted trees judge.
 
 Base spans (email, ip, card, phone) are found by fixed patterns and checks and always stay. High-recall
-generators propose further, possibly overlapping spans: obfuscated addresses, phone numbers
-without a plus, card-like and dotted numbers in unusual form. Boosted trees score each by its format
+generators propose further, overlapping spans, from any group to any later one: obfuscated addresses,
+phone numbers without a plus, card-like numbers and dotted ones with spaces. Boosted trees score each by its format
 and the words around it; a threshold for each kind, calibrated on held-out examples to a wanted
 precision, selects the ones that are added. The trees are fitted to examples made by rule from a
-seed (N_EXAMPLES of them), since no labels of personal data exist.
+seed (all candidates of N_EXAMPLES texts), since no labels of personal data exist.
 """
 
 from __future__ import annotations
@@ -36,8 +36,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMERIC = re.compile(r"\+?[0-9][\x20().0-9-]*")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
-WORDY = re.compile(r"[A-Za-z0-9._%+-]+[ ]?(?:\(at\)|\[at\]|\{at\}|[ ]at[ ])[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\}|[ ]dot[ ]|\.)[ ]?[A-Za-z0-9-]+)+")
-LOOSE = re.compile(r"\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,18}")
+AT, HOST, DOT = r"\(at\)|\[at\]|\{at\}|[ ]at[ ]", r"[ ]?[A-Za-z0-9-]+", r"[ ]?(?:\(dot\)|\[dot\]|\{dot\}|[ ]dot[ ]|\.)[ ]?[A-Za-z0-9-]+"
+#: What each obfuscated address holds; texts are told apart by it.
+WORDY = rf"[A-Za-z0-9._%+-][ ]?(?:{AT}){HOST}{DOT}"
+ATS, HOSTS, DOTS = re.compile(f"(?=({AT}))"), re.compile(HOST), re.compile(DOT)
+NUMBER_BEFORE, NUMBER_AFTER = re.compile(r"[0-9][ ().\-/]{0,2}$"), re.compile(r"[ ().\-/]{0,2}[0-9]")
+GROUP, LABELS = re.compile("[0-9]+"), 127  # the parts a domain name can have
+GAP = frozenset(("", *" ().-/", *(a + b for a in " ().-/" for b in " ().-/")))
 HINTS = {"email": ("mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "credit", "pay", "account", "iban"), "phone": ("phone", "call", "tel", "mobile", "cell", "fax", "whatsapp", "number")}
 
 
@@ -79,13 +84,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def addresses(text: str):
+    """(start, kind, end) of obfuscated addresses: around every at, to the end of each part after a dot."""
+    for m in ATS.finditer(text):
+        at = m.start(1)
+        start = end = at - (at > 1 and text[at - 1] == " ")
+        while start and text[start - 1] in LOCAL:
+            start -= 1
+        if start < end and (h := HOSTS.match(text, m.end(1))):
+            for _ in range(LABELS):
+                if not (h := DOTS.match(text, h.end())):
+                    break
+                yield start, 0, h.end()
+
+
+def numbers(text: str):
+    """(start, kind, end) of numbers: from any group of digits to any later one, where two separators at most stand between neighbours."""
+    groups = [m.span() for m in GROUP.finditer(text)]
+    for i, (s, _) in enumerate(groups):
+        start, n = s - (s > 0 and text[s - 1] == "("), 0
+        for j in range(i, len(groups)):
+            if j > i and text[groups[j - 1][1] : groups[j][0]] not in GAP:
+                break
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            e = groups[j][1]
+            if j - i == 3 and 4 <= n <= 12 and text.count(".", start, e) == 3:
+                yield start, 1, e
+            if 12 <= n:
+                yield start, 2, e
+            if 7 <= n <= 15:
+                yield start, 3, e
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) that the generators propose; spans may overlap and most are nothing."""
-    out = [(m.start(), 0, m.end()) for m in WORDY.finditer(text)] if "at" in text and ("dot" in text or "(at" in text or "[at" in text) else []
-    for m in LOOSE.finditer(text):
-        n = sum(c.isdigit() for c in m.group())
-        out += [(m.start(), kind, m.end()) for kind, lo, hi in ((1, 4, 12), (2, 12, 19), (3, 7, 15)) if lo <= n <= hi and (kind != 1 or m.group().count(".") == 3)]
-    return out
+    """(start, kind, end) that the generators propose; spans overlap and most are nothing."""
+    return [*addresses(text), *numbers(text)]
 
 
 def features(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -101,12 +136,13 @@ def features(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
             *(span.count(c) for c in " .-(/"), luhn("".join(digits)) if digits else 0, len(digits) / (e - s), len(set(digits)),
             left.isalnum(), left in "$€£#=:_-/.", right.isalnum(), right in "%€$£°/_=", span.count("dot"), span.count("@") + span.count("at"), span.startswith(("0", "(")),
             any(h in before for h in HINTS[KINDS[kind]]), any(h in after for h in HINTS[KINDS[kind]]), any(c in before for c in "{}<>="), bool(re.search(r"(19|20)[0-9]{2}", span)), "(at)" in span or "[at]" in span or "{at}" in span,
+            groups[0] if groups else 0, groups[-1] if groups else 0, len(gaps := set(re.findall("[^0-9]+", span.lstrip("(")))), " " in gaps, any(len(g) > 1 for g in gaps), bool(NUMBER_BEFORE.search(text, max(0, s - 3), s)), bool(NUMBER_AFTER.match(text, e)), kind == 1 and all(int(g) <= 255 for g in re.findall("[0-9]+", span)), span.count(")") == span.count("("), bool(DOTS.match(text, e)), len(re.findall("[a-z]+$", span)[0]) if kind == 0 and span[-1].islower() else 0,
         ])
-    return np.array(rows, float).reshape(len(rows), 30)
+    return np.array(rows, float).reshape(len(rows), 41)
 
 
-def examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, kinds and labels of candidates in texts made from templates."""
+def examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, kinds, labels and text numbers of the candidates in n texts made from templates."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("an", "er", "tion", "que", "sch", "lo", "mi", "ta", "en", "or")) for _ in range(r.randint(1, 4)))
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -114,12 +150,14 @@ def examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     hint = lambda kind: r.choice(HINTS[kind])
 
     def good():
-        kind = r.choice(("email", "phone", "phone", "card"))
+        kind = r.choice(("email", "phone", "phone", "card", "ip"))
         if kind == "email":
-            a, o = r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", ".")))
+            a, o = r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", "."), ("{at}", "{dot}"), (" at ", " (dot) "), (" at ", "[dot]"), (" at ", ".")))
             x = f"{word()}{r.choice(('', d(2), '.' + word()))}{a}{word()}{o}{r.choice(('com', 'org', 'net', 'de'))}"
         elif kind == "card":
             x = r.choice((" ", "-")).join((d(4), d(4), d(4), d(4)))
+        elif kind == "ip":
+            x = r.choice((". ", " .")).join(str(r.randrange(256)) for _ in range(4))
         else:
             x = r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)}/{d(7)}", f"0{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}"))
         return kind, x, f"{r.choice((hint(kind), hint(kind) + ':', prose(1) + ' ' + hint(kind) + ' is'))} "
@@ -127,43 +165,58 @@ def examples(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     def bad():
         x = r.choice((
             f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1900, 2030)}/{r.randint(10, 12)}/{r.randint(10, 28)} {d(2)}", d(r.randint(7, 19)), f"{d(1)}.{d(8)}", f"{d(3)}.{d(3)}.{d(3)}.{d(3)}",
-            f"{d(2)} {d(3)} {d(2)} {d(3)}", f"{word()} at {word()} dot {word()}", f"{d(3)}-{d(10)}", f"{d(2)}.{d(2)}.{d(2)}.{d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", f"({d(4)}) {d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}",
+            f"{d(2)} {d(3)} {d(2)} {d(3)}", f"{word()} at {word()} dot {word()}", f"{hint('email')} {word()} at {word()}. {word().title()}", f"{d(3)}-{d(10)}", f"{d(2)}.{d(2)}.{d(2)}.{d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", f"({d(4)}) {d(4)}", ". ".join(str(r.randint(1, 999)) for _ in range(4)), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}",
         ))
         return None, x, f"{r.choice((prose(3), 'isbn', 'order', 'page', 'version', 'id=', '{', 'total $', 'figure'))}{r.choice((' ', ' ', '=', '.'))}"
 
-    rows, kinds, labels = [], [], []
-    while len(labels) < n:
+    rows, kinds, labels, texts = [], [], [], []
+    for i in range(n):
         kind, span, before = good() if r.random() < 0.4 else bad()
-        text = f"{prose(4)} {before}{span}{r.choice((' ', '. ', ', ', '%', 'x'))}{prose(3)}"
-        s = text.rindex(span)
+        text = f"{prose(4)} {before}"
+        true = {(len(text), KINDS.index(kind), len(text) + len(span))} if kind else set()
+        text += span
+        if kind in ("phone", "card") and r.random() < 0.3:  # a second of its form, or another number, follows
+            text += r.choice((" ", " ", " / ", "  "))
+            more = "".join(r.choice("0123456789") if c.isdigit() and (k or c != "0") else c for k, c in enumerate(span)) if r.random() < 0.6 else r.choice((d(2), d(3), str(r.randint(1900, 2030))))
+            if len(more) == len(span):
+                true.add((len(text), KINDS.index(kind), len(text) + len(more)))
+            text += more
+        text += f"{r.choice((' ', '. ', ', ', '%', 'x'))}{prose(3)}"
         for c, f in zip(found := candidates(text), features(text, found), strict=True):
             rows.append(f)
             kinds.append(c[1])
-            labels.append(kind == KINDS[c[1]] and c[0] <= s + 1 and c[2] >= s + len(span) - 1)
-    return np.array(rows), np.array(kinds), np.array(labels, float)
+            labels.append(c in true)
+            texts.append(i)
+    return np.array(rows), np.array(kinds), np.array(labels, float), np.array(texts)
 
 
 class Detector:
-    """Trees and a threshold for each kind: the least score from which on PRECISION of held-out candidates were right."""
+    """Trees for each kind, and a threshold: the least score from which on PRECISION of held-out candidates were right."""
 
     def __init__(self, n: int = N_EXAMPLES, precision: float = PRECISION):
-        x, kinds, y = examples(n)
-        held = np.arange(len(y)) % 3 == 0
-        self.trees, self.threshold = Boosted().fit(x[~held], y[~held]), {}
+        x, kinds, y, of = examples(n)
+        held = of % 3 == 0
+        self.trees, self.threshold = [Boosted().fit(x[~held & (kinds == k)], y[~held & (kinds == k)]) for k in range(4)], {}
         for k in range(4):
             rows = held & (kinds == k)
-            p, t = self.trees.predict(x[rows]), y[rows]
+            p, t = self.trees[k].predict(x[rows]), y[rows]
             order = np.argsort(-p, kind="stable")
             right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
             good = np.flatnonzero((right >= precision) & (np.arange(len(order)) >= 20))
             self.threshold[k] = max(float(p[order][good[-1]]), 0.9) if len(good) else 2.0
 
+    def scores(self, text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
+        x, kinds, p = features(text, found), np.array([k for _, k, _ in found]), np.zeros(len(found))
+        for k in np.unique(kinds):
+            p[kinds == k] = self.trees[k].predict(x[kinds == k])
+        return p
+
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Accepted candidates, best first, that overlap neither a base span nor a better one."""
         found = candidates(text)
         if not found:
             return []
-        p, taken, out = self.trees.predict(features(text, found)), [(s, e) for s, _, e in base], []
+        p, taken, out = self.scores(text, found), [(s, e) for s, _, e in base], []
         for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i])):
             s, kind, e = found[i]
             if p[i] >= self.threshold[kind] and all(e <= a or s >= b for a, b in taken):
@@ -178,16 +231,16 @@ def detector(n: int, precision: float) -> Detector:
 
 
 def _hit_rows(column: pa.Array) -> np.ndarray:
-    """Texts with a digit, an @ or a bracketed at: all others hold no span of any kind."""
+    """Texts with a digit, an @ or what WORDY finds: all others hold no span of any kind."""
+    import pyarrow.compute as pc
+
     from .arrays import texts
 
     data, offsets = texts(column)
     mark = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data == 64) | ((data >= 48) & (data <= 57)), out=mark[1:])
     hit = np.diff(mark[offsets]) > 0
-    import pyarrow.compute as pc
-
-    return hit | pc.fill_null(pc.match_substring_regex(column, r"[(\[{]at[)\]}]| at .* dot "), False).to_numpy(zero_copy_only=False)
+    return hit | pc.fill_null(pc.match_substring_regex(column, WORDY), False).to_numpy(zero_copy_only=False)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -292,3 +292,18 @@ def test_language_model_has_no_bound_by_default(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "fitted", lambda docs, model, n, most=None, **k: seen.append(most) or lm_scoring.train(model, np.zeros((0, 3), np.int32)))
     lm_scoring.score(make(spark, [(i, "a b c") for i in range(9)]))
     assert seen == [None]
+
+
+def test_generators_propose_parts_and_prefilter_takes_every_address(spark):
+    def parts(text, kind):
+        return {text[s:e] for s, k, e in pii.candidates(text) if k == kind}
+
+    assert {"555-123-4567", "555-987-6543"} <= parts("call 555-123-4567 555-987-6543", 3)
+    assert "(415) 555-2671" in parts("at (415) 555-2671 2024", 3) and "4111 1111 1111 1112" in parts("4111 1111 1111 1112 99", 2)
+    assert {"a at b dot c", "c at d dot e", "a at b dot c.f"} <= parts("a at b dot c at d dot e", 0) | parts("a at b dot c.f", 0)
+    texts = ["mail jane at host (dot) org now", "contact bob{at}site{dot}net or", "write ann at home [dot] com now", "mail eve at host.org now"]
+    found = {r.doc_id: r.spans for r in pii.find(make(spark, list(enumerate([*texts, "we met at noon. then left"])))).collect()}
+    assert all(found[i].startswith("email:") for i in range(4)) and found[4] == ""
+    model = pii.detector(pii.N_EXAMPLES, pii.PRECISION)
+    assert {k for _, k, _ in model.added("the ip 10. 0. 3. 77 is up", [])} == {1}
+    assert len(model.added("call 555-123-4567 555-987-6543 today", [])) == 2
