@@ -113,27 +113,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     chunks = [docs.sparkSession.sparkContext.broadcast(Windows(ids, column, window)) for ids, column in _chunks(benchmark, chunk_bytes)]
     if len(chunks) == 1:
         return occurrences(documents(docs), chunks[0], False)
-    rows = cut(documents(docs).withColumn("row", F.monotonically_increasing_id()))
+    return merged(cut(documents(docs).withColumn("row", F.monotonically_increasing_id())), chunks).drop("row")
+
+
+def merged(rows: DataFrame, chunks: list) -> DataFrame:
+    """The result, and the row's number, of each of rows (doc_id, text, row) over several chunks."""
     found = occurrences(rows, chunks[0], True)
     for c in chunks[1:]:
         found = found.union(occurrences(rows, c, True))
-    schema = arrow(RESULT)
+    schema = arrow(f"{RESULT},row long")
 
     def merge(table):
         spans = np.frombuffer(b"".join(table["hits"].to_pylist()), np.int64).reshape(-1, 2)
         items = {x.decode() for blob in table["items"].to_pylist() for x in blob.split(b"\0") if x}
         n, *rest = judged(table["n_words"][0].as_py(), spans, items)
-        return pa.Table.from_batches([batch(schema, **{c: [x] for c, x in zip(schema.names, (table["doc_id"][0].as_py(), n, *rest), strict=True)})])
+        return pa.Table.from_batches([batch(schema, **{c: [x] for c, x in zip(schema.names, (table["doc_id"][0].as_py(), n, *rest, table["row"][0].as_py()), strict=True)})])
 
-    return found.groupBy("row").applyInArrow(merge, RESULT)
+    return found.groupBy("row").applyInArrow(merge, f"{RESULT},row long")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All columns of the documents that aren't contaminated; with one chunk in one scan, so that texts aren't shuffled."""
     chunks = [docs.sparkSession.sparkContext.broadcast(Windows(ids, column, window)) for ids, column in _chunks(benchmark, chunk_bytes)]
     if len(chunks) > 1:
-        verdict = decontaminate(docs, benchmark, window, chunk_bytes).filter("contaminated").select("doc_id").distinct()
-        return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["doc_id"]), "left_anti")
+        rows = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+        verdict = merged(documents(rows.select("doc.doc_id", "doc.text", "row"), "row"), chunks).filter("contaminated").select("row")
+        return rows.join(verdict, "row", "left_anti").select("doc.*")
 
     def run(batches, known=chunks[0]):
         for b in batches:

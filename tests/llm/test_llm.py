@@ -307,3 +307,11 @@ def test_generators_propose_parts_and_prefilter_takes_every_address(spark):
     model = pii.detector(pii.N_EXAMPLES, pii.PRECISION)
     assert {k for _, k, _ in model.added("the ip 10. 0. 3. 77 is up", [])} == {1}
     assert len(model.added("call 555-123-4567 555-987-6543 today", [])) == 2
+
+
+def test_decontamination_drops_rows_not_ids_in_many_chunks(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "something else " * 20)], "item_id long, text string")
+    bad, rows = bench.first().text, [(None, "clean without an id"), (7, "clean with the id of another"), (8, "clean alone"), (8, "clean alone")]
+    docs = make(spark, [*rows, (None, bad), (7, bad)])
+    one, many = (decontamination.without_contaminated(docs, bench, chunk_bytes=b) for b in (1 << 20, 32))
+    assert many.columns == docs.columns and got(many, "doc_id", "text") == got(one, "doc_id", "text") == want(rows)
