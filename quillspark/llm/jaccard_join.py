@@ -1,21 +1,25 @@
 """N-gram Jaccard join of whole documents by T-occurrence search.
 
-Documents of equal shingle sets are one node, so copies cost one. A document's shingles are ordered
-from rare to frequent by a counting sketch of fixed size over all documents (any one order is right, so the sketch
-need not be exact). Two sets of the wanted overlap share at least needed() of the rarest shingles of each: the
-short inverted lists. Members of a list are first compared with the one of like size that shares most, as
-leader, and, once links have made components, with members of other components only, if they are
-together in enough lists: first the likeliest pair of each, then what still lies in different
-components. No link is lost that would join two components.
-
-A comparison is a search: a leader is the query, the sets of a block of its candidates are indexed, and
-DivideSkip merges the short lists with a heap and probes the long ones by binary search, keeping
-the sets that reach the overlap. Blocks have BLOCK candidates; a leader with more has several. The
-members of one inverted list are 12 bytes each in one task.
+Documents of equal shingle sets are one node, so copies cost one. A node's shingles are ordered
+from rare to frequent by a counting sketch of fixed size over all documents (any one order is right, so the
+sketch need not be exact). The rarest common shingle of two sets that reach the percentage stands among the first
+n - overlap + 1 of either, for its size n and the overlap that the two sizes need. So only these places are
+posted to inverted lists, and two members of a list are a candidate pair only where both stand early enough for
+each other's size: sets that share a common passage or a distant source are never paired.
+
+Members of a list are first compared with the one of like size that shares most, as leader. Once links have made
+components, only pairs of different components are left, and each has a member outside its list's main component.
+No link is lost that would join two components.
+
+A comparison is a search: the sets of a block of a leader's candidates are indexed by shingle, the leader is the
+query, and DivideSkip heap-merges its short lists and probes the long ones by binary search, keeping the sets
+that reach the overlap. Blocks have BLOCK candidates; a leader with more has several. Shingles that the sketch counts
+HOT times or more aren't gathered by bucket: their postings stay rows, which joins may split.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from heapq import merge
 from itertools import groupby
 
@@ -26,11 +30,10 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACED, U64, blocks, mix, owned, whole, windows
 from .components import components
-from .flow import cut, documents, n_buckets, pack, ranges_by_bucket, unpack
+from .flow import arrow, batch, cut, documents, n_buckets, pack, ranges_by_bucket, unpack
 
-WORDS, PERCENT, BLOCK = 5, 80, 400
+WORDS, PERCENT, BLOCK, HOT = 5, 80, 400, 1 << 16
 CELLS, PARTS = 1 << 22, 64
-_PAIRS = "leader long, other long, weight long, need long"
 
 
 def sets_of(block, n: int):
@@ -53,9 +56,9 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(keepdims=True) + U64(len(s))).view(np.int64)[0])
 
 
-def prefix(n, percent: int):
-    """How many of a set's n rarest shingles have inverted lists: what one common shingle needs, and a twentieth of n."""
-    return np.minimum(n, n + (-percent * n // 100) + 1 + n // 20)
+def prefix(n: int, percent: int) -> int:
+    """How many of a set's n rarest shingles have inverted lists: up to the last place a first common one can have."""
+    return n - -(-percent * n // 100) + 1
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -63,21 +66,17 @@ def overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def needed(n, m, percent: int):
-    """In how many lists two sets of n and m elements are together at least if they reach the percentage.
-
-    Of n elements n - overlap aren't common, so the first of the common ones, as many as this, stand in both prefixes.
-    """
-    both = overlap(n, m, percent)
-    return np.minimum(prefix(n, percent) - (n - both), prefix(m, percent) - (m - both))
-
-
 def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> U64(42)).astype(np.int64)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Four levels for each power of two of the counts."""
+    return np.minimum(4 * np.log2(counts + 1.0), 255).astype(np.uint8)
+
+
 def _surveyed(n: int):
-    """A row for each document, then the partition's counts of shingles by cell."""
+    """A row for each document, then the partition's counts of shingles by cell, cells that occur only."""
     kinds = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
@@ -92,24 +91,33 @@ def _surveyed(n: int):
                     cells += np.bincount(_cells(np.concatenate(found)), minlength=CELLS).astype(np.uint32)
             m = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.binary()), b["doc_id"], b["key"], pa.array(node, pa.int64()), pa.array(size, pa.int64())], schema=kinds)
-        none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(cells, PARTS)], pa.binary()), none, none, none, none], schema=kinds)
+        at = np.flatnonzero(cells)
+        edge = np.searchsorted(at, np.arange(PARTS + 1) * (CELLS // PARTS))
+        rows = [(k, pack(at[i:j].astype(np.uint32), cells[at[i:j]])) for k, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if j > i]
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), none, none, none, none], schema=kinds)
 
     return run
 
 
 def _summed(batches):
-    """The cells' levels, four for each power of two of the sums of all partitions' counts; a part's counts all come to one task."""
+    """The cells' levels from the sums of all partitions' counts; a part's counts all come to one task."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.uint32).astype(np.uint64)
-            total[part] = total[part] + x if part in total else x
+            at, x = unpack(blob, np.uint32, np.uint32)
+            total.setdefault(part, np.zeros(CELLS // PARTS, np.uint64))[at % (CELLS // PARTS)] += x
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(4 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_level(x).tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
 
 
-def _postings(n: int, percent: int, buckets: int, levels):
+_POSTED = "bucket int, blob binary, list long, weight long, node long, size long, pos long"
+
+
+def _postings(n: int, percent: int, buckets: int, levels, hot: int):
+    """Packed postings (shingle, node, size, place) by bucket; those of hot shingles as rows without a bucket."""
+    least, schema = int(_level(np.array([hot]))[0]), arrow(_POSTED.replace(", ", ","))
+
     def run(batches):
         for b in batches:
             for _, _, block in blocks(b["text"], SPACED, True):
@@ -118,122 +126,141 @@ def _postings(n: int, percent: int, buckets: int, levels):
                     if not len(s) or (node := node_of(s)) in done:
                         continue
                     done.add(node)
-                    rare, k = (level[_cells(s)].astype(U64) << U64(56)) | (s >> U64(8)), int(prefix(len(s), percent))
-                    short = s[np.argpartition(rare, k - 1)[:k]] if k < len(s) else s
-                    parts.append((short, np.full(k, node, np.int64), np.full(k, len(s), np.uint32)))
+                    rare, k = (level[_cells(s)].astype(U64) << U64(56)) | (s >> U64(8)), prefix(len(s), percent)
+                    first = np.argpartition(rare, k - 1)[:k] if k < len(s) else np.arange(k)
+                    first = first[np.argsort(rare[first])]
+                    parts.append((s[first], np.full(k, node, np.int64), np.full(k, len(s), np.uint32), np.arange(k, dtype=np.uint32)))
                 if parts:
-                    h, node, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    h, node, size, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
                     order = np.argsort(h, kind="stable")
-                    h, node, size = h[order], node[order], size[order]
-                    rows = [(k, pack(h[i:j], node[i:j], size[i:j])) for k, i, j in ranges_by_bucket(h, buckets)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+                    h, node, size, pos = h[order], node[order], size[order], pos[order]
+                    is_hot = level[_cells(h)] >= least
+                    m = int(is_hot.sum())
+                    if m:
+                        yield batch(schema, bucket=pa.nulls(m, pa.int32()), blob=pa.nulls(m, pa.binary()), list=h[is_hot].view(np.int64), weight=np.ones(m, np.int64), node=node[is_hot], size=size[is_hot], pos=pos[is_hot])
+                        h, node, size, pos = h[~is_hot], node[~is_hot], size[~is_hot], pos[~is_hot]
+                    rows = [(k, pack(h[i:j], node[i:j], size[i:j], pos[i:j])) for k, i, j in ranges_by_bucket(h, buckets)]
+                    none = pa.nulls(len(rows), pa.int64())
+                    yield batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows], **dict.fromkeys(schema.names[2:], none))
 
     return run
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The inverted lists of two nodes or more, each distinct list of members once with the number of its shingles, members by size."""
-    parts = [unpack(x, U64, np.int64, np.uint32) for x in table["blob"].to_pylist()]
-    h, node, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((node, size, h))
-    h, node, size = h[order], node[order], size[order]
+    """The inverted lists of two nodes or more.
+
+    Of lists with the same members one stays, that of the rarest shingle, with their number: shingles have one
+    order, so it has the least place of each member. first: the place of the first member, by which that one is known.
+    """
+    parts = [unpack(x, U64, np.int64, np.uint32, np.uint32) for x in table["blob"].to_pylist()]
+    h, node, size, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((node, h))
+    h, node, size, pos = h[order], node[order], size[order], pos[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-    h, node, size = h[new], node[new], size[new]
+    h, node, size, pos = h[new], node[new], size[new], pos[new]
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     end = np.r_[start[1:], len(h)]
     name = np.add.reduceat(mix(node.view(U64)), start)
     keep = end - start > 1
     start, end, name = start[keep], end[keep], name[keep]
-    _, first, many = np.unique(name, return_index=True, return_counts=True)
-    return pa.table({"list": pa.array(name[first].view(np.int64), pa.int64()), "weight": pa.array(many, pa.int64()), "members": pa.array([pack(node[i:j], size[i:j]) for i, j in zip(start[first], end[first], strict=True)], pa.binary())})
-
-
-def _pairs(one: list, two: list, weight: list, percent: int) -> pa.RecordBatch:
-    """Pairs of (node, size) rows with what they need, and the weights of their lists summed."""
-    a, b, w = np.concatenate(one), np.concatenate(two), np.concatenate(weight)
-    order = np.lexsort((b[:, 0], a[:, 0]))
-    a, b, w = a[order], b[order], w[order]
-    start = np.flatnonzero(np.r_[True, (a[1:, 0] != a[:-1, 0]) | (b[1:, 0] != b[:-1, 0])]) if len(a) else np.zeros(0, np.int64)
-    w = np.add.reduceat(w, start) if len(a) else w
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[start, 0], b[start, 0], w, needed(a[start, 1], b[start, 1], percent))], names=["leader", "other", "weight", "need"])
-
-
-def _led(percent: int):
-    """(leader, other) of every list: the member that shares most leads all of like size, then the first of the rest; members come so ordered."""
-
-    def run(batches):
-        for b in batches:
-            one, two, weights = [], [], []
-            for members, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
-                x = np.array([(m["node"], m["size"]) for m in members], np.int64)
-                while len(x):
-                    near = 100 * np.minimum(x[:, 1], x[0, 1]) >= percent * np.maximum(x[:, 1], x[0, 1])
-                    led = x[near][1:]
-                    one.append(np.repeat(x[:1], len(led), 0))
-                    two.append(led)
-                    weights.append(np.full(len(led), weight))
-                    x = x[~near]
-            if one:
-                yield _pairs(one, two, weights, percent)
-
-    return run
-
-
-def _across(percent: int):
-    """Pairs of like size in different components, of lists that hold several, if either is in as many such lists as the pair needs."""
+    order = np.lexsort((pos[start], name))
+    start, end, name = start[order], end[order], name[order]
+    one = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[one, len(name)])
+    members = [pack(node[i:j], size[i:j], pos[i:j]) for i, j in zip(start[one], end[one], strict=True)]
+    return pa.table({"list": pa.array(name[one].view(np.int64), pa.int64()), "weight": pa.array(many, pa.int64()), "first": pa.array(pos[start[one]], pa.int64()), "members": pa.array(members, pa.binary())})
 
-    def run(batches):
-        for b in batches:
-            one, two, weights, held = [], [], [], 0
-            for members, weight in zip(b["members"].to_pylist(), b["weight"].to_pylist(), strict=True):
-                x = np.array(sorted((m["size"], m["node"], m["component"], m["w"]) for m in members), np.int64)
-                end, flat = np.searchsorted(x[:, 0], x[:, 0] * 100 // percent, "right"), x[:, 1::-1]
-                for i in range(len(x)):
-                    later = x[i + 1 : end[i]]
-                    enough = needed(x[i, 0], later[:, 0], percent) <= np.minimum(x[i, 3], later[:, 3])
-                    others = i + 1 + np.flatnonzero((later[:, 2] != x[i, 2]) & enough)
-                    one.append(np.repeat(flat[i : i + 1], len(others), 0))
-                    two.append(flat[others])
-                    weights.append(np.full(len(others), weight))
-                    held += len(others)
-                    if held > 1 << 18:
-                        yield _pairs(one, two, weights, percent)
-                        one, two, weights, held = [], [], [], 0
-            if held:
-                yield _pairs(one, two, weights, percent)
-
-    return run
-
-
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Which of the sets reach the percentage with the query: T-occurrence over inverted lists of its elements.
 
-    No set reaches it with fewer than least common elements, so those in too few short lists are out; the
-    long lists, of which there are less than that, are only probed for the others.
+def _members(batches):
+    for b in batches:
+        parts = [unpack(x, np.int64, np.uint32, np.uint32) for x in b["members"].to_pylist()]
+        if parts:
+            many = [len(p[0]) for p in parts]
+            cols = [np.repeat(b[c].to_numpy(), many) for c in ("list", "weight")] + [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["list", "weight", "node", "size", "pos"])
+
+
+def inverted(rows: DataFrame, words: int, percent: int, levels, hot: int) -> DataFrame:
+    """list, node, size, pos, band, alone of every posting; alone: the lower, the more of its places others have, as the source of copies."""
+    posted = cut(rows.select("text").mapInArrow(_postings(words, percent, n_buckets(rows.sparkSession), levels, hot), _POSTED))
+    lists = posted.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists, "list long, weight long, first long, members binary")
+    lists = lists.groupBy("list").agg(F.sum("weight").alias("weight"), F.min_by("members", "first").alias("members"))
+    members = lists.mapInArrow(_members, "list long, weight long, node long, size long, pos long")
+    members = cut(members.union(posted.filter("bucket is null").select(*members.columns).distinct()))
+    shared = members.groupBy(F.col("node").alias("n")).agg((-F.sum("weight") / F.first("size")).alias("alone"))
+    band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).alias("band")  # members of like size are in one or in neighbours
+    return cut(members.join(shared, F.col("node") == F.col("n")).select("list", "node", "size", "pos", band, "alone"))
+
+
+def _like(a: str, b: str, percent: int):
+    """Whether the postings a and b of one list may be the first common shingle of sets that reach the percentage."""
+    both = F.expr(f"cast(ceil({percent}L * ({a}.size + {b}.size) / {100 + percent}) as bigint)")
+    return (both <= F.col(f"{a}.size") - F.col(f"{a}.pos")) & (both <= F.col(f"{b}.size") - F.col(f"{b}.pos")) & F.expr(f"100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size)")
+
+
+def led(members: DataFrame, percent: int) -> DataFrame:
+    """(leader, other): the member of each list and band that shares most, with all of its own and the neighbouring bands."""
+    best = members.groupBy("list", "band").agg(F.min(F.struct("alone", "node", "size", "pos")).alias("best")).select("list", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "best.node", "best.size", "best.pos")
+    pairs = best.alias("a").join(members.alias("b"), ["list", "band"]).filter((F.col("a.node") != F.col("b.node")) & _like("a", "b", percent))
+    return pairs.select(F.col("a.node").alias("leader"), F.col("b.node").alias("other")).distinct()
+
+
+def across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(leader, other) of all candidate pairs in different components; one of each is outside the component of its list's leader."""
+    named = labels.select(F.col("node").alias("n"), "component")
+    labelled = members.join(named, F.col("node") == F.col("n"), "left").select(*members.columns, F.coalesce("component", "node").alias("component"))
+    of_list = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.struct("alone", "node")).alias("main"), F.min("size").alias("least")).filter("low < high").select(F.col("list").alias("l"), "main", "least")
+    # A place is early enough only for sizes up to this; who is too late for the smallest member has no partner.
+    most = F.expr(f"({100 + percent}L * (size - pos) div {percent}) - size")
+    left = labelled.join(of_list, F.col("list") == F.col("l")).filter(most >= F.col("least")).drop("l", "least", "alone")
+    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    few = left.filter("component <> main").select("list", bands, "node", "size", "pos", "component")
+    both = few.alias("a").join(left.alias("b"), ["list", "band"]).filter((F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & _like("a", "b", percent))
+    return both.select(F.col("a.node").alias("leader"), F.col("b.node").alias("other")).distinct()
+
+
+class Index:
+    """Inverted lists of some sets: which sets hold each element, by place."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets) if sets else np.zeros(0, U64)
+        order = np.argsort(every, kind="stable")
+        self.who = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.elements, self.start = np.unique(every[order], return_index=True)
+        self.end = np.r_[self.start[1:], len(every)]
+
+    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+        """The lists of the query's elements, short ones first."""
+        if not len(self.elements):
+            return []
+        at = np.minimum(np.searchsorted(self.elements, query), len(self.elements) - 1)
+        at = at[self.elements[at] == query]
+        return sorted((self.who[i:j] for i, j in zip(self.start[at], self.end[at], strict=True)), key=len)
+
+
+def divide_skip(query: np.ndarray, index: Index, percent: int = PERCENT) -> list[int]:
+    """Which of the index's sets reach the percentage with the query: T-occurrence over its inverted lists.
+
+    No set reaches it with fewer than `least` common elements. The longest lists, fewer than that, are put aside; a heap
+    merges the others, and sets that could still reach their overlap are looked for in the long ones by binary search.
     """
-    least = -(-percent * len(query) // 100)
-    hits = [np.searchsorted(query, s[np.isin(s, query, assume_unique=True)]) for s in sets]
-    where, who = (np.concatenate(hits), np.repeat(np.arange(len(sets)), [len(x) for x in hits])) if sets else (np.zeros(0, int),) * 2
-    order = np.lexsort((who, where))
-    where, who = where[order], who[order]
-    edge = np.searchsorted(where, np.arange(len(query) + 1))
-    lists = sorted((who[i:j] for i, j in zip(edge, edge[1:], strict=False) if j > i), key=len)
+    lists, least = index.lists(query), -(-percent * len(query) // 100)
     if len(lists) < least:
         return []
     long = min(least - 1, int(least / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
     short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
-    found = []
-    for i, same in groupby(merge(*(x.tolist() for x in short))):
-        count, need = sum(1 for _ in same), overlap(len(query), len(sets[i]), percent)
-        if count >= need - long and count >= least - long:
-            for k, x in enumerate(probed):
-                if count >= need or count + len(probed) - k < need:
-                    break
-                at = np.searchsorted(x, i)
-                count += at < len(x) and x[at] == i
-            if count >= need:
-                found.append(i)
-    return found
+    merged = [(i, sum(1 for _ in same)) for i, same in groupby(merge(*(x.tolist() for x in short)))]
+    who, count = (np.array(x, np.int64) for x in zip(*merged, strict=True)) if merged else (np.zeros(0, np.int64),) * 2
+    need = -(-percent * (len(query) + index.sizes[who]) // (100 + percent))
+    for k, x in enumerate(probed):
+        alive = count + len(probed) - k >= need
+        who, count, need = who[alive], count[alive], need[alive]
+        if not len(who):
+            break
+        at = np.minimum(np.searchsorted(x, who), len(x) - 1)
+        count = count + (x[at] == who)
+    return who[count >= need].tolist()
 
 
 def _searched(n: int, percent: int):
@@ -245,7 +272,7 @@ def _searched(n: int, percent: int):
         found = [(o, s) for s, o in zip(sets, other, strict=True) if o is not None]
         if query is None or not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        linked = [found[i][0] for i in divide_skip(query, [s for _, s in found], percent)]
+        linked = [found[i][0] for i in divide_skip(query, Index([s for _, s in found]), percent)]
         return pa.table({"a": pa.array([table["leader"][0].as_py()] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
     return run
@@ -261,11 +288,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return rows.union(leaders).groupBy("leader", "part").applyInArrow(_searched(n, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, key, n_shingles, component_id of every document; key is a hash of the text.
 
     Documents without words or text are linked with nothing and are their own component. Repeated rows
-    give a row each, of one component. A component of null ids only has none.
+    give a row each, of one component. A component of null ids only has none. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = documents(docs).withColumn("key", F.xxhash64("text"))
@@ -274,79 +301,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     level = np.zeros(CELLS, np.uint8)
     for r in total:
         level[r.part * (CELLS // PARTS) : (r.part + 1) * (CELLS // PARTS)] = np.frombuffer(r.blob, np.uint8)
-    levels = spark.sparkContext.broadcast(level)
     each = survey.filter("part < 0").select("doc_id", "key", "node", "size")
 
-    lists = rows.select("text").mapInArrow(_postings(words, percent, n_buckets(spark), levels), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists, "list long, weight long, members binary")
-    lists = cut(lists.groupBy("list").agg(F.sum("weight").alias("weight"), F.first("members").alias("members")))
-    members = cut(_hopeful(_members(lists)))
-    alive = members.groupBy("list").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("alone", "node", "size"))).alias("members")).filter(F.size("members") > 1)
-    led = alive.select("weight", "members").mapInArrow(_led(percent), _PAIRS).groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need"))
-    pairs = cut(led.filter("2 * weight >= need").select("leader", "other"))  # a list's leader may change, so half is enough
+    members = inverted(rows, words, percent, spark.sparkContext.broadcast(level), hot)
+    pairs = cut(led(members, percent))
     # Texts are read once: for leaders and led, and for all that would be compared if these pairs were the links.
-    rest = _rest(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
-    nodes = pairs.select(F.col("leader").alias("node")).union(pairs.select("other")).union(rest.select("leader")).union(rest.select("other")).distinct()
+    # Any other pair that is compared later lies within a component of these pairs.
+    more = across(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
+    nodes = reduce(DataFrame.union, [x.select(F.col(c).alias("node")) for x in (pairs, more) for c in ("leader", "other")]).distinct()
     of_node = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
-    needed_ = nodes.join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k"))
-    texts = cut(rows.join(needed_, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["key"] == F.col("k"))).select("node", "text").dropDuplicates(["node"]))
+    wanted = nodes.join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k"))
+    texts = cut(rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["key"] == F.col("k"))).select("node", "text").dropDuplicates(["node"]))
 
     links = cut(_verified(pairs, texts, words, percent))
+    rest = cut(across(members, components(links), percent))
+    if not rest.isEmpty():
+        links = cut(links.union(_verified(rest, texts, words, percent)))
     labels = components(links)
-    rest = cut(_rest(members, labels, percent).join(pairs.union(pairs.select("other", "leader")), ["leader", "other"], "left_anti"))
-    for last in (False, True):
-        if rest.isEmpty():
-            break
-        tried = rest if last else _likeliest(rest)
-        links = cut(links.union(_verified(tried.select("leader", "other"), texts, words, percent)))
-        labels = components(links)
-        if not last:
-            one, two = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("leader", "other"))
-            apart = F.coalesce("of_leader", "leader") != F.coalesce("of_other", "other")
-            rest = cut(rest.join(tried, ["leader", "other"], "left_anti").join(one, "leader", "left").join(two, "other", "left").filter(apart).select(*rest.columns))
     least = of_node.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("one.doc_id").alias("least"))
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     return each.join(named, "node", "left").select("doc_id", "key", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _rest(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(leader, other) of all pairs in different components that are together in as many lists as links are."""
-    labelled = members.join(labels, "node", "left").select("list", "weight", "node", "size", F.coalesce("component", "node").alias("component"))
-    apart = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("list")
-    left = _hopeful(labelled.join(apart, "list", "left_semi"))
-    several = left.groupBy("list").agg(F.first("weight").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("node", "size", "component", "w")).alias("members")).filter("low < high")
-    found = several.select("weight", "members").mapInArrow(_across(percent), _PAIRS)
-    return found.groupBy("leader", "other").agg(F.sum("weight").alias("weight"), F.max("need").alias("need")).filter("weight >= need")
-
-
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """For each node the pair that is together in most lists for its need, as a leader and as another; its links may spare the rest."""
-    best = [pairs.groupBy(a).agg(F.max_by(b, F.struct(F.col("weight") / F.col("need"), b)).alias(b)).select("leader", "other") for a, b in (("leader", "other"), ("other", "leader"))]
-    return cut(best[0].union(best[1]).distinct())
-
-
-def _hopeful(members: DataFrame) -> DataFrame:
-    """Members that are in as many lists as any pair of theirs needs: a twenty-fifth of their size, since the other may be a fifth smaller.
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """All columns of one document of each component, that of least doc_id; of repeated rows one.
 
-    w: in how many. alone: the lower, the more of its shingles others have, as the source of copies that differ from each other.
+    Documents without words or text are components of their own and stay. Columns may have any names.
     """
-    node = members.groupBy(F.col("node").alias("n")).agg(F.sum("weight").alias("w"), F.max("size").alias("s")).filter("w >= floor(s / 25) + 1").select("n", "w", (-F.col("w") / F.col("s")).alias("alone"))
-    return members.join(node, F.col("node") == F.col("n")).drop("n")
-
-
-def _members(lists: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            parts = [unpack(x, np.int64, np.uint32) for x in b["members"].to_pylist()]
-            if parts:
-                many = [len(p[0]) for p in parts]
-                cols = [np.repeat(b[c].to_numpy(), many) for c in ("list", "weight")] + [np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["list", "weight", "node", "size"])
-
-    return lists.mapInArrow(run, "list long, weight long, node long, size long")
-
-
-def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """All columns of one document of each component, that of least doc_id; of repeated rows one."""
-    kept = near_duplicates(docs, words, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("rep_doc__"), F.col("key").alias("rep_key__")).distinct()
-    keyed = docs.withColumn("key__", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("rep_doc__")) & (F.col("key__") == F.col("rep_key__"))).dropDuplicates(["rep_doc__", "rep_key__"]).select(*docs.columns)
+    kept = near_duplicates(docs, words, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return keyed.join(kept, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).dropDuplicates(["id", "key"]).select("doc.*")

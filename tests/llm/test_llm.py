@@ -81,18 +81,48 @@ def test_divide_skip_agrees_with_all_overlaps():
         sets = [np.unique(np.where(r.random(len(base)) < 0.1, r.integers(0, 80, len(base)), base)).astype(np.uint64) for _ in range(15)]
         sets = [s for s in sets if len(s) >= len(base)]
         exact = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, base)) >= 80 * len(np.union1d(s, base))]
-        assert jaccard_join.divide_skip(base, sets) == exact
+        assert jaccard_join.divide_skip(base, jaccard_join.Index(sets)) == exact
 
 
-def test_prefixes_hold_the_needed_elements():
+def test_the_first_common_shingle_stands_early_enough():
     r = random.Random(1)
     for _ in range(300):
         x = r.sample(range(400), r.randint(1, 120))
         y = [v for v in x if r.random() < 0.93] + r.sample(range(400, 500), r.randint(0, 8))
         if not y or 100 * len(set(x) & set(y)) < 80 * len(set(x) | set(y)):
             continue
-        px, py = (sorted(s)[: int(jaccard_join.prefix(len(s), 80))] for s in (x, y))
-        assert len(set(px) & set(py)) >= jaccard_join.needed(len(x), len(y), 80) >= 1
+        first, both = min(set(x) & set(y)), jaccard_join.overlap(len(x), len(y), 80)
+        for s in (x, y):
+            at = sorted(s).index(first)
+            assert at <= len(s) - both and at < jaccard_join.prefix(len(s), 80)
+
+
+def test_near_duplicates_by_rows_of_hot_shingles(spark, rows):
+    assert got(jaccard_join.near_duplicates(make(spark, rows), hot=2), "doc_id", "n_shingles", "component_id") == want(near_duplicates(rows))
+
+
+def test_candidates_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies of one source with one to eight changes: half link to it, and few of the others' pairs are compared."""
+    r, made = random.Random(2), {}
+    source = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(source))]
+    for i in range(1, 700):
+        copy = list(source)
+        for _ in range(r.choice((1, 2, 3, 3, 4, 5, 8))):
+            copy[r.randrange(150)] = f"c{r.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    for name in ("led", "across"):
+        monkeypatch.setattr(jaccard_join, name, lambda *a, of=getattr(jaccard_join, name), name=name: made.setdefault((name, len(made)), of(*a)))
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(found, "doc_id", "n_shingles", "component_id") == want(near_duplicates(rows))
+    assert sum(x.count() for x in made.values()) < 8 * len(rows)
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 5, 6, 7, 8), (2, "a b c d e f g", 1, 2, 3, 4), (2, "a b c d e f g", 1, 2, 3, 4), (3, None, 1, 1, 1, 1), (None, "x", 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key__ long, key long, d long, doc long")
+    kept = jaccard_join.representatives(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
 
 
 def test_decontamination_in_one_chunk_and_in_many(spark, rows):
