@@ -146,11 +146,24 @@ def _postings(n: int, percent: int, buckets: int, levels, hot: int):
     return run
 
 
-def _lists(table: pa.Table) -> pa.Table:
+def _partnered(size: np.ndarray, pos: np.ndarray, of: np.ndarray, percent: int) -> np.ndarray:
+    """Members of lists (of: which, ascending) whose place is early enough for another member of like size."""
+    key = np.sort(of * (1 << 40) + size)
+    low, high = -(-percent * size // 100), np.minimum(100 * size // percent, (100 + percent) * (size - pos) // percent - size)
+    found = np.searchsorted(key, of * (1 << 40) + high, "right") - np.searchsorted(key, of * (1 << 40) + low)
+    return found > (high >= size)  # without the member itself
+
+
+def _lists(percent: int):
+    return lambda table: _listed(table, percent)
+
+
+def _listed(table: pa.Table, percent: int) -> pa.Table:
     """The inverted lists of two nodes or more.
 
     Of lists with the same members one stays, that of the rarest shingle, with their number: shingles have one
     order, so it has the least place of each member. first: the place of the first member, by which that one is known.
+    Members that no other one suits are left out then.
     """
     parts = [unpack(x, U64, np.int64, np.uint32, np.uint32) for x in table["blob"].to_pylist()]
     h, node, size, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -167,8 +180,14 @@ def _lists(table: pa.Table) -> pa.Table:
     start, end, name = start[order], end[order], name[order]
     one = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
     many = np.diff(np.r_[one, len(name)])
-    members = [pack(node[i:j], size[i:j], pos[i:j]) for i, j in zip(start[one], end[one], strict=True)]
-    return pa.table({"list": pa.array(name[one].view(np.int64), pa.int64()), "weight": pa.array(many, pa.int64()), "first": pa.array(pos[start[one]], pa.int64()), "members": pa.array(members, pa.binary())})
+    start, end, name = start[one], end[one], name[one]
+    length = end - start
+    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    of = np.repeat(np.arange(len(start)), length)
+    good = _partnered(size[at].astype(np.int64), pos[at].astype(np.int64), of, percent)
+    at, edge = at[good], np.searchsorted(of[good], np.arange(len(start) + 1))
+    members = [pack(node[at[i:j]], size[at[i:j]], pos[at[i:j]]) for i, j in zip(edge, edge[1:], strict=False)]
+    return pa.table({"list": pa.array(name.view(np.int64), pa.int64()), "weight": pa.array(many, pa.int64()), "first": pa.array(pos[start], pa.int64()), "members": pa.array(members, pa.binary())})
 
 
 def _members(batches):
@@ -180,16 +199,20 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["list", "weight", "node", "size", "pos"])
 
 
-def inverted(rows: DataFrame, words: int, percent: int, levels, hot: int) -> DataFrame:
+def inverted(rows: DataFrame, words: int, percent: int, level: np.ndarray, hot: int) -> DataFrame:
     """list, node, size, pos, band, alone of every posting; alone: the lower, the more of its places others have, as the source of copies."""
-    posted = cut(rows.select("text").mapInArrow(_postings(words, percent, n_buckets(rows.sparkSession), levels, hot), _POSTED))
-    lists = posted.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists, "list long, weight long, first long, members binary")
+    posted = rows.select("text").mapInArrow(_postings(words, percent, n_buckets(rows.sparkSession), rows.sparkSession.sparkContext.broadcast(level), hot), _POSTED)
+    if any_hot := bool((level >= _level(np.array([hot]))[0]).any()):
+        posted = cut(posted)
+    lists = posted.filter("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists(percent), "list long, weight long, first long, members binary")
     lists = lists.groupBy("list").agg(F.sum("weight").alias("weight"), F.min_by("members", "first").alias("members"))
     members = lists.mapInArrow(_members, "list long, weight long, node long, size long, pos long")
-    members = cut(members.union(posted.filter("bucket is null").select(*members.columns).distinct()))
-    shared = members.groupBy(F.col("node").alias("n")).agg((-F.sum("weight") / F.first("size")).alias("alone"))
-    band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).alias("band")  # members of like size are in one or in neighbours
-    return cut(members.join(shared, F.col("node") == F.col("n")).select("list", "node", "size", "pos", band, "alone"))
+    if any_hot:
+        members = members.union(posted.filter("bucket is null").select(*members.columns).distinct())
+    members = cut(members)
+    shared = members.groupBy(F.col("node").alias("n")).agg((-F.sum("weight") / F.first("size")).cast("float").alias("alone"))
+    band = F.floor(F.log("size") / float(np.log(100 / percent)) + 1e-9).cast("int").alias("band")  # members of like size are in one or in neighbours
+    return cut(members.join(shared, F.col("node") == F.col("n")).select("list", "node", F.col("size").cast("int").alias("size"), F.col("pos").cast("int").alias("pos"), band, "alone"))
 
 
 def _like(a: str, b: str, percent: int):
@@ -303,14 +326,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         level[r.part * (CELLS // PARTS) : (r.part + 1) * (CELLS // PARTS)] = np.frombuffer(r.blob, np.uint8)
     each = survey.filter("part < 0").select("doc_id", "key", "node", "size")
 
-    members = inverted(rows, words, percent, spark.sparkContext.broadcast(level), hot)
+    members = inverted(rows, words, percent, level, hot)
     pairs = cut(led(members, percent))
     # Texts are read once: for leaders and led, and for all that would be compared if these pairs were the links.
     # Any other pair that is compared later lies within a component of these pairs.
     more = across(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
     nodes = reduce(DataFrame.union, [x.select(F.col(c).alias("node")) for x in (pairs, more) for c in ("leader", "other")]).distinct()
     of_node = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
-    wanted = nodes.join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k"))
+    wanted = cut(nodes.join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k")))  # of known size, so broadcast if small
     texts = cut(rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["key"] == F.col("k"))).select("node", "text").dropDuplicates(["node"]))
 
     links = cut(_verified(pairs, texts, words, percent))
