@@ -11,6 +11,7 @@ Counts, classes, noise and base scores come from all training tokens and are gat
 buckets; counts of words outside the head never leave their bucket, which returns sums for each text.
 The network's weights are fitted to all training positions: in each of EPOCHS rounds every partition goes on
 from the common weights over its own positions, and the weights it ends with count by its positions in their mean.
+Of HELD positions at a time, equal ones (contexts are pairs of outputs, so they are many) are one row that weighs as many.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .flow import arrow, batch, cut, documents, pack, ranges_by_bucket, unpack
 
 OWN, HEAD = 42, 1 << 17
 DIM, NOISE, EPOCHS, RATE = 32, 128, 2, 0.15
+HELD = 1 << 22
 END = U64(0x5E0F5E0F5E0F5E0F)  # the end of a text, as a token
 RESULT = "doc_id long,held_out boolean,n_tokens long,n_known long,train_tokens long,base_score double,score double"
 SCORED = "bucket int,slice long,blob binary,at int,doc_id long,held_out boolean,n_tokens long,n_rare long,known long,counts double,model double"
@@ -168,22 +170,25 @@ class Network:
             at += x.size
 
     def learn(self, rows: np.ndarray, rng: np.random.Generator, size: int = 512) -> None:
-        """One pass over rows (two before, one before, output) in random order; the noise is the outputs' share of all training tokens."""
+        """One pass over rows (two before, one before, output), equal ones at once, in random order; the noise is the outputs' share of all training tokens."""
+        k = self.log_noise.shape[0] + 1
+        keys, weight = np.unique((rows[:, 0].astype(np.int64) * k + rows[:, 1]) * k + rows[:, 2], return_counts=True)
+        rows = np.stack([keys // (k * k), keys // k % k, keys % k], 1)
         noises = np.searchsorted(np.cumsum(self.share)[:-1], rng.random((-(-len(rows) // size), NOISE)), "right")
         order = rng.permutation(len(rows))
         for i, noise in zip(range(0, len(rows), size), noises, strict=True):
-            self._step(*rows[order[i : i + size]].T, noise)
+            self._step(*rows[order[i : i + size]].T, weight[order[i : i + size]].astype(np.float32), noise)
 
-    def _step(self, two: np.ndarray, one: np.ndarray, out: np.ndarray, noise: np.ndarray) -> None:
-        (r, q, b, near, far), m = self.params, np.float32(len(out))
+    def _step(self, two: np.ndarray, one: np.ndarray, out: np.ndarray, weight: np.ndarray, noise: np.ndarray) -> None:
+        (r, q, b, near, far), weight = self.params, weight / weight.sum()
         x, y, z, w = r[one], r[two], q[out], q[noise]
         h = x @ near + y @ far
-        gain = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, z) + b[out] - self.log_noise[out])) / m  # of true words
+        gain = weight / (1 + np.exp(np.einsum("ij,ij->i", h, z) + b[out] - self.log_noise[out]))  # of true words
         loss = (h * np.float32(0.5)) @ w.T  # of noise words: the logistic function by tanh, in place
         loss += (b[noise] - self.log_noise[noise]) * np.float32(0.5)
         np.tanh(loss, out=loss)
         loss += 1
-        loss *= -0.5 / m
+        loss *= np.float32(-0.5) * weight[:, None]
         gh = gain[:, None] * z + loss @ w
         before = _summed(np.concatenate([one, two]), np.concatenate([gh @ near.T, gh @ far.T]))
         word, g = _summed(np.concatenate([out, noise]), np.concatenate([np.c_[gain[:, None] * h, gain], np.c_[loss.T @ h, loss.sum(0)]]))
@@ -234,12 +239,17 @@ def fitted(docs: DataFrame, model: Model, n: int, most: int | None = None, seed:
         start = docs.sparkSession.sparkContext.broadcast(net.state())
 
         def run(batches, start=start, epoch=epoch):
-            part, seen = TaskContext.get().partitionId(), 0
+            part, seen, held = TaskContext.get().partitionId(), 0, []
             own, rng = Network(bare.value, seed), np.random.default_rng((seed, epoch, part))
             own.become(start.value)
             for rows in positions(batches, bare.value, most):
-                own.learn(rows, rng)
+                held.append(rows)
                 seen += len(rows)
+                if sum(map(len, held)) > HELD:
+                    own.learn(np.concatenate(held), rng)
+                    held = []
+            if held:
+                own.learn(np.concatenate(held), rng)
             if seen:
                 state = own.state()
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "n": pa.array([seen] * n), "blob": pa.array([pack(state[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())})
