@@ -26,15 +26,19 @@ PIECES = "doc_id long,piece int,start long,length long,ids_crc32 long,part int,r
 
 @lru_cache(1)
 def encoder(path: str):
-    """tiktoken with the ranks of a byte-level BPE file; ids equal those of the tokenizers library."""
+    """tiktoken with the ranks of a byte-level BPE file and the special tokens of the vocabulary beside it, whose ids the tokenizers library gives."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if x["special"]}
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def vocabulary() -> str:
@@ -48,7 +52,7 @@ def token_ids(texts, path: str):
     """uint32 ids of each text, then END_ID."""
     enc, end = encoder(path), np.array([END_ID], np.uint32)
     for x in texts:
-        yield np.concatenate([enc.encode_to_numpy(x, disallowed_special=()).astype(np.uint32), end]) if x else end
+        yield np.concatenate([enc.encode_to_numpy(x, allowed_special="all").astype(np.uint32), end]) if x else end
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -75,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return documents(docs).mapInArrow(run, PIECES)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=(1.0, 0.0, 0.0), rule: str = "norm") -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "norm") -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first rank, count, first sequence, offset) for count pieces of each length.
 
     Of the open sequences that a piece fits in under every capacity, rule "norm" takes the one with
@@ -117,7 +121,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int | No
     return slots
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=(1.0, 0.0, 0.0), rule: str = "norm", path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights=(1.0, 1.0, 1.0), rule: str = "norm", path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Null or empty texts are packed as their end id. Repeated rows are packed once each; a null
