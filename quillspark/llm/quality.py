@@ -3,7 +3,7 @@
 Each labeller votes good, bad or abstains on a document. The counts of vote patterns over all documents
 (at most 3 ** 9 patterns) are all that expectation-maximisation needs; it estimates each labeller's accuracy on
 either class and gives each pattern a posterior. A linear scorer over hashed words and measures is trained
-on the posteriors of at most SAMPLE documents, the first by hash of doc_id, and scores every document.
+on the posteriors of at most SAMPLE rows, chosen by a hash, and scores every document.
 """
 
 from __future__ import annotations
@@ -84,13 +84,23 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.nda
     return p
 
 
-def hashed(block, m: np.ndarray) -> np.ndarray:
-    """Features of each text: relative counts of words by hash, and the measures, scaled."""
-    size = 1 << SLOT_BITS
-    slot = (block.hashes() >> U64(64 - SLOT_BITS)).astype(np.int64)
-    x = np.bincount(block.text * size + slot, minlength=block.n_texts * size).reshape(-1, size) / np.sqrt(np.maximum(block.count, 1))[:, None]
-    scaled = np.concatenate([np.log1p(m[:, :1]) / 5, m[:, 1:2] / 10, m[:, 2:] * 3, np.ones((len(m), 1)), votes(m) / 2], 1)
-    return np.concatenate([x / 10, scaled], 1)
+class Features:
+    """Features of a block's texts: relative counts of words by hash, kept as a slot and a weight for each word, and scaled measures."""
+
+    def __init__(self, block, m: np.ndarray):
+        self.slot, self.text, self.n = (block.hashes() >> U64(64 - SLOT_BITS)).astype(np.int64), block.text, block.n_texts
+        self.scale = 0.1 / np.sqrt(np.maximum(block.count, 1))
+        self.rest = np.concatenate([np.log1p(m[:, :1]) / 5, m[:, 1:2] / 10, m[:, 2:] * 3, np.ones((len(m), 1)), votes(m) / 2], 1)
+        self.total = block.count * self.scale + np.abs(self.rest).sum(1)  # of absolute values
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        size = 1 << SLOT_BITS
+        return np.bincount(self.text, w[self.slot], self.n) * self.scale + self.rest @ w[size:]
+
+    def summed(self, by: np.ndarray, absolute: bool = False) -> np.ndarray:
+        """The texts' features, each text's times its factor, in one vector."""
+        words = np.bincount(self.slot, (by * self.scale)[self.text], 1 << SLOT_BITS)
+        return np.concatenate([words, by @ (np.abs(self.rest) if absolute else self.rest)])
 
 
 def _measured(batches):
@@ -116,18 +126,19 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
         posterior[codes] = estimate(codes, patterns["n"].to_numpy())
     total = int(patterns["n"].sum())
     bound = -(2**63) + int(2**64 * min(1.0, sample / max(total, 1)))
-    chosen = rows.filter(F.xxhash64("doc_id") < F.lit(min(bound, 2**63 - 1))) if total > sample else rows
+    # By row, not by document, so that repeated rows are sampled like others.
+    chosen = rows.filter(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()) < F.lit(min(bound, 2**63 - 1))).limit(sample) if total > sample else rows
     held = spark.sparkContext.broadcast(posterior)
 
     def gradients(weights):
         def run(batches):
-            g, h, n = np.zeros(len(weights.value)), np.zeros(len(weights.value)), 0
+            g, h = np.zeros(len(weights.value)), np.zeros(len(weights.value))
             for b in batches:
                 for _, _, block in blocks(b["text"], SPACED):
                     m = measures(block)
-                    x, y = hashed(block, m), held.value[coded(votes(m))]
-                    q = 1 / (1 + np.exp(-np.clip(x @ weights.value, -30, 30)))
-                    g, h, n = g + (y - q) @ x, h + (q * (1 - q)) @ np.abs(x) * np.abs(x).sum(1).max(initial=1), n + len(x)
+                    x, y = Features(block, m), held.value[coded(votes(m))]
+                    q = 1 / (1 + np.exp(-np.clip(x.dot(weights.value), -30, 30)))
+                    g, h = g + x.summed(y - q), h + x.summed(q * (1 - q), True) * x.total.max(initial=1)
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=["g", "h"])
 
         return run
@@ -146,7 +157,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
             for _, _, block in blocks(b["text"], SPACED):
                 m = measures(block)
                 code.append(coded(votes(m)))
-                score.append(1 / (1 + np.exp(-np.clip(hashed(block, m) @ weights.value, -30, 30))))
+                score.append(1 / (1 + np.exp(-np.clip(Features(block, m).dot(weights.value), -30, 30))))
             code, score = np.concatenate(code), np.concatenate(score)
             p = held.value[code]
             yield batch(schema, doc_id=b["doc_id"], votes=code.astype(np.int32), posterior=p, score=score, keep=(p + score) / 2 >= keep)
