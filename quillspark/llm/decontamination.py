@@ -1,7 +1,8 @@
 """Benchmark decontamination: training texts are scanned for normalised windows of test items.
 
-The items' windows go to the executors as a hash set, in chunks of bounded bytes (one chunk for
-usual benchmarks, one scan for each chunk beyond that). Every hit of a hash is verified word by word.
+The items' windows go to the executors as a hash set in sorted arrays, about ten bytes for each of their text, in chunks of
+CHUNK_BYTES of text (one chunk for usual benchmarks, one scan for each chunk beyond that). Every hit of a hash is
+verified word by word.
 """
 
 from __future__ import annotations
@@ -16,48 +17,69 @@ from pyspark.sql import functions as F
 from .arrays import ALNUM, Block, blocks, covered, owned, pieces, texts, windows
 from .flow import arrow, batch, cut, documents
 
-WINDOW, CHUNK_BYTES = 13, 32 << 20
+WINDOW, CHUNK_BYTES = 13, 16 << 20
 FOUND = "row long,doc_id long,n_words long,hits binary,items binary"
 RESULT = "doc_id long,n_words long,n_hit long,n_items long,items_sha256 string,contaminated boolean"
 
 
 class Windows:
-    """The windows of some items: hash -> [(words, item ids)], by window length."""
+    """The windows of some items in arrays: by length, sorted hashes, and the first word and item of each."""
 
     def __init__(self, ids: list, column, window: int):
-        self.by_length: dict[int, dict[int, list[tuple[bytes, set[str]]]]] = {}
+        self.names = sorted({str(x) for x in ids if x is not None})
+        number = {x: i for i, x in enumerate(self.names)}
+        item = np.array([-1 if x is None else number[str(x)] for x in ids], np.int32)
         data, offsets = texts(column)
+        held, words, found = [], [np.zeros((0, 2), np.int32)], {}
+        n_bytes = n_words = 0
         for i, j in pieces(data, offsets):
             b = Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, True)
             h = b.hashes()
-            for k in np.unique(np.minimum(b.count[b.count > 0], window)):
-                w = windows(h, int(k))
-                for at in owned(b.first, int(k)):
-                    if min(b.count[b.text[at]], window) == k and ids[i + b.text[at]] is not None:
-                        self.add(int(k), int(w[at]), b" ".join(map(b.word, range(at, at + k))), str(ids[i + b.text[at]]))
-        self.hashes = {k: np.array(sorted(x), np.uint64) for k, x in self.by_length.items()}
-
-    def add(self, k: int, h: int, words: bytes, item: str) -> None:
-        found = self.by_length.setdefault(k, {}).setdefault(h, [])
-        for known, items in found:
-            if known == words:
-                items.add(item)
-                return
-        found.append((words, {item}))
+            for k in np.unique(np.minimum(b.count[b.count > 0], window)).tolist():
+                at = owned(b.first, k)
+                at = at[(np.minimum(b.count[b.text[at]], window) == k) & (item[i + b.text[at]] >= 0)]
+                found.setdefault(k, []).append((windows(h, k)[at], (n_words + at).astype(np.int32), item[i + b.text[at]]))
+            held.append(b.data)
+            words.append((np.stack([b.start, b.end], 1) + n_bytes).astype(np.int32))
+            n_bytes, n_words = n_bytes + len(b.data), n_words + len(b)
+        self.data, self.words = np.concatenate([np.zeros(0, np.uint8), *held]), np.concatenate(words)
+        self.by_length = {}
+        for k, parts in found.items():
+            h, at, who = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, who, h))
+            h, at, who = h[order], at[order], who[order]
+            # Of an item's equal windows one stays. like: whether the words are those of the first of the same hash.
+            like = np.ones(len(h), bool)
+            first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0)) if len(h) else at
+            for x in np.flatnonzero(first != np.arange(len(h))):
+                like[x] = self.same(at[x], k, self.phrase(at[first[x]], k))
+            keep = np.r_[True, (h[1:] != h[:-1]) | (who[1:] != who[:-1]) | ~like[1:]] if len(h) else like
+            self.by_length[k] = h[keep], at[keep], who[keep], like[keep]
+
+    def phrase(self, at: int, k: int) -> list[bytes]:
+        return [self.data[i:j].tobytes() for i, j in self.words[at : at + k]]
+
+    def same(self, at: int, k: int, words: list[bytes]) -> bool:
+        return self.phrase(at, k) == words
 
     def scan(self, b: Block):
         """(window length, first word, item ids) of every verified occurrence."""
         h = b.hashes()
-        for k, known in self.hashes.items():
-            at = owned(b.first, k)
-            w = windows(h, k)[at]
-            if not len(w):
+        for k, (known, at, who, like) in self.by_length.items():
+            mine = owned(b.first, k)
+            w = windows(h, k)[mine]
+            if not len(w) or not len(known):
                 continue
-            for p in at[known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w]:
-                words = b" ".join(map(b.word, range(p, p + k)))
-                for same, items in self.by_length[k][int(windows(h[p : p + k], k)[0])]:
-                    if same == words:
-                        yield k, int(p), items
+            low = np.minimum(np.searchsorted(known, w), len(known) - 1)
+            hit = np.flatnonzero(known[low] == w)
+            for p, x in zip(mine[hit], low[hit], strict=True):
+                y = x + int(np.searchsorted(known[x:], known[x], "right"))
+                words = [b.word(i) for i in range(p, p + k)]
+                good = like[x:y] if self.same(at[x], k, words) else np.zeros(y - x, bool)
+                if not like[x:y].all():  # two windows of one hash
+                    good = np.array([self.same(a, k, words) for a in at[x:y]])
+                if good.any():
+                    yield k, int(p), {self.names[i] for i in who[x:y][good]}
 
 
 def _chunks(benchmark: DataFrame, most: int):
@@ -133,7 +155,10 @@ def merged(rows: DataFrame, chunks: list) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """All columns of the documents that aren't contaminated; with one chunk in one scan, so that texts aren't shuffled."""
+    """All columns of the documents that aren't contaminated; with one chunk in one scan, so that texts aren't shuffled.
+
+    Every row is judged by its own text, whatever its doc_id. Null and empty texts stay, and so does all with an empty benchmark.
+    """
     chunks = [docs.sparkSession.sparkContext.broadcast(Windows(ids, column, window)) for ids, column in _chunks(benchmark, chunk_bytes)]
     if len(chunks) > 1:
         rows = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
