@@ -115,10 +115,11 @@ def compared(docs: DataFrame) -> DataFrame:
     the order and give a row each. A single document is its own next.
     """
     rows = documents(docs).select(F.coalesce("doc_id", F.lit(_ID)).alias("d"), F.xxhash64("text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.groupBy("d", "k").agg(F.max(F.floor(F.char_length("text") / 2)).alias("half"))
+    ids = rows.groupBy("d", "k").agg(F.max(F.floor(F.char_length("text") / 2)).alias("half"), F.count("*").alias("n"))
     after = cut(successors(ids))
     heads = rows.join(after.select(F.col("d").alias("pd"), F.col("k").alias("pk"), "half", "nd", "nk"), (F.col("d") == F.col("nd")) & (F.col("k") == F.col("nk"))).select("pd", "pk", F.expr("substring(text, 1, int(half))").alias("head")).groupBy("pd", "pk").agg(F.min("head").alias("head"))
     both = rows.join(heads, (F.col("d") == F.col("pd")) & (F.col("k") == F.col("pk"))).select("d", "k", "text", F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"), "head").alias("edited"))
+    both = both.dropDuplicates(["d", "k"])  # repeated rows are hashed once; n counts them
     digest = F.sha2("edited", 256)
     parts = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
     found = cut(vectors(both, ["d", "k"], ["text", "edited"], [F.char_length("text"), *parts]))
@@ -132,6 +133,6 @@ def compared(docs: DataFrame) -> DataFrame:
         written(F.col("edited_strong"), F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("text_lanes"), F.col("edited_lanes"), F.col("text_strong"), F.col("edited_strong")).alias("near_edited"),
         likeness(F.col("text_lanes"), F.col("next_lanes"), F.col("text_strong"), F.col("next_strong")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"),
     )
     return out.drop("copy")
