@@ -25,7 +25,7 @@ from .flow import arrow, batch, documents
 
 SLOTS, SAMPLE, THRESHOLD = 1 << 18, 40_000, 0.3
 PRIOR, STEP, SIGNIFICANT = 500.0, 0.5, 0.05
-RESULT = "doc_id long,held_out boolean,score double,predicted int,n_segments int,best_start int,best_end int"
+RESULT = "doc_id long,held_out boolean,score double,predicted int,n_segments int,best_start int,best_end int,starts array<long>,ends array<long>"
 
 
 def slots_of(b: Block) -> np.ndarray:
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, slots_bits: int = 18, sample:
 def score(docs: DataFrame, model: Model, by: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted and the best significant passage (words from and to, -1 without one) of every document.
 
-    Null and empty texts have no words and get the score of a text without a passage. Repeated rows give a row each.
+    starts and ends bound the words of every significant passage, best first. Null and empty texts have no words and get the score of a text without a passage. Repeated rows give a row each.
     """
     held, schema = docs.sparkSession.sparkContext.broadcast(model), arrow(RESULT)
 
@@ -170,8 +170,8 @@ def score(docs: DataFrame, model: Model, by: int = 4, held_out: int = 2) -> Data
                 for t in range(block.n_texts):
                     f, kept = held.value.features(x[block.first[t] : block.first[t + 1]])
                     p = held.value.score(f)
-                    rows.append((p, int(p >= THRESHOLD), len(kept), *(kept[0][2:] if kept else (-1, -1))))
-            cols = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5
+                    rows.append((p, int(p >= THRESHOLD), len(kept), *(kept[0][2:] if kept else (-1, -1)), [k[2] for k in kept], [k[3] for k in kept]))
+            cols = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 7
             yield batch(schema, doc_id=b["doc_id"], held_out=b["held_out"], **dict(zip(schema.names[2:], cols, strict=True)))
 
     rows = documents(docs).select("doc_id", "text", (remainder(F.col("doc_id"), by) == held_out).alias("held_out"))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, by: int = 4, held_out: int = 2) -> Data
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns, whose score stays below THRESHOLD."""
+    """The documents, all columns, whose score stays below THRESHOLD; null and empty texts are scored as score() does. Repeated rows stay or go together."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
