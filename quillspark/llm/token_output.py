@@ -77,7 +77,7 @@ def packed(docs: DataFrame, width: int = WIDTH, path: str | None = None, pad: in
     """Packed rows of all documents' ids, each document's followed by END_ID; null and empty texts are END_ID alone.
 
     Repeated rows are packed as often as they stand, and null doc_ids stay null in doc_ids. An empty table
-    gives no rows. Write the result as Parquet for the id matrices.
+    gives no rows. write() stores the id matrices.
     """
     path = path or vocabulary()
 
@@ -113,7 +113,26 @@ def packed(docs: DataFrame, width: int = WIDTH, path: str | None = None, pad: in
     return documents(docs).mapInArrow(run, ROWS)
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """A row for each piece: where it is, without the ids."""
-    each = rows.select("row_id", "n_tokens", "ids_crc32", "cu_seqlens", F.explode(F.arrays_zip("doc_ids", "pieces", "starts", F.slice("cu_seqlens", 1, F.size("doc_ids")).alias("offset"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("end"))).alias("p"))
-    return each.select("row_id", F.col("p.doc_ids").alias("doc_id"), F.col("p.pieces").alias("piece"), F.col("p.starts").alias("start"), F.col("p.offset").alias("offset"), (F.col("p.end") - F.col("p.offset")).alias("length"), F.col("n_tokens").alias("row_tokens"), F.col("ids_crc32").alias("row_crc32"))
+BINARY = "row_id long, ids binary, cu_seqlens binary, position_ids binary"
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """Packed rows as Parquet of little-endian 32-bit integers: ids, cumulative segment lengths and positions, one row of the matrix each."""
+
+    def run(batches):
+        for b in batches:
+            cols = [pa.array([np.array(x, "<u4").tobytes() for x in b[c].to_pylist()], pa.binary()) for c in ("ids", "cu_seqlens", "position_ids")]
+            yield pa.RecordBatch.from_arrays([b["row_id"], *cols], names=["row_id", "ids", "cu_seqlens", "position_ids"])
+
+    rows.select("row_id", "ids", "cu_seqlens", "position_ids").mapInArrow(run, BINARY).write.parquet(path)
+
+
+def read(spark, path: str) -> DataFrame:
+    """What write() wrote, as arrays again."""
+
+    def run(batches):
+        for b in batches:
+            cols = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in b[c].to_pylist()], pa.list_(pa.int32())) for c in ("ids", "cu_seqlens", "position_ids")]
+            yield pa.RecordBatch.from_arrays([b["row_id"], *cols], names=["row_id", "ids", "cu_seqlens", "position_ids"])
+
+    return spark.read.schema(BINARY).parquet(path).mapInArrow(run, "row_id long, ids array<int>, cu_seqlens array<int>, position_ids array<int>")
