@@ -23,9 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all that cut() wrote in this application. Results are lazy and read it, so only their consumer can tell when."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: later stages and retries start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/quillspark-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

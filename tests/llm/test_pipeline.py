@@ -38,3 +38,23 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     ids = B.token_ids([t or "" for _, t in kept], B.vocabulary())
     assert sum(x.length for x in packed) == sum(map(len, ids))
+
+
+def test_run_with_toxic_labels_and_repeated_rows(spark, tmp_path):
+    r = random.Random(1)
+    prose = lambda n: " ".join(f"{r.choice(('anti', 'sheer', 'quen', 'torb'))}{r.randrange(400)}" for _ in range(n))
+    rows = [(i, prose(100) + (" moron scum filth vermin " * 12 if i % 4 == 1 else "")) for i in range(200)]
+    rows += [(2, rows[2][1]), (300, rows[6][1]), (301, None), (302, "")]
+    docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, key__ long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "none of these words are anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, 1, int(d < 200 and d % 4 == 1)) for d, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert found == {d for d, _ in rows if d != 300 and not (d < 200 and d % 4 == 1)}
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
