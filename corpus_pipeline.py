@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages: toxicity, near duplicates, decontamination, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Null and empty texts aren't toxic,
+have no near duplicates, aren't contaminated and hold no personal data, so they reach packing as their end id. Repeated
+rows are judged alike; one of them stays after the near duplicates. Columns may have any names besides doc_id and text.
 """
 
 from __future__ import annotations
