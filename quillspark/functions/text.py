@@ -44,15 +44,29 @@ def strip_blockquote(text: Column) -> Column:
     return F.regexp_replace(text, "(?m)^> ?", "")
 
 
+# What plain text leaves out of a body, in this order. Fences of either mark open and close each other.
+FENCES = r"^[^\S\n]*(?:```|~~~)[\s\S]*?(?:\n[^\S\n]*(?:```|~~~)[^\n]*(?:\n|\z)|\z)"
+PLAIN = (
+    (r"!\[\[[^\[\]]*\]\]", ""), (r"\[\[[^\[\]]+\|([^\[\]]+)\]\]", 1), (r"\[\[([^\[\]]*)\]\]", 1), (r"\[([^\[\]]+)\]\([^)]*\)", 1), (r"^#{1,6}[\t\n\f\r ]+", ""), (r"^(?:-{3,}|\*{3,}|_{3,})[\t\n\f\r ]*$", ""),
+    (r"[\t\n\f\r ]*\^[a-zA-Z0-9][a-zA-Z0-9_-]*$", ""), (r"<[^>]+/?>", ""), (r"`([^`]*)`", 1), (r"\*\*|__|~~", ""), (r"\*([^*]+)\*", 1), (r"_([^_]+)_", 1), (r"^>[\t\n\f\r ]?", ""), (r"[\t\f\r ]+", " "), (r"\n{3,}", "\n\n"),
+)
+
+
 def strip_markdown(text: Column) -> Column:
-    """Plain text of a body: fences, comments, code, embeds, links, headings, emphasis, quotes, list marks and rules go, in this order."""
-    rules = [
-        (r"(?ms)^```.*?^```[ \t]*$", ""), (r"(?s)%%.*?%%", ""), (r"(?s)<!--.*?-->", ""), (r"`([^`\n]*)`", "$1"), (r"!\[\[[^\]]*\]\]", ""), (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), (r"\[\[([^\]]*)\]\]", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(\*\*|__)(.*?)\1", "$2"), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^-{3,}$", ""), (r"\n{3,}", "\n\n"),
-    ]
-    for pattern, by in rules:
-        text = F.regexp_replace(text, pattern, by)
-    return F.trim(text)
+    """Plain text of a body: no fenced code, embeds, links, headings, rules, block ids, tags, code marks, emphasis or quote marks."""
+    text = F.regexp_replace(text, f"(?md){FENCES}", "")
+    for pattern, by in PLAIN:
+        text = F.regexp_replace(text, f"(?md){pattern}", "$1" if by == 1 else by)
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def strip_markdown_sql(text: str) -> str:
+    """The same in DuckDB's SQL."""
+    text = f"regexp_replace({text}, '(?m){FENCES}', '', 'g')"
+    for pattern, by in PLAIN:
+        out = "'\\1'" if by == 1 else "chr(10) || chr(10)" if "\n" in by else f"'{by}'"
+        text = f"regexp_replace({text}, '(?m){pattern}', {out}, 'g')"
+    return f"regexp_replace({text}, '\\A\\s+|\\s+\\z', '', 'g')"
 
 
 def sentences(text: Column) -> Column:

@@ -62,8 +62,8 @@ def relevance(top: Column, noise: Column, sigma: Column, default_noise: float) -
 
 
 def edge_priority(edge_type: Column, confidence: Column) -> Column:
-    """0 for explicit links, then high, medium and other confidence."""
-    return F.when(edge_type.startswith("explicit"), 0).when(confidence == "high", 1).when(confidence == "medium", 2).otherwise(3)
+    """0 for explicit relations, 1 for explicit links and embeds, 2 for medium confidence, 3 for all else."""
+    return F.when(edge_type == "explicit_relation", 0).when(edge_type.isin("explicit_link", "explicit_embed"), 1).when(confidence == "medium", 2).otherwise(3)
 
 
 def meets_confidence(edge: Column, least: str) -> Column:

@@ -64,10 +64,13 @@ def consumed(injections: DataFrame, uses: DataFrame, within: int = 1800) -> Data
     return injections.join(hit.select("inj_id").distinct().withColumn("consumed", F.lit(True)), "inj_id", "left").withColumn("consumed", F.coalesce("consumed", F.lit(False)))
 
 
-def hit_mrr(ranks: DataFrame, total: Column | int, k: int) -> DataFrame:
-    """Hit@k and mean reciprocal rank by variant, over `total` events; ranks: (event_id, variant, rank), least rank counts."""
+def hit_mrr(ranks: DataFrame, total: Column | int | None, k: int) -> DataFrame:
+    """Hit@k and mean reciprocal rank by variant, over `total` events, all of ranks if none is given; ranks: (event_id, variant, rank), least rank counts."""
     best = ranks.groupBy("event_id", "variant").agg(F.min("rank").alias("rank"))
-    return best.groupBy("variant").agg((F.sum((F.col("rank") <= k).cast("int")) / total).alias("hit_at_k"), (F.sum(1.0 / F.col("rank")) / total).alias("mrr"))
+    sums = best.groupBy("variant").agg(F.sum((F.col("rank") <= k).cast("int")).alias("hits"), F.sum(1.0 / F.col("rank")).alias("reciprocal"))
+    if total is None:
+        sums, total = sums.crossJoin(F.broadcast(ranks.agg(F.count_distinct("event_id").alias("total")))), F.col("total")  # one row
+    return sums.select("variant", (F.col("hits") / total).alias("hit_at_k"), (F.col("reciprocal") / total).alias("mrr"))
 
 
 def jaccard_at(a: Column, b: Column, k: int) -> Column:

@@ -13,10 +13,28 @@ WORD = r"[\p{L}\p{M}\p{N}_]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"  # a word boundary for letters of every script
 
 
-def resolve(inputs: DataFrame, names: DataFrame) -> DataFrame:
-    """input -> (tier, id, n) of the first tier that matches: id, title, title in any case, normalised. names: (id, title)."""
-    keys = [("id", F.col("id").cast("string"), F.col("input")), ("title", F.col("title"), F.col("input")), ("alias", F.lower("title"), F.lower("input")), ("normalized", normalise(F.col("title")), normalise(F.col("input")))]
-    probes = [names.select(k.alias("key"), "id").join(F.broadcast(inputs.select("input", x.alias("key"))), "key").select("input", F.lit(i).alias("tier_no"), F.lit(t).alias("tier"), "id") for i, (t, k, x) in enumerate(keys)]
+def resolve(inputs: DataFrame, names: DataFrame, aliases: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """input -> (tier, id, n, ambiguous) of the first tier that matches. names: (id, title), aliases: (id, alias), paths: (id, path).
+
+    Tiers: path, for inputs with a slash or that end in .md; id; title; alias; then, all called normalized, titles in any
+    case, aliases in any case, and either with hyphens and underscores as spaces where that changes the input.
+    Null inputs, names and aliases match nothing; repeated inputs are one.
+    """
+    given, i = inputs.select("input").distinct(), F.col("input")
+    title = names.select(F.col("id").cast("string").alias("id"), F.col("title").alias("name"))
+    none = title.limit(0)
+    alias = none if aliases is None else aliases.select(F.col("id").cast("string").alias("id"), F.col("alias").alias("name"))
+    path = none if paths is None else paths.select(F.col("id").cast("string").alias("id"), F.col("path").alias("name"))
+    name = F.col("name")
+    hyphens = normalise(i) != F.lower(i)
+    tiers = [
+        ("path", path, name, i, F.contains(i, F.lit("/")) | i.endswith(".md")), ("id", title, F.col("id"), i, None), ("title", title, name, i, None), ("alias", alias, name, i, None),
+        ("normalized", title, F.lower(name), F.lower(i), None), ("normalized", alias, F.lower(name), F.lower(i), None), ("normalized", title.union(alias), normalise(name), normalise(i), hyphens),
+    ]
+    probes = []
+    for k, (tier, table, key, wanted, only) in enumerate(tiers):
+        asked = given if only is None else given.filter(only)
+        probes.append(table.select(key.alias("key"), "id").join(F.broadcast(asked.select("input", wanted.alias("key"))), "key").select("input", F.lit(k).alias("tier_no"), F.lit(tier).alias("tier"), "id").distinct())
     found = reduce(DataFrame.union, probes)
     return found.withColumn("best", F.min("tier_no").over(Window.partitionBy("input"))).filter("tier_no = best").groupBy("input", "tier").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("ambiguous", F.col("n") > 1)
 

@@ -8,8 +8,9 @@ import re
 
 from ..sources.markdown import parse_yaml
 
-_FRONT = re.compile(r"\A---\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|\Z)", re.S)
-ORDER = ("id", "type", "title", "status", "created", "updated", "aliases", "tags")
+_FRONT = re.compile(r"\A---\r?\n(.*?)(?<=\n)---(?=[\r\n]|\Z)(?:\r\n)?\n?", re.S)
+# The canonical order of keys.
+ORDER = ("id", "type", "status", "title", "aliases", "tags", "created", "updated")
 
 
 def _render(fields: dict[str, list[str]]) -> str:

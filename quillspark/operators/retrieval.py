@@ -104,7 +104,7 @@ def pair_spread(vectors: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
     return pairs.join(one, "i").join(two, "j").select(cosine(F.col("a"), F.col("b")).alias("c")).agg(F.avg("c").alias("mu"), F.stddev_pop("c").alias("sigma"), F.count("*").alias("n_pairs"))
 
 
-def nearest(texts: DataFrame, arcs: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest arcs (arc_id, arc_v; a bounded catalogue) of each vector (id, v)."""
-    scored = texts.crossJoin(F.broadcast(arcs)).select("id", "arc_id", cosine(F.col("v"), F.col("arc_v")).alias("score"))
+def nearest(texts: DataFrame, arcs: DataFrame, k: int = 3, few: str = "arcs") -> DataFrame:
+    """The k nearest arcs (arc_id, arc_v) of each vector (id, v); few: which side is a bounded set, that every part of the other is held against."""
+    scored = (texts.crossJoin(F.broadcast(arcs)) if few == "arcs" else arcs.crossJoin(F.broadcast(texts))).select("id", "arc_id", cosine(F.col("v"), F.col("arc_v")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "arc_id"))).filter(F.col("rank") <= k)

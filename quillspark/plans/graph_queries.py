@@ -13,8 +13,11 @@ from .tables import EDGES_SQL, NODES_SQL, edges, nodes, notes, read
 
 
 def entity_resolve(spark, d):
-    inputs = spark.createDataFrame([(x,) for x in ("17", "red widget", "RED WIDGET", "Small-Ring", "small_ring", "nothing here")], "input string")
-    return G.resolve(inputs, read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
+    inputs = spark.createDataFrame([(x,) for x in ("17", "red widget", "RED WIDGET", "Small-Ring", "small_ring", "Part-21", "part-22", "part_23", "parts/24.md", "parts/none.md", "nothing here")], "input string")
+    p = read(spark, d, "part").withColumn("key", F.col("p_partkey").cast("string"))
+    aliases = p.select(F.col("key").alias("id"), F.concat(F.lit("Part-"), "key").alias("alias"))
+    paths = p.select(F.col("key").alias("id"), F.concat(F.lit("parts/"), "key", F.lit(".md")).alias("path"))
+    return G.resolve(inputs, p.select(F.col("key").alias("id"), F.col("p_name").alias("title")), aliases, paths)
 
 
 def links_out(spark, d):
@@ -122,9 +125,12 @@ def context_pack_pass2(spark, d):
 
 
 def edge_candidates(spark, d):
-    e = edges(spark, d).withColumn("confidence", F.when(F.col("edge_type") == "part_of", "high").when(F.col("edge_type") == "lives_in", "medium").otherwise("low"))
+    """Regions' nations are relations, customers links, suppliers inferred with a confidence by their key."""
+    number = F.substring("src", 2, 20).cast("long")
+    e = edges(spark, d).withColumn("confidence", F.when(F.col("edge_type") != "based_in", "high").when(number % 3 == 0, "high").when(number % 3 == 1, "medium").otherwise("low"))
+    e = e.withColumn("edge_type", F.when(F.col("edge_type") == "part_of", "explicit_relation").when(F.col("edge_type") == "lives_in", "explicit_link").otherwise("tag_overlap"))
     kept = e.filter(meets_confidence(F.col("confidence"), "medium")).withColumn("priority", edge_priority(F.col("edge_type"), F.col("confidence")))
-    return kept.withColumn("n", F.row_number().over(Window.partitionBy("dst").orderBy("priority", "src"))).filter("n <= 3").select("src", "dst", "priority", "n")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("dst", "priority").orderBy("src"))).filter("n <= 3").select("src", "dst", "priority", "n")
 
 
 def generated_ids(spark, d):
@@ -139,9 +145,11 @@ seen AS (SELECT 'R1' AS id, 0 AS distance, NULL::VARCHAR AS parent UNION ALL SEL
 _ITEMS = "items AS (SELECT source AS key, doc_id AS position, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents)"
 _LINKS = """links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS position FROM pages)"""
 ORACLE_SQL = {
-    "entity_resolve": """WITH i AS (SELECT unnest(['17', 'red widget', 'RED WIDGET', 'Small-Ring', 'small_ring', 'nothing here']) AS input),
-p AS (SELECT input, 0 AS o, 'id' AS tier, p_partkey AS id FROM i JOIN part ON p_partkey::VARCHAR = input UNION ALL SELECT input, 1, 'title', p_partkey FROM i JOIN part ON p_name = input
- UNION ALL SELECT input, 2, 'alias', p_partkey FROM i JOIN part ON lower(p_name) = lower(input) UNION ALL SELECT input, 3, 'normalized', p_partkey FROM i JOIN part ON lower(translate(p_name, '-_', '  ')) = lower(translate(input, '-_', '  ')))
+    "entity_resolve": """WITH i AS (SELECT unnest(['17', 'red widget', 'RED WIDGET', 'Small-Ring', 'small_ring', 'Part-21', 'part-22', 'part_23', 'parts/24.md', 'parts/none.md', 'nothing here']) AS input),
+t AS (SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part), a AS (SELECT id, 'Part-' || id AS name FROM t), n AS (SELECT id, lower(translate(name, '-_', '  ')) AS name FROM (SELECT * FROM t UNION ALL SELECT * FROM a)),
+p AS (SELECT input, 0 AS o, 'path' AS tier, id FROM i JOIN t ON input = 'parts/' || id || '.md' WHERE contains(input, '/') OR suffix(input, '.md') UNION SELECT input, 1, 'id', id FROM i JOIN t ON id = input UNION SELECT input, 2, 'title', id FROM i JOIN t ON name = input
+ UNION SELECT input, 3, 'alias', id FROM i JOIN a ON name = input UNION SELECT input, 4, 'normalized', id FROM i JOIN t ON lower(name) = lower(input) UNION SELECT input, 5, 'normalized', id FROM i JOIN a ON lower(name) = lower(input)
+ UNION SELECT input, 6, 'normalized', id FROM i JOIN n ON name = lower(translate(input, '-_', '  ')) WHERE lower(translate(input, '-_', '  ')) <> lower(input))
 SELECT input, tier, min(id) AS id, count(*) AS n, count(*) > 1 AS ambiguous FROM (SELECT *, min(o) OVER (PARTITION BY input) AS best FROM p) WHERE o = best GROUP BY input, tier""",
     "links_out": f"WITH {EDGES_SQL}, {NODES_SQL} SELECT dst, edge_type, id IS NOT NULL AS resolved, title FROM edges LEFT JOIN nodes ON dst = id WHERE src = 'N3'",
     "links_in": f"WITH {EDGES_SQL}, {NODES_SQL} SELECT src, edge_type, title FROM edges JOIN nodes ON src = id WHERE dst = 'N3'",
@@ -151,8 +159,10 @@ SELECT input, tier, min(id) AS id, count(*) AS n, count(*) > 1 AS ambiguous FROM
 SELECT seen.id, distance, title FROM seen LEFT JOIN nodes ON nodes.id = seen.id""",
     "tag_overlap_edges": """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS tag FROM lineitem), w AS (SELECT tag, ln((SELECT count(DISTINCT id) FROM t) / count(*)) AS w FROM t GROUP BY tag)
 SELECT a.id AS a, b.id AS b, count(*) AS n_tags, round(sum(w), 6) AS weight FROM t a JOIN t b ON a.tag = b.tag AND a.id < b.id JOIN w ON w.tag = a.tag GROUP BY a.id, b.id HAVING sum(w) >= 12.0""",
-    "alias_mention_edges": """WITH al AS (SELECT item_id AS alias_id, array_to_string(list_slice(string_split(lower(text), ' '), 1, 6), ' ') AS alias FROM benchmark)
-SELECT DISTINCT doc_id AS id, alias_id FROM documents, al WHERE contains(lower(text), alias) AND length(alias) >= 3 AND list_contains(string_split_regex(lower(text), '\\s+'), string_split(alias, ' ')[1])""",
+    # A boundary beside a word character is a place without one on its other side, beside any other character a place with one.
+    "alias_mention_edges": r"""WITH al AS (SELECT item_id AS alias_id, array_to_string(list_slice(string_split(lower(text), ' '), 1, 6), ' ') AS alias FROM benchmark),
+p AS (SELECT alias_id, alias, (CASE WHEN regexp_matches(alias, '^[\p{L}\p{M}\p{N}_]') THEN '(^|[^\p{L}\p{M}\p{N}_])' ELSE '[\p{L}\p{M}\p{N}_]' END) || regexp_escape(alias) || (CASE WHEN regexp_matches(alias, '[\p{L}\p{M}\p{N}_]$') THEN '($|[^\p{L}\p{M}\p{N}_])' ELSE '[\p{L}\p{M}\p{N}_]' END) AS pattern FROM al WHERE length(alias) >= 3)
+SELECT DISTINCT doc_id AS id, alias_id FROM documents, p WHERE contains(lower(text), alias) AND regexp_matches(lower(text), pattern)""",
     "related": f"""WITH {EDGES_SQL}, x AS (SELECT src, dst, 'explicit' AS origin, NULL::DOUBLE AS score FROM edges UNION ALL SELECT src, 'N3', 'inferred', 0.5 FROM edges WHERE edge_type = 'lives_in' AND src LIKE 'C1%'),
 y AS (SELECT CASE WHEN src = 'N3' THEN dst ELSE src END AS id, origin, score FROM x WHERE src = 'N3' OR dst = 'N3')
 SELECT id, min(origin) AS origin, CASE WHEN min(origin) = 'inferred' THEN max(score) END AS score FROM y GROUP BY id""",
@@ -163,6 +173,7 @@ SELECT src, l.raw, coalesce(u.dst, p.dst) AS dst, coalesce(u.dst, p.dst) IS NOT
     "headings": "SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS title, generate_subscripts(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), 1) - 1 AS position FROM pages",
     "slugs": r"SELECT page_id, replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\p{L}\p{Nd}_ -]', '', 'g'), ' ', '-') AS slug FROM pages",
     "estimate_tokens": "SELECT doc_id AS id, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents",
+    "strip_markdown": f"SELECT doc_id AS id, {T.strip_markdown_sql('text')} AS plain FROM documents",
     "truncated": "SELECT doc_id AS id, CASE WHEN length(text) > 80 THEN substring(text, 1, 77) || '...' ELSE text END AS short FROM documents",
     "normalised_names": r"SELECT c_custkey, lower(translate(c_name, '-_', '  ')) AS name, trim(regexp_replace(lower(c_mktsegment), '\s+', ' ', 'g')) AS segment FROM customer",
     "title_lookup": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'red widget'",
@@ -172,7 +183,7 @@ SELECT src, l.raw, coalesce(u.dst, p.dst) AS dst, coalesce(u.dst, p.dst) IS NOT
 f AS (SELECT key, position, tokens, r, tokens <= 4000 AS taken, CASE WHEN tokens <= 4000 THEN tokens ELSE 0 END AS used FROM n WHERE r = 1
  UNION ALL SELECT n.key, n.position, n.tokens, n.r, f.used + n.tokens <= 4000, CASE WHEN f.used + n.tokens <= 4000 THEN f.used + n.tokens ELSE f.used END FROM f JOIN n ON n.key = f.key AND n.r = f.r + 1)
 SELECT key, position, tokens, used::BIGINT AS used FROM f WHERE taken""",
-    "edge_candidates": f"""WITH {EDGES_SQL}, k AS (SELECT src, dst, CASE WHEN edge_type = 'part_of' THEN 1 ELSE 2 END AS priority FROM edges WHERE edge_type <> 'based_in')
-SELECT src, dst, priority, n FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY priority, src) AS n FROM k) WHERE n <= 3""",
+    "edge_candidates": f"""WITH {EDGES_SQL}, k AS (SELECT src, dst, CASE WHEN edge_type = 'part_of' THEN 0 WHEN edge_type = 'lives_in' THEN 1 WHEN substring(src, 2)::BIGINT % 3 = 1 THEN 2 ELSE 3 END AS priority FROM edges WHERE edge_type <> 'based_in' OR substring(src, 2)::BIGINT % 3 <> 2)
+SELECT src, dst, priority, n FROM (SELECT *, row_number() OVER (PARTITION BY dst, priority ORDER BY src) AS n FROM k) WHERE n <= 3""",
     "generated_ids": r"SELECT page_id, 'page-' || replace(lower(regexp_replace(string_split(url, '/')[-1], '\.md$', '')), ' ', '-') AS id FROM pages",
 }

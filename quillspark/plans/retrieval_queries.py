@@ -77,7 +77,7 @@ def noise_floor_stats(spark, d):
 def relevance_label(spark, d):
     v = vectors(spark, d)
     stats = R.noise_floor(v.filter("id >= 8"), v.filter("id < 8").select(F.col("v").alias("p"))).crossJoin(R.pair_spread(v))
-    probes = R.nearest(v.filter("id < 8").select("id", "v"), v.filter("id >= 8").select(F.col("id").alias("arc_id"), F.col("v").alias("arc_v")), 1)
+    probes = R.nearest(v.filter("id < 8").select("id", "v"), v.filter("id >= 8").select(F.col("id").alias("arc_id"), F.col("v").alias("arc_v")), 1, few="texts")
     x = relevance(F.col("score"), F.col("noise_floor"), clamp_sigma(F.col("sigma")), 0.3)
     return probes.crossJoin(F.broadcast(stats)).select("id", x["label"].alias("label"), F.round(x["z"], 4).alias("z"))
 
@@ -103,7 +103,7 @@ def vector_norms(spark, d):
 def golden_hits(spark, d):
     """Hit@5 and reciprocal rank of each of ten probes, whose expected ids are those of its label."""
     v = vectors(spark, d)
-    found = R.nearest(v.filter("id < 10").select("id", "v"), v.filter("id >= 10").select(F.col("id").alias("arc_id"), F.col("v").alias("arc_v")), 10)
+    found = R.nearest(v.filter("id < 10").select("id", "v"), v.filter("id >= 10").select(F.col("id").alias("arc_id"), F.col("v").alias("arc_v")), 10, few="texts")
     rows = found.join(F.broadcast(v.filter("id < 10").select("id", F.col("label").alias("want"))), "id").join(v.select(F.col("id").alias("arc_id"), "label"), "arc_id")
     rank = F.min(F.when(F.col("label") == F.col("want"), F.col("rank")))
     return rows.groupBy("id").agg(F.coalesce((rank <= 5).cast("double"), F.lit(0.0)).alias("hit"), F.round(F.coalesce(1.0 / rank, F.lit(0.0)), 6).alias("rr"))
@@ -143,8 +143,9 @@ lanes AS (SELECT 'bm25' AS lane, id, round(score, 9) AS score FROM bm25
 ranked AS (SELECT lane, id, row_number() OVER (PARTITION BY lane ORDER BY score DESC, id) AS r FROM lanes),
 fused AS (SELECT id, round(avg(1.0::DOUBLE / (60 + r)), 9) AS score, count(*) AS n_lanes FROM ranked WHERE r <= 100 GROUP BY id)"""
 _STATS = f"""floor AS (SELECT max({_COS}) AS noise_floor FROM embeddings e, embeddings q WHERE e.vec_id >= 8 AND q.vec_id < 8),
-few AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 200),
-spread AS (SELECT avg(c) AS mu, stddev_pop(c) AS sigma, count(*) AS n_pairs FROM (SELECT {_COS} AS c FROM few e, few q WHERE e.vec_id < q.vec_id))"""
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
+spread AS (SELECT avg(c) AS mu, stddev_pop(c) AS sigma, count(*) AS n_pairs FROM (SELECT {_COS} AS c FROM numbered e, numbered q WHERE e.i < q.i
+ AND (e.i * (2 * e.n - e.i - 1) // 2 + q.i - e.i - 1) % ((e.n * (e.n - 1) // 2 + 199999) // 200000) = 0))"""
 _EFF = "greatest(0.03, least(0.12, sigma))"
 
 QUERIES = {f.__name__: f for f in (dense_topk, bm25_topk, bm25_count, bm25_filtered, sparse_topk, maxsim_topk, rrf_hybrid, rrf_gap_confidence, activation_rerank, noise_floor_stats, relevance_label, nearest_arcs, query_similarities, embedding_dims, vector_norms, golden_hits, fuzzy_titles)}

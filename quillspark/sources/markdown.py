@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-FRONT = r"(?s)\A---\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|\z)"
-CORE = ("id", "type", "title", "status", "created", "updated", "aliases", "tags")
+#: The closing --- stands on a line of its own.
+FRONT = r"(?s)\A---\r?\n(.*?)(?<=\n)---(?=[\r\n]|\z)(?:\r\n)?\n?"
+# The canonical order of keys.
+CORE = ("id", "type", "status", "title", "aliases", "tags", "created", "updated")
 
 
 def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:

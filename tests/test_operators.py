@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
+from quillspark.functions.vectors import edge_priority
 from quillspark.operators import analytics as A
 from quillspark.operators import checks as C
 from quillspark.operators import graph as G
@@ -86,9 +87,12 @@ def test_payload_ignores_malformed_rows(spark):
 
 
 def test_resolution_takes_the_first_tier(spark):
-    names = spark.createDataFrame([("a", "Red Fox"), ("b", "red-fox")], "id string, title string")
-    got = G.resolve(spark.createDataFrame([("red fox",), ("b",)], "input string"), names).collect()
-    assert {(r.input, r.tier, r.id) for r in got} == {("red fox", "alias", "a"), ("b", "id", "b")}
+    names = spark.createDataFrame([("a", "Red Fox"), ("b", "red-fox"), ("c", None)], "id string, title string")
+    aliases, paths = spark.createDataFrame([("b", "Reynard"), ("c", "Old_Fox")], "id string, alias string"), spark.createDataFrame([("c", "x/c.md")], "id string, path string")
+    asked = ("red fox", "b", "Reynard", "reynard", "old-fox", "x/c.md", "c.md", "Red Fox", "red_fox", None)
+    got = G.resolve(spark.createDataFrame([(x,) for x in asked], "input string"), names, aliases, paths).collect()
+    want = {("red fox", "normalized", "a", 1), ("b", "id", "b", 1), ("Reynard", "alias", "b", 1), ("reynard", "normalized", "b", 1), ("old-fox", "normalized", "c", 1), ("x/c.md", "path", "c", 1), ("Red Fox", "title", "a", 1), ("red_fox", "normalized", "a", 2)}
+    assert {(r.input, r.tier, r.id, r.n) for r in got} == want
 
 
 def test_neighbours_are_undirected(spark):
@@ -96,6 +100,21 @@ def test_neighbours_are_undirected(spark):
     assert {(r.id, r.distance) for r in G.neighbours(e, "a", 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_plain_text_of_markdown(spark):
+    body = "~~~\ncode\n```\nkept *it* and _so_ ~~old~~ `c`\n\n***\n> quote  two ^block-1\n<b>bold</b> ![[e.png]] [t](u) %%stays%%\n- item\n```\nopen"
+    assert one(spark, T.strip_markdown(F.lit(body))) == "kept it and so old c\n\nquote two\nbold t %%stays%%\n- item"
+
+
+def test_edge_priorities(spark):
+    for kind, confidence, want in (("explicit_relation", "low", 0), ("explicit_link", "low", 1), ("explicit_embed", None, 1), ("tag_overlap", "high", 3), ("tag_overlap", "medium", 2), ("alias_mention", None, 3)):
+        assert one(spark, edge_priority(F.lit(kind), F.lit(confidence))) == want
+
+
+def test_frontmatter_ends_on_a_line_of_its_own(spark):
+    assert mutation.mutate("---\ntitle: a---\nzeta: 1\ntags: [x]\ncreated: 2\n---\nbody", {"status": ["new"]})[0] == "---\nstatus: new\ntitle: a---\ntags:\n  - x\ncreated: 2\nzeta: 1\n---\nbody"
+    assert one(spark, markdown.split_frontmatter(F.lit("---\ntitle: a---\n---\nbody"))[1]) == "body"
+
+
 def test_text_functions(spark):
     assert one(spark, T.estimate_tokens(F.lit("éé1"))) == 2
     assert one(spark, T.slugify(F.lit("A b-C, ü!"))) == "a-b-c-ü"
