@@ -40,6 +40,13 @@ def truncate(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n - 3), F.lit("..."))).otherwise(text)
 
 
+def snippet(text: Column, n: int) -> Column:
+    """The first n code points, cut at the last space if it is among the last 30, with dots; a shorter text whole."""
+    head = F.substring(text, 1, n)
+    at = F.length(head) - F.length(F.substring_index(head, " ", -1))  # the last space's place, 0 if none
+    return F.when(F.char_length(text) <= n, text).otherwise(F.concat(F.when((at > 0) & (at > n - 30), F.left(head, F.greatest(at - 1, F.lit(0)))).otherwise(head), F.lit("...")))
+
+
 def strip_blockquote(text: Column) -> Column:
     return F.regexp_replace(text, "(?m)^> ?", "")
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.vectors import edge_priority, meets_confidence
 from ..operators import graph as G
 from ..operators import memory as M
+from ..operators import structure as S
 from .tables import EDGES_SQL, NODES_SQL, edges, nodes, notes, read
 
 
@@ -137,14 +138,85 @@ def generated_ids(spark, d):
     return read(spark, d, "pages").select("page_id", T.generate_id(F.col("url"), F.lit("page")).alias("id"))
 
 
-QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, recall, tag_overlap_edges, alias_mention_edges, related, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids)}
+def _bodies(spark, d):
+    """Documents as Markdown: headings, a fence that holds marks, and block ids around the text."""
+    parts = F.lit("# About "), F.col("source"), F.lit("\n```\n## hidden ^no\n```\nlead ^top\n##  In "), F.col("lang"), F.lit(" \n"), F.col("text"), F.lit(" ^doc-"), F.col("doc_id").cast("string"), F.lit("\n~~~\n# open")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(*parts).alias("body"))
+
+
+def md_headings(spark, d):
+    return S.headings(_bodies(spark, d)).filter("level < 7")
+
+
+def md_blocks(spark, d):
+    return S.blocks(_bodies(spark, d))
+
+
+def full_notes(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    items = read(spark, d, "lineitem")
+    part = lambda c: items.select(F.col("l_orderkey").alias("id"), F.col(c).cast("string").alias("value"))
+    return S.full_notes(o, parts=part("l_partkey"), flags=part("l_returnflag"))
+
+
+def _part_aliases(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("alias"))
+
+
+def alias_lookup(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return S.with_alias(p, _part_aliases(spark, d), "BRAND#13", any_case=True)
+
+
+def lookup_names(spark, d):
+    return S.names(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), _part_aliases(spark, d))
+
+
+def path_lookup(spark, d):
+    return read(spark, d, "pages").filter(F.col("url").endswith("/7") | (F.col("page_id") == 3)).select("page_id", "url")
+
+
+def slim_notes(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("type"), F.substring("text", 1, 20).alias("title"))
+
+
+def links_three_way(spark, d):
+    return S.links_with_titles(edges(spark, d).select("src", "dst"), nodes(spark, d)).select("src", "dst", "src_title", "dst_title")
+
+
+def links_both(spark, d):
+    e = edges(spark, d).select("src", "dst")
+    return S.links_both(e.union(e.filter("src = 'N3'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "N3")
+
+
+def snippets(spark, d):
+    return notes(spark, d).select("id", T.snippet(F.col("text"), 120).alias("snippet"))
+
+
+QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, recall, tag_overlap_edges, alias_mention_edges, related, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
 _BFS = f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 l1 AS (SELECT dst AS id, 1 AS distance, min(src) AS parent FROM both_ways WHERE src = 'R1' AND dst <> 'R1' GROUP BY dst),
 l2 AS (SELECT dst AS id, 2 AS distance, min(src) AS parent FROM both_ways WHERE src IN (SELECT id FROM l1) AND dst NOT IN (SELECT id FROM l1) AND dst <> 'R1' GROUP BY dst),
 seen AS (SELECT 'R1' AS id, 0 AS distance, NULL::VARCHAR AS parent UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
 _ITEMS = "items AS (SELECT source AS key, doc_id AS position, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents)"
 _LINKS = """links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS position FROM pages)"""
+_MARKS = r"""b AS (SELECT doc_id AS id, '# About ' || source || chr(10) || '```' || chr(10) || '## hidden ^no' || chr(10) || '```' || chr(10) || 'lead ^top' || chr(10) || '##  In ' || lang || ' ' || chr(10) || text || ' ^doc-' || doc_id || chr(10) || '~~~' || chr(10) || '# open' AS body FROM documents),
+l AS (SELECT id, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM b),
+f AS (SELECT *, regexp_matches(x, '^[\s\v]*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(x, '^[\s\v]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line) AS fences FROM l),
+m AS (SELECT *, regexp_matches(x, '^#{1,6}[\s\v]+[^\n]+$') AS head, trim(regexp_extract(x, '^(#{1,6})[\s\v]+([^\n]+)$', 2)) AS title FROM f WHERE NOT fence AND fences % 2 = 0)"""
 ORACLE_SQL = {
+    "md_headings": rf"WITH {_MARKS} SELECT id, line::INT AS line, length(regexp_extract(x, '^(#+)', 1))::INT AS level, title, replace(regexp_replace(lower(title), '[^\p{{L}}\p{{Nd}}_ -]', '', 'g'), ' ', '-') AS slug FROM m WHERE head",
+    "md_blocks": rf"""WITH {_MARKS}, h AS (SELECT *, coalesce(last_value(CASE WHEN head THEN title END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line), '') AS heading FROM m)
+SELECT id, line::INT AS line, regexp_extract(x, '\^([a-zA-Z0-9][a-zA-Z0-9_-]*)[\s\v]*$', 1) AS block_id, heading FROM h WHERE NOT head AND regexp_matches(x, '\^([a-zA-Z0-9][a-zA-Z0-9_-]*)[\s\v]*$')""",
+    "full_notes": "SELECT o_orderkey AS id, any_value(o_orderstatus) AS status, string_agg(DISTINCT l_partkey::VARCHAR, chr(31) ORDER BY l_partkey::VARCHAR) AS parts, string_agg(DISTINCT l_returnflag, chr(31) ORDER BY l_returnflag) AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey",
+    "alias_lookup": "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey IN (SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#13')",
+    "lookup_names": "SELECT p_partkey AS id, p_name AS name FROM part WHERE trim(p_name) <> '' UNION SELECT p_partkey, p_brand FROM part WHERE trim(p_brand) <> ''",
+    "path_lookup": "SELECT page_id, url FROM pages WHERE suffix(url, '/7') OR page_id = 3",
+    "slim_notes": "SELECT doc_id AS id, source AS type, substring(text, 1, 20) AS title FROM documents",
+    "links_three_way": f"WITH {EDGES_SQL}, {NODES_SQL} SELECT src, dst, a.title AS src_title, b.title AS dst_title FROM edges JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = dst",
+    "links_both": f"""WITH {EDGES_SQL}, e AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges WHERE src = 'N3'), o AS (SELECT DISTINCT dst AS id FROM e WHERE src = 'N3'), i AS (SELECT DISTINCT src AS id FROM e WHERE dst = 'N3')
+SELECT coalesce(o.id, i.id) AS id, CASE WHEN o.id IS NULL THEN 'in' WHEN i.id IS NULL THEN 'out' ELSE 'both' END AS direction FROM o FULL JOIN i ON o.id = i.id""",
+    "snippets": r"SELECT doc_id AS id, CASE WHEN length(text) <= 120 THEN text WHEN regexp_matches(substring(text, 91, 30), ' ') THEN regexp_replace(substring(text, 1, 120), ' [^ ]*$', '') || '...' ELSE substring(text, 1, 120) || '...' END AS snippet FROM documents",
     "entity_resolve": """WITH i AS (SELECT unnest(['17', 'red widget', 'RED WIDGET', 'Small-Ring', 'small_ring', 'Part-21', 'part-22', 'part_23', 'parts/24.md', 'parts/none.md', 'nothing here']) AS input),
 t AS (SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part), a AS (SELECT id, 'Part-' || id AS name FROM t), n AS (SELECT id, lower(translate(name, '-_', '  ')) AS name FROM (SELECT * FROM t UNION ALL SELECT * FROM a)),
 p AS (SELECT input, 0 AS o, 'path' AS tier, id FROM i JOIN t ON input = 'parts/' || id || '.md' WHERE contains(input, '/') OR suffix(input, '.md') UNION SELECT input, 1, 'id', id FROM i JOIN t ON id = input UNION SELECT input, 2, 'title', id FROM i JOIN t ON name = input
