@@ -44,8 +44,12 @@ def tokens(b) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame, n: int) -> DataFrame:
-    """For each bucket: tokens, distinct words and the words of greatest count of the training rows."""
-    most = -(-HEAD // n)
+    """For each bucket: tokens, distinct words and the words of greatest count of the training rows.
+
+    A bucket offers twenty standard deviations more than its share of the head, so the head doesn't depend on how many there are.
+    """
+    share = HEAD / n
+    most = int(np.ceil(share + 20 * np.sqrt(share))) + 64
 
     def run(batches):
         kept: list[tuple[np.ndarray, np.ndarray]] = []
