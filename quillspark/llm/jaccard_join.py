@@ -34,6 +34,8 @@ from .flow import arrow, batch, cut, documents, n_buckets, pack, ranges_by_bucke
 
 WORDS, PERCENT, BLOCK, HOT = 5, 80, 400, 1 << 16
 CELLS, PARTS = 1 << 22, 64
+#: So many rows of ids are broadcast at most (under 200 MB); beyond that texts are shuffled to them.
+BROADCAST = 3_000_000
 
 
 def sets_of(block, n: int):
@@ -76,7 +78,7 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 
 def _surveyed(n: int):
-    """A row for each document, then the partition's counts of shingles by cell, cells that occur only."""
+    """A row for each document, then the partition's counts of shingles by cell, compressed, in PARTS slices."""
     kinds = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
 
     def run(batches):
@@ -91,9 +93,7 @@ def _surveyed(n: int):
                     cells += np.bincount(_cells(np.concatenate(found)), minlength=CELLS).astype(np.uint32)
             m = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.binary()), b["doc_id"], b["key"], pa.array(node, pa.int64()), pa.array(size, pa.int64())], schema=kinds)
-        at = np.flatnonzero(cells)
-        edge = np.searchsorted(at, np.arange(PARTS + 1) * (CELLS // PARTS))
-        rows = [(k, pack(at[i:j].astype(np.uint32), cells[at[i:j]])) for k, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if j > i]
+        rows = [(k, pa.compress(x.tobytes(), "zstd", asbytes=True)) for k, x in enumerate(cells.reshape(PARTS, -1)) if x.any()]
         none = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), none, none, none, none], schema=kinds)
 
@@ -105,8 +105,8 @@ def _summed(batches):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for part, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist(), strict=True):
-            at, x = unpack(blob, np.uint32, np.uint32)
-            total.setdefault(part, np.zeros(CELLS // PARTS, np.uint64))[at % (CELLS // PARTS)] += x
+            x = np.frombuffer(pa.decompress(blob, 4 * CELLS // PARTS, "zstd", asbytes=True), np.uint32)
+            total.setdefault(part, np.zeros(CELLS // PARTS, np.uint64))[:] += x
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_level(x).tobytes() for x in total.values()], pa.binary())], names=["part", "blob"])
 
@@ -301,21 +301,26 @@ def _searched(n: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that are links. texts: (node, text) of every node in them."""
+def _small(ids: DataFrame, limit: int) -> DataFrame:
+    """Written rows of ids, to be broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, limit: int) -> DataFrame:
+    """The pairs that are links. texts: (node, text) of every node in them. No more than `limit` pairs are broadcast."""
     size = pairs.groupBy(F.col("leader").alias("l")).agg(F.count("*").alias("m")).select("l", F.ceil(F.col("m") / BLOCK).cast("long").alias("parts"))
-    dealt = pairs.join(size, F.col("leader") == F.col("l")).select("leader", F.pmod(F.xxhash64("other"), "parts").alias("part"), "other")
-    rows = dealt.join(texts, F.col("other") == F.col("node")).select("leader", "part", "other", "text")
-    leaders = size.select(F.col("l").alias("leader"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    leaders = leaders.join(texts, F.col("leader") == F.col("node")).select("leader", "part", F.lit(None).cast("long").alias("other"), "text")
-    return rows.union(leaders).groupBy("leader", "part").applyInArrow(_searched(n, percent), "a long, b long")
+    dealt = pairs.join(size, F.col("leader") == F.col("l")).select("leader", F.pmod(F.xxhash64("other"), "parts").alias("part"), "other", F.col("other").alias("of"))
+    blocks_ = size.select(F.col("l").alias("leader"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("other"), F.col("l").alias("of"))
+    rows = texts.join(_small(cut(dealt.union(blocks_)), limit), F.col("node") == F.col("of")).select("leader", "part", "other", "text")
+    return rows.groupBy("leader", "part").applyInArrow(_searched(n, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT, limit: int = BROADCAST) -> DataFrame:
     """doc_id, key, n_shingles, component_id of every document; key is a hash of the text.
 
     Documents without words or text are linked with nothing and are their own component. Repeated rows
     give a row each, of one component. A component of null ids only has none. Other columns are ignored.
+    Up to `limit` rows of ids are broadcast to the texts; more are joined by a shuffle, with the same result.
     """
     spark = docs.sparkSession
     rows = documents(docs).withColumn("key", F.xxhash64("text"))
@@ -333,13 +338,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     more = across(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
     nodes = reduce(DataFrame.union, [x.select(F.col(c).alias("node")) for x in (pairs, more) for c in ("leader", "other")]).distinct()
     of_node = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
-    wanted = cut(nodes.join(of_node, "node").select(F.col("node"), F.col("one.doc_id").alias("d"), F.col("one.key").alias("k")))  # of known size, so broadcast if small
-    texts = cut(rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["key"] == F.col("k"))).select("node", "text").dropDuplicates(["node"]))
+    row = F.xxhash64("doc_id", "key")
+    wanted = cut(nodes.join(of_node, "node").select("node", "one.*").select("node", row.alias("wanted")))
+    texts = cut(rows.withColumn("row", row).join(_small(wanted, limit), F.col("row") == F.col("wanted")).dropDuplicates(["row"]).select("node", "text"))
 
-    links = cut(_verified(pairs, texts, words, percent))
+    links = cut(_verified(pairs, texts, words, percent, limit))
     rest = cut(across(members, components(links), percent))
     if not rest.isEmpty():
-        links = cut(links.union(_verified(rest, texts, words, percent)))
+        links = cut(links.union(_verified(rest, texts, words, percent, limit)))
     labels = components(links)
     least = of_node.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("one.doc_id").alias("least"))
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")

@@ -97,6 +97,10 @@ def test_the_first_common_shingle_stands_early_enough():
             assert at <= len(s) - both and at < jaccard_join.prefix(len(s), 80)
 
 
+def test_near_duplicates_by_shuffled_texts(spark, rows):
+    assert got(jaccard_join.near_duplicates(make(spark, rows), limit=0), "doc_id", "n_shingles", "component_id") == want(near_duplicates(rows))
+
+
 def test_near_duplicates_by_rows_of_hot_shingles(spark, rows):
     assert got(jaccard_join.near_duplicates(make(spark, rows), hot=2), "doc_id", "n_shingles", "component_id") == want(near_duplicates(rows))
 
