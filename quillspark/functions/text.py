@@ -76,23 +76,91 @@ def strip_markdown_sql(text: str) -> str:
     return f"regexp_replace({text}, '\\A\\s+|\\s+\\z', '', 'g')"
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?]) ")
+# Headings of the sections of an arc, in any case.
+SECTIONS = ("trigger", "push", "deeper sight", "principle", "what i did differently", "source")
+SPACE = r"(?U)\A\s+|\s+\z"
 
 
-def excerpt(text: Column, max_tokens: int) -> Column:
-    """The first paragraph of prose (else the first of any), whole sentences of it while they fit in the tokens; at least a cut first one."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
-    prose = F.filter(paragraphs, lambda p: ~p.rlike(r"^([#>*+|`-]|\d+\.|\[)"))
-    lead = F.coalesce(F.get(prose, 0), F.get(paragraphs, 0), F.lit(""))
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def add(done: Column, sentence: Column) -> Column:
-        longer = F.when(done["text"] == "", sentence).otherwise(F.concat(done["text"], F.lit(" "), sentence))
-        fits = ~done["full"] & (estimate_tokens(longer) <= max_tokens)
-        return F.struct(F.when(fits, longer).otherwise(done["text"]).alias("text"), (~fits).alias("full"))
 
-    whole = F.aggregate(sentences(lead), F.struct(F.lit("").alias("text"), F.lit(False).alias("full")), add, lambda x: x["text"])
-    return F.when(whole != "", whole).otherwise(truncate(lead, max_tokens * 4))
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE, "")
+
+
+def _heading(line: Column) -> Column:
+    return F.lower(_strip(F.regexp_replace(_strip(line), "^#+", "")))
+
+
+def _after(items: Column, at: Column) -> Column:
+    """Items past the one at a place counted from 1."""
+    return F.slice(items, at + 1, F.size(items))
+
+
+def _without_frontmatter(lines: Column) -> Column:
+    first = F.array_position(F.transform(lines, lambda x: _strip(x) != ""), True).cast("int")
+
+    def rest(after: Column) -> Column:
+        close = F.array_position(F.transform(after, lambda x: _strip(x) == "---"), True).cast("int")
+        return F.when(close > 0, _after(after, close)).otherwise(lines)
+
+    return let(first, lambda k: F.when(_strip(F.coalesce(F.get(lines, k - 1), F.lit(""))) == "---", let(_after(lines, k), rest)).otherwise(lines))
+
+
+def _principle(lines: Column) -> Column:
+    def section(rest: Column) -> Column:
+        end = F.array_position(F.transform(rest, lambda x: _heading(x).isin(*SECTIONS)), True).cast("int")
+        return _strip(F.array_join(F.transform(F.when(end > 0, F.slice(rest, 1, F.greatest(end - 1, F.lit(0)))).otherwise(rest), _strip), " "))
+
+    at = F.array_position(F.transform(lines, lambda x: _heading(x) == "principle"), True).cast("int")
+    return let(at, lambda k: F.when(k > 0, let(_after(lines, k), section)).otherwise(""))
+
+
+def _lead(lines: Column) -> Column:
+    flat = lambda block: F.array_join(F.filter(F.transform(F.split(block, "\n"), _strip), lambda x: x != ""), " ")
+    citation = lambda x: ~x.rlike(r"[ \t]") & (F.contains(x, F.lit("://")) | (F.contains(x, F.lit("/")) & ~x.rlike(r"[^\x00-\x7F]")))
+    prose = lambda x: ~citation(x) & (x.rlike("[.!?\u3002\uff01\uff1f]") | (F.octet_length(x) > 80))
+    blocks = F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n\n"), flat), lambda x: (x != "") & ~x.startswith("#") & ~_heading(x).isin(*SECTIONS))
+    return let(blocks, lambda all_: F.coalesce(F.get(F.filter(all_, prose), F.lit(0)), F.get(F.filter(all_, lambda x: ~citation(x)), F.lit(0)), F.get(all_, F.lit(0)), F.lit("")))
+
+
+def key_passage(text: Column) -> Column:
+    """The text under a Principle heading, else the first paragraph of prose, else of other content, else of a bare path or address."""
+    parts = let(_without_frontmatter(F.split(F.coalesce(text, F.lit("")), "\n")), lambda lines: F.struct(_principle(lines).alias("rule"), _lead(lines).alias("lead")))
+    return let(parts, lambda x: F.when(x["rule"] != "", x["rule"]).otherwise(x["lead"]))
+
+
+def _cuts(passage: Column, cap: int) -> Column:
+    """What an excerpt of at most `cap` tokens may be, the best first: the whole, then fewer and fewer whole sentences, then words with an ellipsis."""
+    def prefixes(flat: Column, at: str) -> Column:
+        room = cap * 4 + 2  # characters past this can't be in a prefix that fits
+        parts = F.split(F.substring(flat, 1, room), at)
+        known = F.when(F.char_length(flat) > room, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+        return F.reverse(let(known, lambda p: F.transform(p, lambda _, i: F.array_join(F.slice(p, 1, i + 1), " "))))
+
+    sentences = prefixes(F.regexp_replace(passage, r"(?U)([.!?]) \s+", "$1 "), "(?<=[.!?]) ")
+    words = F.transform(prefixes(F.regexp_replace(passage, r"(?U)\s+", " "), " "), lambda x: F.concat(x, F.lit("\u2026")))
+    return F.when(passage == "", F.array().cast("array<string>")).otherwise(F.filter(F.concat(F.array(passage), sentences, words), lambda x: estimate_tokens(x) <= cap))
+
+
+def excerpt(text: Column | str, max_tokens: Column | int, cap: int | None = None) -> Column:
+    """The key passage of a text in at most max_tokens (a column of at most `cap`): whole, else whole sentences, else whole words; empty if none fits or the text is null."""
+    most = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
+    passage = key_passage(F.col(text) if isinstance(text, str) else text)
+    return F.coalesce(F.get(F.filter(let(passage, lambda p: _cuts(p, max_tokens if cap is None else cap)), lambda x: estimate_tokens(x) <= most), F.lit(0)), F.lit(""))
+
+
+def excerpt_sizes(text: Column | str, cap: int) -> Column:
+    """Token counts of what an excerpt of a text may be, the best first."""
+    return F.transform(let(key_passage(F.col(text) if isinstance(text, str) else text), lambda p: _cuts(p, cap)), estimate_tokens)
+
+
+def cut_bytes(text: Column, n: Column | int) -> Column:
+    """The first n bytes at most, never within a character."""
+    most, raw = F.lit(n).cast("int") if isinstance(n, int) else n.cast("int"), F.encode(text, "UTF-8")
+    return F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(most - i, F.lit(0))).cast("string")) for i in range(4)])
 
 
 def wikilinks(body: Column) -> Column:

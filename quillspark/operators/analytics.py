@@ -100,3 +100,58 @@ def payload(events: DataFrame) -> DataFrame:
     parsed = events.withColumn("p", F.from_json("event_data", kind))
     each = parsed.select("event_id", F.explode("p.variants").alias("variant", "v"))
     return each.select("event_id", "variant", F.explode("v.results").alias("r")).select("event_id", "variant", "r.note_id", "r.rank")
+
+
+def rank_lists(results: DataFrame) -> DataFrame:
+    """(event_id, variant, notes): each event's and variant's notes of (event_id, variant, note_id, rank) by rank, a repeated note at its best."""
+    best = results.groupBy("event_id", "variant", "note_id").agg(F.min("rank").alias("rank"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "note_id"))), lambda x: x["note_id"])
+    return best.groupBy("event_id", "variant").agg(listed.alias("notes"))
+
+
+def tau_shared(a: Column, b: Column) -> Column:
+    """Kendall's tau-a over two lists' common ids, within the row; null with fewer than two. Lists are pages of results, so pairs of places are few."""
+    places = F.transform(F.array_intersect(a, b), lambda x: F.array_position(b, x))
+    signs = F.flatten(F.transform(places, lambda p, i: F.transform(F.slice(places, i + 2, F.size(places)), lambda q: F.signum(q - p))))
+    return F.when(F.size(signs) > 0, F.aggregate(signs, F.lit(0.0), lambda s, x: s + x) / F.size(signs))
+
+
+def comparisons(results: DataFrame, primary: DataFrame, k: int) -> DataFrame:
+    """(event_id, primary_variant, shadow_variant, jaccard, tau, shared) of each event's primary list with each other one. primary: (event_id, primary_variant), null or empty for none."""
+    lists = rank_lists(results)
+    first = lists.join(primary.filter("primary_variant <> ''"), "event_id").filter("variant = primary_variant").select("event_id", "primary_variant", F.col("notes").alias("a"))
+    pairs = first.join(lists.select("event_id", F.col("variant").alias("shadow_variant"), F.col("notes").alias("b")), "event_id").filter("shadow_variant <> primary_variant")
+    a, b = F.col("a"), F.col("b")
+    return pairs.select("event_id", "primary_variant", "shadow_variant", jaccard_at(a, b, k).alias("jaccard"), tau_shared(a, b).alias("tau"), F.size(F.array_intersect(a, b)).alias("shared"))
+
+
+def mean_comparisons(compared: DataFrame) -> DataFrame:
+    """Mean Jaccard and tau by pair of variants; events without a tau count in the first only."""
+    return compared.groupBy("primary_variant", "shadow_variant").agg(F.count("*").alias("events"), F.avg("jaccard").alias("jaccard"), F.avg("tau").alias("tau"), F.count("tau").alias("tau_events"))
+
+
+def outcome_performance(primary: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(variant, events, outcomes, hit_5, hit_10, mrr) of events (event_id, primary_variant) and the outcomes (event_id, variant, rank) of their own variant; zeros without outcomes."""
+    events = primary.filter("primary_variant <> ''")
+    own = outcomes.join(events, "event_id").filter("variant = primary_variant")
+    hit = lambda k: F.avg(F.col("rank").between(1, k).cast("double"))
+    sums = own.groupBy("variant").agg(F.count("*").alias("outcomes"), hit(5).alias("hit_5"), hit(10).alias("hit_10"), F.avg(F.when(F.col("rank") > 0, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"))
+    counts = events.groupBy(F.col("primary_variant").alias("variant")).agg(F.count("*").alias("events"))
+    return counts.join(sums, "variant", "left").fillna(0).select("variant", "events", "outcomes", "hit_5", "hit_10", "mrr")
+
+
+def recent_windows(spans: DataFrame, most: int = 100) -> DataFrame:
+    """One row: the newest `most` ended windows (started, ended) as disjoint intervals of seconds, in order."""
+    newest = spans.filter("ended is not null").orderBy(F.desc("started"), F.desc("ended")).limit(most).select(F.lit(0).alias("key"), F.col("started").alias("start"), F.col("ended").alias("end"))
+    return merged(newest).agg(F.array_sort(F.collect_list(F.struct(seconds(F.col("start")).alias("start"), seconds(F.col("end")).alias("end")))).alias("windows"))
+
+
+def compressed_activation(accesses: DataFrame, spans: DataFrame, now: str, gamma: float, decay: float = 0.5, alpha: float = 0.6, beta: float = 0.4) -> DataFrame:
+    """activation() with idle time, that outside the recent windows, counted by gamma only. The windows are a bounded list, broadcast to the accesses."""
+    end, at = seconds(F.to_timestamp(F.lit(now))), seconds(F.col("ts"))
+    each = F.transform("windows", lambda w: F.greatest(F.lit(0.0), F.least(w["end"], end) - F.greatest(w["start"], at)))
+    active = F.when(end > at, F.aggregate(each, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+    total = F.greatest(end - at, F.lit(0.0))
+    rows = accesses.crossJoin(F.broadcast(recent_windows(spans))).select("id", ((active + gamma * (total - active)) / 3600).alias("hours"))
+    scored = rows.groupBy("id").agg(F.count("*").alias("n"), retrieval_strength(F.col("hours"), decay).alias("retrieval")).withColumn("storage", F.log1p("n"))
+    return scored.withColumn("activation", combined(F.col("retrieval"), F.col("storage"), alpha=alpha, beta=beta))

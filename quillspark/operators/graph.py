@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..functions.vectors import meets_confidence
 
 WORD = r"[\p{L}\p{M}\p{N}_]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"  # a word boundary for letters of every script
@@ -48,10 +49,15 @@ def links_in(edges: DataFrame, nodes: DataFrame, of: str) -> DataFrame:
     return edges.filter(F.col("dst") == of).join(nodes, F.col("src") == F.col("id")).select("src", "edge_type", "title")
 
 
-def neighbours(edges: DataFrame, start: str, depth: int, max_nodes: int | None = None) -> DataFrame:
-    """(id, distance, parent) by breadth-first search, edges taken both ways; a node's parent is its least. A join for each level."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "id string, distance int, parent string")
+def neighbours(edges: DataFrame, start, depth: int, max_nodes: int | None = None, confidence: str | None = None) -> DataFrame:
+    """(id, distance, parent) by breadth-first search, edges taken both ways; a node's parent is its least. A join for each level.
+
+    With a least confidence only edges (src, dst, confidence) that reach it are taken.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    kept = edges if confidence is None else edges.filter(meets_confidence(F.col("confidence"), confidence))
+    both = kept.select("src", "dst").union(kept.select("dst", "src")).distinct()
+    seen = edges.sparkSession.createDataFrame([(start, 0, None)], f"id {kind}, distance int, parent {kind}")
     front = seen
     for d in range(1, depth + 1):
         front = both.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "parent")

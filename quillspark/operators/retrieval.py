@@ -108,3 +108,23 @@ def nearest(texts: DataFrame, arcs: DataFrame, k: int = 3, few: str = "arcs") ->
     """The k nearest arcs (arc_id, arc_v) of each vector (id, v); few: which side is a bounded set, that every part of the other is held against."""
     scored = (texts.crossJoin(F.broadcast(arcs)) if few == "arcs" else arcs.crossJoin(F.broadcast(texts))).select("id", "arc_id", cosine(F.col("v"), F.col("arc_v")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "arc_id"))).filter(F.col("rank") <= k)
+
+
+def search(lanes: dict[str, DataFrame], mode: str = "auto", fetch: int = 100) -> DataFrame:
+    """(id, score) of the keyword lane, the dense lane, or all fused; auto fuses if there is a lane beside the keyword one. Other modes are errors."""
+    if mode == "auto":
+        mode = "hybrid" if lanes.keys() - {"bm25"} else "keyword"
+    if mode not in ("keyword", "semantic", "hybrid"):
+        raise ValueError(f"mode {mode!r} is none of keyword, semantic, hybrid, auto")
+    if mode != "keyword" and not lanes.keys() - {"bm25"}:
+        raise ValueError(f"no vectors for mode {mode!r}")
+    return lanes["bm25"] if mode == "keyword" else lanes["dense"] if mode == "semantic" else fuse(lanes, fetch).select("id", "score")
+
+
+def ask(lanes: dict[str, DataFrame], similarities: DataFrame, k: int = 10, mode: str = "auto") -> DataFrame:
+    """(rank, id, score, similarity, confidence) of the best k hits; the label is the gap's after the first. similarities: (id, score)."""
+    hits = top(search(lanes, mode), k)  # k rows
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    near = similarities.select("id", F.col("score").alias("similarity"))
+    found = near.join(F.broadcast(hits.select("id")), "id", "left_semi")
+    return ranked.join(F.broadcast(found), "id", "left").crossJoin(F.broadcast(gap_confidence(hits).select(F.col("label").alias("confidence")))).select("rank", "id", "score", "similarity", "confidence")
