@@ -66,19 +66,23 @@ def neighbours(edges: DataFrame, start, depth: int, max_nodes: int | None = None
 
 
 def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None) -> DataFrame:
-    """(a, b, weight) of notes whose common tags' ln(N / df) reach a sum. Tags (id, tag); a common tag weighs least and can be cut by its weight.
+    """(a, b, weight, n_tags) of notes a < b whose common tags' ln(N / df) reach a sum. Tags (id, tag); null ids and tags link nothing, repeated ones are one.
 
-    Pairs are summed before the threshold, so tags keep their partial sums on the map side.
+    A note's tags lie by falling weight, and it is looked up by those only from which on its weights still reach the threshold: the heaviest
+    common tag of two notes that belong together is among them on both sides, so that common tags, the lightest, make few pairs. A pair is
+    weighed where that tag is met and nowhere else, so pairs need no second shuffle.
     """
-    tags = tags.distinct()
-    total = F.lit(n) if n is not None else None
+    tags = tags.select("id", "tag").filter("id is not null and tag is not null").distinct()
     df = tags.groupBy("tag").agg(F.count("*").alias("df"))
-    if total is None:
-        df = df.crossJoin(F.broadcast(tags.agg(F.count_distinct("id").alias("total"))))
-        total = F.col("total")
-    weighed = tags.join(df.select("tag", F.log(total / F.col("df")).alias("w")), "tag")
-    one, two = weighed.select(F.col("id").alias("a"), "tag", "w"), tags.select(F.col("id").alias("b"), F.col("tag").alias("tag_b"))
-    return one.join(two, (F.col("tag") == F.col("tag_b")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.sum("w").alias("weight"), F.count("*").alias("n_tags")).filter(F.col("weight") >= threshold)
+    df = df.withColumn("total", F.lit(n)) if n is not None else df.crossJoin(F.broadcast(tags.agg(F.count_distinct("id").alias("total"))))
+    weighed = tags.join(df.select("tag", F.log(F.col("total") / F.col("df")).alias("w")), "tag")
+    notes = weighed.groupBy("id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("w", "tag")))).alias("own"))
+    total = lambda items: F.aggregate(items, F.lit(0.0), lambda s, x: s + x["w"])
+    leading = F.filter("own", lambda x, i: total(F.slice("own", i + 1, F.size("own"))) >= threshold - 1e-9)
+    looked_up = notes.select("id", "own", F.explode(F.transform(leading, lambda x: x["tag"])).alias("tag"))
+    one, two = (looked_up.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}"), F.col("tag").alias(f"tag_{x}")) for x in "ab")
+    met = one.join(two, (F.col("tag_a") == F.col("tag_b")) & (F.col("a") < F.col("b"))).select("a", "b", "tag_a", F.array_intersect("own_a", "own_b").alias("common"))
+    return met.filter(F.col("common")[0]["tag"] == F.col("tag_a")).select("a", "b", total(F.col("common")).alias("weight"), F.size("common").cast("long").alias("n_tags")).filter(F.col("weight") >= threshold)
 
 
 def alias_mentions(notes: DataFrame, aliases: DataFrame, min_length: int = 3) -> DataFrame:

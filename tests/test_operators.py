@@ -197,3 +197,23 @@ def test_alias_mentions_stand_between_word_boundaries(spark):
     aliases = [(1, "ACME"), (2, "acme Corp"), (3, "An\nold firm"), (4, "an\nold"), (5, "+++"), (8, "ÉTÉ"), (9, "été,"), (6, "A+b\\E.c"), (7, "ac")]
     found = G.alias_mentions(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame(aliases, "alias_id int, alias string"))
     assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (1, 1), (2, 1), (4, 4), (5, 5), (5, 8), (6, 6)]
+
+
+def test_tag_overlap_equals_all_pairs(spark):
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, f"t{int(rng.random() ** 2 * 25)}") for i in range(60) for _ in range(rng.randrange(9))] + [(i, "everywhere") for i in range(60)] + [(None, "t1"), (3, None)]
+    tags = spark.createDataFrame([*rows, *rows[:9]], "id long, tag string")
+    own = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            own.setdefault(i, set()).add(t)
+    weight = {t: math.log(len(own) / sum(t in x for x in own.values())) for x in own.values() for t in x}
+    for threshold in (0.0, 1.0, 3.5, 6.0):
+        want = {(a, b): sum(weight[t] for t in own[a] & own[b]) for a, b in itertools.combinations(sorted(own), 2) if own[a] & own[b]}
+        want = {k: (round(w, 6), len(own[k[0]] & own[k[1]])) for k, w in want.items() if w >= threshold}
+        assert {(r.a, r.b): (round(r.weight, 6), r.n_tags) for r in G.tag_overlap(tags, threshold).collect()} == want
+    assert G.tag_overlap(tags.limit(0), 1.0).count() == 0
