@@ -96,3 +96,56 @@ def repeats(rows, k: int = 35):
     for (doc, _), w in zip(rows, words, strict=True):
         gone = {j for i in range(len(w) - k + 1) if seen[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
         yield doc, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))
+
+
+def spellings(rows):
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 6 and c >= 5}
+    letters = {c for w in n for c in w}
+    near, form = {}, {}
+    for w in n:
+        cut = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        other = {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} - {w}
+        near[w] = [x for x in cut | other | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters} if x in n]
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        yield w, form[w], root, n[w], len(near[w]), n.get(form[w])
+
+
+def allen(sales, lines, clicks):
+    """(sale_id, relation, pairs, shared slots, sum of crc32) by all pairs; times are whole microseconds."""
+    slot, gap = 21_600_000_000, 900_000_000
+    by = defaultdict(list)
+    for ts, client, kind in clicks:
+        if ts is not None and client is not None:
+            by[client].append((ts, kind == "error"))
+    visits = []
+    for client, times in by.items():
+        times.sort()
+        for i, (t, _) in enumerate(times):
+            if i == 0 or t - times[i - 1][0] > gap:
+                visits.append([client, t, t])
+            visits[-1][2] = t
+    out = defaultdict(list)
+    for sale, client, status, sold in dict.fromkeys(sales):
+        if client is None or sold is None:
+            continue
+        a, b = sold // slot, max([sold, *(t for s, t in lines if s == sale and s is not None and t is not None)]) // slot
+        b = math.inf if status == "open" else b
+        for who, first, last in visits:
+            if who == client:
+                c, d = first // slot, math.inf if (last, True) in by[who] else last // slot
+                if a <= d and c <= b:
+                    names = ("overlaps finished_by contains", "starts equals started_by", "during finishes overlapped_by")
+                    kind = names[(a > c) - (a < c) + 1].split()[(b > d) - (b < d) + 1]
+                    out[sale, kind].append((None if b == d == math.inf else min(b, d) - max(a, c) + 1, zlib.crc32(str(first).encode())))
+    return [(s, k, len(x), None if x[0][0] is None else sum(y for y, _ in x), sum(z for _, z in x)) for (s, k), x in out.items()]
