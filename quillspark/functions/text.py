@@ -86,12 +86,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _strip(text: Column) -> Column:
+def without_space_around(text: Column) -> Column:
+    """The text without white space of any script at its ends."""
     return F.regexp_replace(text, SPACE, "")
 
 
 def _heading(line: Column) -> Column:
-    return F.lower(_strip(F.regexp_replace(_strip(line), "^#+", "")))
+    return F.lower(without_space_around(F.regexp_replace(without_space_around(line), "^#+", "")))
 
 
 def _after(items: Column, at: Column) -> Column:
@@ -100,26 +101,26 @@ def _after(items: Column, at: Column) -> Column:
 
 
 def _without_frontmatter(lines: Column) -> Column:
-    first = F.array_position(F.transform(lines, lambda x: _strip(x) != ""), True).cast("int")
+    first = F.array_position(F.transform(lines, lambda x: without_space_around(x) != ""), True).cast("int")
 
     def rest(after: Column) -> Column:
-        close = F.array_position(F.transform(after, lambda x: _strip(x) == "---"), True).cast("int")
+        close = F.array_position(F.transform(after, lambda x: without_space_around(x) == "---"), True).cast("int")
         return F.when(close > 0, _after(after, close)).otherwise(lines)
 
-    return let(first, lambda k: F.when(_strip(F.coalesce(F.get(lines, k - 1), F.lit(""))) == "---", let(_after(lines, k), rest)).otherwise(lines))
+    return let(first, lambda k: F.when(without_space_around(F.coalesce(F.get(lines, k - 1), F.lit(""))) == "---", let(_after(lines, k), rest)).otherwise(lines))
 
 
 def _principle(lines: Column) -> Column:
     def section(rest: Column) -> Column:
         end = F.array_position(F.transform(rest, lambda x: _heading(x).isin(*SECTIONS)), True).cast("int")
-        return _strip(F.array_join(F.transform(F.when(end > 0, F.slice(rest, 1, F.greatest(end - 1, F.lit(0)))).otherwise(rest), _strip), " "))
+        return without_space_around(F.array_join(F.transform(F.when(end > 0, F.slice(rest, 1, F.greatest(end - 1, F.lit(0)))).otherwise(rest), without_space_around), " "))
 
     at = F.array_position(F.transform(lines, lambda x: _heading(x) == "principle"), True).cast("int")
     return let(at, lambda k: F.when(k > 0, let(_after(lines, k), section)).otherwise(""))
 
 
 def _lead(lines: Column) -> Column:
-    flat = lambda block: F.array_join(F.filter(F.transform(F.split(block, "\n"), _strip), lambda x: x != ""), " ")
+    flat = lambda block: F.array_join(F.filter(F.transform(F.split(block, "\n"), without_space_around), lambda x: x != ""), " ")
     citation = lambda x: ~x.rlike(r"[ \t]") & (F.contains(x, F.lit("://")) | (F.contains(x, F.lit("/")) & ~x.rlike(r"[^\x00-\x7F]")))
     prose = lambda x: ~citation(x) & (x.rlike("[.!?\u3002\uff01\uff1f]") | (F.octet_length(x) > 80))
     blocks = F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n\n"), flat), lambda x: (x != "") & ~x.startswith("#") & ~_heading(x).isin(*SECTIONS))
@@ -163,21 +164,6 @@ def cut_bytes(text: Column, n: Column | int) -> Column:
     return F.coalesce(*[F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(most - i, F.lit(0))).cast("string")) for i in range(4)])
 
 
-def wikilinks(body: Column) -> Column:
-    """Inner texts of [[...]] outside code."""
-    return F.regexp_extract_all(F.regexp_replace(F.regexp_replace(body, r"(?ms)^```.*?^```[ \t]*$", ""), r"`[^`\n]*`?", " "), F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
-
-
-def parse_wikilink(inner: Column) -> Column:
-    """target, heading, block, display of target#heading|display and target#^block|display."""
-    target = F.substring_index(inner, "|", 1)
-    anchor = F.when(F.contains(target, F.lit("#")), F.regexp_extract(target, "#(.*)$", 1))
-    return F.struct(
-        F.trim(F.substring_index(target, "#", 1)).alias("target"), F.when(~anchor.startswith("^"), anchor).alias("heading"),
-        F.when(anchor.startswith("^"), F.substring(anchor, 2, 1 << 20)).alias("block"), F.when(F.contains(inner, F.lit("|")), F.regexp_extract(inner, r"\|(.*)$", 1)).alias("display"),
-    )
-
-
 def generate_id(path: Column, note_type: Column) -> Column:
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
     return F.concat_ws("-", note_type, F.replace(F.lower(stem), F.lit(" "), F.lit("-")))

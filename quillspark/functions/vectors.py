@@ -61,6 +61,10 @@ def relevance(top: Column, noise: Column, sigma: Column, default_noise: float) -
     return F.struct(z.alias("z"), label.alias("label"))
 
 
+# The order of confidences.
+CONFIDENCE = {"low": 1, "medium": 2, "high": 3}
+
+
 def edge_priority(edge_type: Column, confidence: Column) -> Column:
     """0 for explicit relations, 1 for explicit links and embeds, 2 for medium confidence, 3 for all else."""
     return F.when(edge_type == "explicit_relation", 0).when(edge_type.isin("explicit_link", "explicit_embed"), 1).when(confidence == "medium", 2).otherwise(3)
@@ -68,6 +72,5 @@ def edge_priority(edge_type: Column, confidence: Column) -> Column:
 
 def meets_confidence(edge: Column, least: str) -> Column:
     """False for unknown labels on either side."""
-    order = {"low": 1, "medium": 2, "high": 3}
-    rank = F.coalesce(*[F.when(edge == k, v) for k, v in order.items()], F.lit(0))
-    return (rank >= order[least]) & (rank > 0) if least in order else F.lit(False)
+    rank = F.coalesce(*[F.when(edge == k, v) for k, v in CONFIDENCE.items()], F.lit(0))
+    return (rank >= CONFIDENCE[least]) & (rank > 0) if least in CONFIDENCE else F.lit(False)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise
 from ..functions.vectors import meets_confidence
 
-WORD = r"[\p{L}\p{M}\p{N}_]"
-BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"  # a word boundary for letters of every script
-
 
 def resolve(inputs: DataFrame, names: DataFrame, aliases: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """input -> (tier, id, n, ambiguous) of the first tier that matches. names: (id, title), aliases: (id, alias), paths: (id, path).
@@ -85,30 +82,9 @@ def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None) -> Data
     return met.filter(F.col("common")[0]["tag"] == F.col("tag_a")).select("a", "b", total(F.col("common")).alias("weight"), F.size("common").cast("long").alias("n_tags")).filter(F.col("weight") >= threshold)
 
 
-def alias_mentions(notes: DataFrame, aliases: DataFrame, min_length: int = 3) -> DataFrame:
-    """(id, alias_id) where a note's text holds an alias between word boundaries, in any case. aliases: (alias_id, alias), a bounded catalogue.
-
-    Runs of word characters make it an equi-join: a boundary on either side makes an alias's first run a whole run of the note.
-    An alias without any is looked for in every note, by the empty run.
-    """
-    runs = lambda x: F.regexp_extract_all(x, F.lit(f"({WORD}+)"), F.lit(1))
-    quoted = F.concat(F.lit(rf"{BOUNDARY}\Q"), F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E{BOUNDARY}"))
-    known = aliases.filter(F.char_length("alias") >= min_length).select("alias_id", F.lower("alias").alias("alias"))
-    known = known.select("alias_id", "alias", quoted.alias("pattern"), F.coalesce(F.get(runs(F.col("alias")), F.lit(0)), F.lit("")).alias("word"))
-    words = notes.select("id", F.lower("text").alias("text")).select("id", "text", F.explode(F.array_union(F.array(F.lit("")), runs(F.col("text")))).alias("word"))
-    return words.join(F.broadcast(known), "word").filter(F.contains("text", "alias") & F.rlike("text", F.col("pattern"))).select("id", "alias_id").distinct()
-
-
 def resolve_links(links: DataFrame, passes: list[DataFrame]) -> DataFrame:
     """links (src, raw) with dst of the first pass (raw, dst) that knows the text, least dst in it."""
     out = links
     for i, p in enumerate(passes):
         out = out.join(p.groupBy("raw").agg(F.min("dst").alias(f"dst{i}")), "raw", "left")
     return out.select("src", "raw", F.coalesce(*[F.col(f"dst{i}") for i in range(len(passes))]).alias("dst")).withColumn("resolved", F.col("dst").isNotNull())
-
-
-def related(explicit: DataFrame, inferred: DataFrame, of, mode: str = "mixed") -> DataFrame:
-    """(id, origin, score) of a node's neighbours, explicit edges before inferred; only inferred ones have a score."""
-    parts = {"explicit": [explicit], "inferred": [inferred], "mixed": [explicit, inferred]}[mode]
-    rows = [p.filter((F.col("src") == of) | (F.col("dst") == of)).select(F.when(F.col("src") == of, F.col("dst")).otherwise(F.col("src")).alias("id"), "origin", "score") for p in parts]
-    return reduce(DataFrame.union, rows).groupBy("id").agg(F.min_by("origin", "origin").alias("origin"), F.min_by("score", F.struct("origin", -F.col("score"))).alias("score"))

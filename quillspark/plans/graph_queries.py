@@ -46,17 +46,6 @@ def tag_overlap_edges(spark, d):
     return G.tag_overlap(tags, 12.0).select("a", "b", "n_tags", F.round("weight", 6).alias("weight"))
 
 
-def alias_mention_edges(spark, d):
-    aliases = read(spark, d, "benchmark").select(F.col("item_id").alias("alias_id"), F.substring_index(F.lower("text"), " ", 6).alias("alias"))
-    return G.alias_mentions(notes(spark, d), aliases)
-
-
-def related(spark, d):
-    explicit = edges(spark, d).select("src", "dst", F.lit("explicit").alias("origin"), F.lit(None).cast("double").alias("score"))
-    inferred = edges(spark, d).filter("edge_type = 'lives_in'").select(F.col("src"), F.lit("N3").alias("dst"), F.lit("inferred").alias("origin"), F.lit(0.5).alias("score")).filter("src like 'C1%'")
-    return G.related(explicit, inferred, "N3")
-
-
 def _links(spark, d):
     p = read(spark, d, "pages")
     return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("position", "target"))
@@ -193,7 +182,7 @@ def snippets(spark, d):
     return notes(spark, d).select("id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, recall, tag_overlap_edges, alias_mention_edges, related, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
+QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, recall, tag_overlap_edges, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
 _BFS = f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 l1 AS (SELECT dst AS id, 1 AS distance, min(src) AS parent FROM both_ways WHERE src = 'R1' AND dst <> 'R1' GROUP BY dst),
 l2 AS (SELECT dst AS id, 2 AS distance, min(src) AS parent FROM both_ways WHERE src IN (SELECT id FROM l1) AND dst NOT IN (SELECT id FROM l1) AND dst <> 'R1' GROUP BY dst),
@@ -231,13 +220,6 @@ SELECT input, tier, min(id) AS id, count(*) AS n, count(*) > 1 AS ambiguous FROM
 SELECT seen.id, distance, title FROM seen LEFT JOIN nodes ON nodes.id = seen.id""",
     "tag_overlap_edges": """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS tag FROM lineitem), w AS (SELECT tag, ln((SELECT count(DISTINCT id) FROM t) / count(*)) AS w FROM t GROUP BY tag)
 SELECT a.id AS a, b.id AS b, count(*) AS n_tags, round(sum(w), 6) AS weight FROM t a JOIN t b ON a.tag = b.tag AND a.id < b.id JOIN w ON w.tag = a.tag GROUP BY a.id, b.id HAVING sum(w) >= 12.0""",
-    # A boundary beside a word character is a place without one on its other side, beside any other character a place with one.
-    "alias_mention_edges": r"""WITH al AS (SELECT item_id AS alias_id, array_to_string(list_slice(string_split(lower(text), ' '), 1, 6), ' ') AS alias FROM benchmark),
-p AS (SELECT alias_id, alias, (CASE WHEN regexp_matches(alias, '^[\p{L}\p{M}\p{N}_]') THEN '(^|[^\p{L}\p{M}\p{N}_])' ELSE '[\p{L}\p{M}\p{N}_]' END) || regexp_escape(alias) || (CASE WHEN regexp_matches(alias, '[\p{L}\p{M}\p{N}_]$') THEN '($|[^\p{L}\p{M}\p{N}_])' ELSE '[\p{L}\p{M}\p{N}_]' END) AS pattern FROM al WHERE length(alias) >= 3)
-SELECT DISTINCT doc_id AS id, alias_id FROM documents, p WHERE contains(lower(text), alias) AND regexp_matches(lower(text), pattern)""",
-    "related": f"""WITH {EDGES_SQL}, x AS (SELECT src, dst, 'explicit' AS origin, NULL::DOUBLE AS score FROM edges UNION ALL SELECT src, 'N3', 'inferred', 0.5 FROM edges WHERE edge_type = 'lives_in' AND src LIKE 'C1%'),
-y AS (SELECT CASE WHEN src = 'N3' THEN dst ELSE src END AS id, origin, score FROM x WHERE src = 'N3' OR dst = 'N3')
-SELECT id, min(origin) AS origin, CASE WHEN min(origin) = 'inferred' THEN max(score) END AS score FROM y GROUP BY id""",
     "link_extract": f"WITH {_LINKS} SELECT page_id, position, target, CASE WHEN regexp_matches(target, '^(https?://|mailto:)') THEN 'external' ELSE 'path' END AS kind FROM links",
     "link_resolve": f"""WITH {_LINKS}, l AS (SELECT DISTINCT page_id AS src, target AS raw FROM links), u AS (SELECT url AS raw, min(page_id) AS dst FROM pages GROUP BY url),
 p AS (SELECT '/' || string_split(url, '/')[-1] AS raw, min(page_id) AS dst FROM pages GROUP BY 1)

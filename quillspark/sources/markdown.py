@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import links as L
 
 #: The closing --- stands on a line of its own.
 FRONT = r"(?s)\A---\r?\n(.*?)(?<=\n)---(?=[\r\n]|\z)(?:\r\n)?\n?"
@@ -68,11 +69,17 @@ def notes(files: DataFrame) -> DataFrame:
 
 
 def links(notes_: DataFrame) -> DataFrame:
-    """(src, raw, edge_type) of wikilinks, embeds and relation fields, each once."""
-    wiki = notes_.select(F.col("id").alias("src"), F.explode(F.transform(T.wikilinks(F.col("body")), lambda x: T.parse_wikilink(x)["target"])).alias("raw"), F.lit("explicit_link").alias("edge_type"))
-    kinds = ("parent_id", "related_ids", "source_ids")
-    fields = notes_.select(F.col("id").alias("src"), F.explode(F.flatten(F.transform(F.array(*map(F.lit, kinds)), lambda k: F.coalesce(F.col("extra")[k], F.array().cast("array<string>"))))).alias("raw"), F.lit("explicit_relation").alias("edge_type"))
-    return wiki.union(fields).filter("raw <> ''").distinct()
+    """(src, raw, edge_type, target_kind, heading, block, confidence, origin) of the body's links and of relation fields.
+
+    Of several with the same src, raw and edge_type the first is taken: by line and place, after those of fields."""
+    body = L.extract(notes_.select("id", "body"))
+    one = body.select("src", F.col("target").alias("raw"), "edge_type", "target_kind", "heading", "block", F.concat(F.lit("body:line:"), "line").alias("origin"), "n")
+    field = lambda k: F.transform(F.coalesce(F.col("extra")[k], F.array().cast("array<string>")), lambda x: F.struct(x.alias("raw"), F.lit(f"frontmatter.{k}").alias("origin")))
+    given = notes_.select(F.col("id").alias("src"), F.explode(F.concat(*map(field, ("parent_id", "related_ids", "source_ids")))).alias("x"))
+    two = given.select("src", "x.raw", F.lit("explicit_relation").alias("edge_type"), *[F.lit("").alias(c) for c in ("target_kind", "heading", "block")], "x.origin", F.lit(0).alias("n"))
+    rest = F.struct("n", "origin", "target_kind", "heading", "block")
+    first = one.unionByName(two).filter("raw <> ''").groupBy("src", "raw", "edge_type").agg(F.min(rest).alias("x"))
+    return first.select("src", "raw", "edge_type", "x.target_kind", "x.heading", "x.block", F.lit("high").alias("confidence"), "x.origin")
 
 
 def changes(files: DataFrame, catalog: DataFrame) -> DataFrame:

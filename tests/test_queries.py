@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 SQL = {k: v for k, v in __spark_entry__.oracle_sql().items() if not k.startswith("op")}
 
 
