@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Any other pair that is compared later lies within a component of these pairs.
     more = across(members, components(pairs.select(F.col("leader").alias("a"), F.col("other").alias("b"))), percent)
     nodes = reduce(DataFrame.union, [x.select(F.col(c).alias("node")) for x in (pairs, more) for c in ("leader", "other")]).distinct()
-    of_node = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"))
+    of_node = each.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("least"))
     row = F.xxhash64("doc_id", "key")
     wanted = cut(nodes.join(of_node, "node").select("node", "one.*").select("node", row.alias("wanted")))
     texts = cut(rows.withColumn("row", row).join(_small(wanted, limit), F.col("row") == F.col("wanted")).dropDuplicates(["row"]).select("node", "text"))
@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     if not rest.isEmpty():
         links = cut(links.union(_verified(rest, texts, words, percent, limit)))
     labels = components(links)
-    least = of_node.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("one.doc_id").alias("least"))
+    least = of_node.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     return each.join(named, "node", "left").select("doc_id", "key", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
