@@ -14,7 +14,7 @@ from quillspark.operators import graph as G
 from quillspark.operators import memory as M
 from quillspark.operators import mutation
 from quillspark.operators import retrieval as R
-from quillspark.sources import markdown, transcripts
+from quillspark.sources import markdown
 
 
 def one(spark, column):
@@ -151,11 +151,6 @@ def test_markdown_source(spark, tmp_path):
     assert [tuple(r) for r in markdown.changes(files, catalog).collect()] == [("a/n.md", "added")]
 
 
-def test_transcripts_skip_torn_lines(spark, tmp_path):
-    (tmp_path / "t.jsonl").write_text('{"type":"user","sessionId":"s","timestamp":"2024-01-01T00:00:00Z","message":{"role":"user","content":"hi"}}\n{"type":"user","sess')
-    assert [r.messages for r in transcripts.episodes(transcripts.read(spark, str(tmp_path))).collect()] == [["user: hi"]]
-
-
 def test_mutations():
     new, diff = mutation.mutate("---\ntitle: a\nid: x\n---\nbody\n", {"status": ["done"]}, ("title",))
     assert new == "---\nid: x\nstatus: done\n---\nbody\n" and "+status: done" in diff
