@@ -1,6 +1,6 @@
 """Homomorphic multiset fingerprints of documents, with DataFrame functions only.
 
-A paragraph is a line. Its wide vector has STRONG lanes of 48 bits, hashed from the paragraph's SHA-256, and
+A paragraph is a line. Its wide vector has STRONG lanes of 48 bits, which are digits of the paragraph's SHA-256, and
 LANES lanes of 16 bits that count its word pairs with signs. A document's fingerprint is the sum of
 its paragraphs' vectors modulo 2**48 and 2**16: the order of paragraphs doesn't matter, and vectors of
 inserted or deleted paragraphs are added or taken off (combine). Strong lanes decide equality; the others
@@ -27,11 +27,12 @@ def _code(lane: Column | int, value: Column) -> Column:
 
 
 def strong(text: Column) -> list[Column]:
-    """The strong lanes of a text."""
+    """The strong lanes of a text: sums of parts of its paragraphs' SHA-256, each of digits of its own."""
     hashes = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
 
     def lane(i: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: (total + F.xxhash64(h, F.lit(i)).bitwiseAND(_MASK)).bitwiseAND(_MASK))
+        digits = lambda h: F.conv(F.substring(h, 12 * i + 1, 12), 16, 10).cast("long")
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: (total + digits(h)).bitwiseAND(_MASK))
 
     return [lane(i) for i in range(STRONG)]
 
