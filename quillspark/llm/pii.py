@@ -223,11 +223,13 @@ class Detector:
         found = candidates(text)
         if not found:
             return []
-        p, taken, out = self.scores(text, found), [(s, e) for s, _, e in base], []
-        for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i])):
-            s, kind, e = found[i]
-            if p[i] >= self.threshold[kind] and all(e <= a or s >= b for a, b in taken):
-                taken.append((s, e))
+        p, taken, out = self.scores(text, found), bytearray(len(text)), []
+        for s, _, e in base:
+            taken[s:e] = b"\1" * (e - s)
+        for i in sorted((i for i in range(len(found)) if p[i] >= self.threshold[found[i][1]]), key=lambda i: (-p[i], found[i])):
+            s, _, e = found[i]
+            if taken.find(1, s, e) < 0:
+                taken[s:e] = b"\1" * (e - s)
                 out.append(found[i])
         return out
 

@@ -171,3 +171,30 @@ def test_unreachable_tokens_never_come(library):
     made = bpe.codec(public_tokenizers.path(bpe.VOCABULARY)).words.merges
     reached = {t for ends in made.ends for t in ends}
     assert all(0 <= made.rank[made.left[t]] < made.rank[t] or made.rank[made.left[t]] == -1 for t in reached if made.rank[t] >= 0)
+
+
+def test_spans_of_a_long_list_of_numbers_take_linear_time():
+    """Tenfold text takes about ten times as long, with all spans apart."""
+    import time
+
+    from quillspark.llm import pii
+
+    model, took = pii.detector(600, pii.PRECISION), {}
+    for n in (300, 3000):
+        text = "tel 0222 55 66 77 88 or (415) 555-2671, " * n
+        began = time.time()
+        found = sorted(model.added(text, []))
+        took[n] = time.time() - began
+        assert all(a[2] <= b[0] for a, b in zip(found, found[1:], strict=False)) and len(found) >= n
+    assert took[3000] < 30 * took[300]
+
+
+def test_trees_find_a_rule_of_two_features():
+    from quillspark.llm.boosting import Boosted
+
+    x = np.random.default_rng(2).normal(size=(3000, 8))
+    y = ((x[:, 3] > 0.2) & (x[:, 5] < 0.5)).astype(float)
+    model = Boosted(40).fit(x[:2000], y[:2000])
+    assert ((model.predict(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
+    flat = Boosted().fit(np.zeros((10, 2)), np.array([1.0] * 5 + [0.0] * 5))
+    assert np.allclose(flat.predict(np.zeros((3, 2))), 0.5)
