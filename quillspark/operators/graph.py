@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
-from ..functions.vectors import meets_confidence
+from .traversal import traverse
 
 
 def resolve(inputs: DataFrame, names: DataFrame, aliases: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
@@ -47,19 +47,11 @@ def links_in(edges: DataFrame, nodes: DataFrame, of: str) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, start, depth: int, max_nodes: int | None = None, confidence: str | None = None) -> DataFrame:
-    """(id, distance, parent) by breadth-first search, edges taken both ways; a node's parent is its least. A join for each level.
-
-    With a least confidence only edges (src, dst, confidence) that reach it are taken.
-    """
-    kind = edges.schema["src"].dataType.simpleString()
-    kept = edges if confidence is None else edges.filter(meets_confidence(F.col("confidence"), confidence))
-    both = kept.select("src", "dst").union(kept.select("dst", "src")).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0, None)], f"id {kind}, distance int, parent {kind}")
-    front = seen
-    for d in range(1, depth + 1):
-        front = both.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "parent")
-        seen = seen.union(front)
-    return seen if max_nodes is None else seen.orderBy("distance", "id").limit(max_nodes)
+    """(id, distance, parent, n) by breadth-first search from one node, edges (src, dst, ...) taken both ways; n: the place in order of discovery."""
+    given = edges.columns
+    filled = [F.col(c) if c in given else F.lit(None).cast(kind).alias(c) for c, kind in (("edge_type", "string"), ("confidence", "string"), ("weight", "double"))]
+    starts = edges.sparkSession.createDataFrame([(start,)], "start " + edges.schema["src"].dataType.simpleString())
+    return traverse(edges.select("src", "dst", *filled), starts, depth, max_nodes, confidence).select("id", "distance", "parent", "n")
 
 
 def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from ..functions.vectors import chunks, cosine, maxsim, minmax
+from ..shared import cut
 
 K1, B, RRF = 1.2, 0.75, 60
+SNIPPET = 32
 MAX_PAIRS = 200_000
 
 
@@ -20,18 +21,63 @@ def top(lane: DataFrame, k: int, offset: int = 0) -> DataFrame:
     return lane.orderBy(F.desc("score"), "id").offset(offset).limit(k) if offset else lane.orderBy(F.desc("score"), "id").limit(k)
 
 
-def bm25(notes: DataFrame, query: str) -> DataFrame:
-    """Notes (id, text) that have every word of the query. One pass counts, one scores; neither shuffles the texts."""
-    words = sorted({w.lower() for w in query.replace('"', "").split()})
+def query_words(query: str) -> list[str]:
+    """The distinct words of a query, quotes left out."""
+    return sorted({w.lower() for w in query.replace('"', "").split()})
+
+
+def counted(notes: DataFrame, words: list[str]) -> DataFrame:
+    """(id, dl, tf) of notes (id, text): the number of words, and how often each asked word is among them."""
     tf = F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter("tokens", lambda t: t == w)))
-    counted = notes.select("id", tokens(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("dl"), tf.alias("tf"))
-    facts = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col("tf")[i] > 0).cast("int")).alias(f"df{i}") for i in range(len(words))])
+    return notes.select("id", tokens(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("dl"), tf.alias("tf"))
+
+
+def bm25(notes: DataFrame, query: str) -> DataFrame:
+    """Notes (id, text) that have every word of the query. Texts are taken apart once; counting and scoring read a few numbers for each note."""
+    words = query_words(query)
+    rows = cut(counted(notes, words))
+    facts = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col("tf")[i] > 0).cast("int")).alias(f"df{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
         f, df = F.col("tf")[i], F.col(f"df{i}")
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.crossJoin(F.broadcast(facts)).filter(F.forall("tf", lambda f: f > 0)).select("id", score.alias("score"))
+    return rows.filter(F.forall("tf", lambda f: f > 0)).crossJoin(F.broadcast(facts)).select("id", score.alias("score"))
+
+
+def best_window(text: Column, words: list[str], size: int = SNIPPET) -> Column:
+    """The part of a text around the query's words, of at most `size` words, with dots where text is left out.
+
+    Of the windows that begin at a query word the one with most different ones is taken, then with most in all, then the
+    first; what room it leaves is dealt to both sides. A text without these words gives its beginning, null gives null.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*"), F.lit(0))  # a word with what follows it
+
+    def windowed(every: Column) -> Column:
+        own = F.transform(every, lambda p, i: F.struct(i.alias("i"), F.lower(F.regexp_extract(p, r"^[\p{L}\p{N}]+", 0)).alias("w")))
+        hits = F.filter(own, lambda x: x["w"].isin(*words))
+
+        def chosen(found: Column) -> Column:
+            def rated(h: Column) -> Column:
+                inside = F.filter(found, lambda x: (x["i"] >= h["i"]) & (x["i"] < h["i"] + size))
+                return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["w"]))).alias("k"), F.size(inside).alias("n"), (-h["i"]).alias("at"), F.array_max(F.transform(inside, lambda x: x["i"])).alias("to"))
+
+            return let(F.array_max(F.transform(found, rated)), lambda b: F.when(b.isNull(), 0).otherwise(-b["at"] - F.floor((size - (b["to"] + b["at"] + 1)) / 2).cast("int")))
+
+        def cut_out(wanted: Column) -> Column:
+            begin = F.greatest(F.lit(0), F.least(wanted, F.size(every) - size))
+            shown = F.regexp_replace(F.array_join(F.slice(every, begin + 1, size), ""), r"[^\p{L}\p{N}]+\z", "")
+            return F.concat(F.when(begin > 0, "...").otherwise(""), shown, F.when(begin + size < F.size(every), "...").otherwise(""))
+
+        return let(let(hits, chosen), cut_out)
+
+    return let(pieces, windowed)
+
+
+def with_snippets(hits: DataFrame, notes: DataFrame, query: str, size: int = SNIPPET) -> DataFrame:
+    """A page of hits (id, ...) with the snippet of each one's text; texts of hits alone are taken apart."""
+    texts = notes.select("id", "text").join(F.broadcast(hits.select("id")), "id", "left_semi")
+    return hits.join(texts, "id", "left").withColumn("snippet", best_window(F.col("text"), query_words(query), size)).drop("text")
 
 
 def page(lane: DataFrame, k: int, offset: int = 0) -> DataFrame:
@@ -86,14 +132,22 @@ def noise_floor(vectors: DataFrame, probes: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(probes)).agg(F.max(cosine(F.col("v"), F.col("p"))).alias("noise_floor"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `at`, the place by id from 0: each range of ids is numbered for itself, from the sum of the counts before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, "id").withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("m"))  # a row for each range
+    before = F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
+    return ranged.withColumn("own", own).join(F.broadcast(counts.select("range", before.alias("first"))), "range").withColumn("at", F.col("first") + F.col("own")).drop("range", "own", "first")
+
+
 def pair_spread(vectors: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
     """Mean and population deviation of cosines over the pairs i < j of all vectors by id: every stride-th pair, the least stride that keeps `most` at most.
 
     Kept pairs come from their number alone, pair k of n vectors in row-wise order, so that no all-pairs join is needed.
     """
-    ids = vectors.select("id").orderBy("id")
-    numbered = ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(StructType([ids.schema["id"], StructField("at", LongType())]))
-    placed = vectors.select("id", "v").join(numbered, "id").select("at", "v")
+    placed = numbered(vectors.select("id", "v")).select("at", "v")
     k = F.expr("explode(sequence(0L, total - 1, stride))").alias("k")
     kept = vectors.agg(F.count("*").alias("n")).filter("n > 1").withColumn("total", F.expr("n * (n - 1) div 2")).withColumn("stride", F.expr(f"(total + {most - 1}) div {most}")).select("n", k)
     near = kept.withColumn("i", F.expr("cast((2 * n - 1 - sqrt((2 * n - 1) * (2 * n - 1) - 8 * k)) / 2 as bigint)"))
@@ -123,7 +177,7 @@ def search(lanes: dict[str, DataFrame], mode: str = "auto", fetch: int = 100) ->
 
 def ask(lanes: dict[str, DataFrame], similarities: DataFrame, k: int = 10, mode: str = "auto") -> DataFrame:
     """(rank, id, score, similarity, confidence) of the best k hits; the label is the gap's after the first. similarities: (id, score)."""
-    hits = top(search(lanes, mode), k)  # k rows
+    hits = cut(top(search(lanes, mode), k))  # k rows, for all that follows
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     near = similarities.select("id", F.col("score").alias("similarity"))
     found = near.join(F.broadcast(hits.select("id")), "id", "left_semi")

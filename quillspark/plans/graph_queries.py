@@ -10,6 +10,7 @@ from ..functions.vectors import edge_priority, meets_confidence
 from ..operators import graph as G
 from ..operators import memory as M
 from ..operators import structure as S
+from ..operators.traversal import traverse
 from .tables import EDGES_SQL, NODES_SQL, edges, nodes, notes, read
 
 
@@ -30,11 +31,19 @@ def links_in(spark, d):
 
 
 def neighbors_bfs(spark, d):
-    return G.neighbours(edges(spark, d), "R1", 2)
+    return G.neighbours(edges(spark, d), "R1", 2).select("id", "distance", "parent")
 
 
 def neighbors_capped(spark, d):
-    return G.neighbours(edges(spark, d), "R1", 2, 50).select("id", "distance")
+    """The first fifty nodes in order of discovery."""
+    return G.neighbours(edges(spark, d), "R1", 2, 50).select("id", "distance", "n")
+
+
+def traversals(spark, d):
+    """From every nation two steps far, the first forty nodes of each, with the edges that reach them."""
+    every = edges(spark, d).withColumns({"confidence": F.lit("high"), "weight": F.lit(None).cast("double")})
+    starts = every.filter("edge_type = 'part_of'").select(F.col("src").alias("start"))
+    return traverse(every, starts, 2, 40).select("start", "n", "id", "distance", "parent", "source", "edge_type")
 
 
 def recall(spark, d):
@@ -182,7 +191,7 @@ def snippets(spark, d):
     return notes(spark, d).select("id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, recall, tag_overlap_edges, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
+QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, traversals, recall, tag_overlap_edges, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
 _BFS = f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 l1 AS (SELECT dst AS id, 1 AS distance, min(src) AS parent FROM both_ways WHERE src = 'R1' AND dst <> 'R1' GROUP BY dst),
 l2 AS (SELECT dst AS id, 2 AS distance, min(src) AS parent FROM both_ways WHERE src IN (SELECT id FROM l1) AND dst NOT IN (SELECT id FROM l1) AND dst <> 'R1' GROUP BY dst),
@@ -215,7 +224,15 @@ SELECT input, tier, min(id) AS id, count(*) AS n, count(*) > 1 AS ambiguous FROM
     "links_out": f"WITH {EDGES_SQL}, {NODES_SQL} SELECT dst, edge_type, id IS NOT NULL AS resolved, title FROM edges LEFT JOIN nodes ON dst = id WHERE src = 'N3'",
     "links_in": f"WITH {EDGES_SQL}, {NODES_SQL} SELECT src, edge_type, title FROM edges JOIN nodes ON src = id WHERE dst = 'N3'",
     "neighbors_bfs": f"{_BFS} SELECT id, distance, parent FROM seen",
-    "neighbors_capped": f"{_BFS} SELECT id, distance FROM seen ORDER BY distance, id LIMIT 50",
+    "neighbors_capped": f"""{_BFS}, o AS (SELECT s.*, row_number() OVER (ORDER BY distance, (SELECT count(*) FROM l1 WHERE l1.id < s.parent), id) - 1 AS n FROM seen s) SELECT id, distance, n FROM o WHERE n < 50""",
+    "traversals": f"""WITH {EDGES_SQL}, a AS (SELECT x, min((way, edge_type)) AS e, y FROM (SELECT src AS x, 0 AS way, dst AS y, edge_type FROM edges UNION ALL SELECT dst, 1, src, edge_type FROM edges) GROUP BY x, y),
+s AS (SELECT DISTINCT src AS start FROM edges WHERE edge_type = 'part_of'),
+l1 AS (SELECT start, y AS id, start AS parent, e, row_number() OVER (PARTITION BY start ORDER BY e[1], y, e[2]) AS n FROM s JOIN a ON x = start WHERE y <> start),
+m AS (SELECT l1.start, a.y AS id, min((l1.n, a.e[1], a.e[2], l1.id)) AS f FROM l1 JOIN a ON a.x = l1.id WHERE a.y <> l1.start AND NOT EXISTS (SELECT 1 FROM l1 k WHERE k.start = l1.start AND k.id = a.y) GROUP BY ALL),
+l2 AS (SELECT start, id, f, row_number() OVER (PARTITION BY start ORDER BY f[1], f[2], id, f[3]) + (SELECT count(*) FROM l1 WHERE l1.start = m.start) AS n FROM m),
+u AS (SELECT start, 0 AS n, start AS id, 0 AS distance, NULL AS parent, NULL AS source, NULL AS edge_type FROM s UNION ALL SELECT start, n, id, 1, parent, CASE WHEN e[1] = 0 THEN parent ELSE id END, e[2] FROM l1
+ UNION ALL SELECT start, n, id, 2, f[4], CASE WHEN f[2] = 0 THEN f[4] ELSE id END, f[3] FROM l2)
+SELECT * FROM u WHERE n < 40""",
     "recall": f"""WITH {EDGES_SQL}, {NODES_SQL}, seen AS (SELECT 'N3' AS id, 0 AS distance UNION ALL SELECT DISTINCT x, 1 FROM (SELECT dst AS x FROM edges WHERE src = 'N3' UNION SELECT src FROM edges WHERE dst = 'N3'))
 SELECT seen.id, distance, title FROM seen LEFT JOIN nodes ON nodes.id = seen.id""",
     "tag_overlap_edges": """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS tag FROM lineitem), w AS (SELECT tag, ln((SELECT count(DISTINCT id) FROM t) / count(*)) AS w FROM t GROUP BY tag)

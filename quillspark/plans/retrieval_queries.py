@@ -21,6 +21,11 @@ def bm25_topk(spark, d):
     return R.page(R.bm25(notes(spark, d), QUERY), 10).select("id", F.round("score", 6).alias("score"))
 
 
+def search_snippets(spark, d):
+    """The best ten notes with the parts of their texts that are around the query's words."""
+    return R.with_snippets(R.top(R.bm25(notes(spark, d), QUERY), 10).select("id", F.round("score", 6).alias("score")), notes(spark, d), QUERY)
+
+
 def bm25_count(spark, d):
     return R.bm25(notes(spark, d), QUERY).agg(F.count("*").alias("n"))
 
@@ -148,10 +153,17 @@ spread AS (SELECT avg(c) AS mu, stddev_pop(c) AS sigma, count(*) AS n_pairs FROM
  AND (e.i * (2 * e.n - e.i - 1) // 2 + q.i - e.i - 1) % ((e.n * (e.n - 1) // 2 + 199999) // 200000) = 0))"""
 _EFF = "greatest(0.03, least(0.12, sigma))"
 
-QUERIES = {f.__name__: f for f in (dense_topk, bm25_topk, bm25_count, bm25_filtered, sparse_topk, maxsim_topk, rrf_hybrid, rrf_gap_confidence, activation_rerank, noise_floor_stats, relevance_label, nearest_arcs, query_similarities, embedding_dims, vector_norms, golden_hits, fuzzy_titles)}
+QUERIES = {f.__name__: f for f in (dense_topk, bm25_topk, search_snippets, bm25_count, bm25_filtered, sparse_topk, maxsim_topk, rrf_hybrid, rrf_gap_confidence, activation_rerank, noise_floor_stats, relevance_label, nearest_arcs, query_similarities, embedding_dims, vector_norms, golden_hits, fuzzy_titles)}
 ORACLE_SQL = {
     "dense_topk": f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, id LIMIT 10",
     "bm25_topk": f"WITH {_BM25 % ''}{_PAGE % (10, 0)}",
+    "search_snippets": rf"""WITH {_BM25 % ''}, best AS (SELECT id, round(score, 6) AS score, score AS s FROM bm25 ORDER BY s DESC, id LIMIT 10),
+p AS (SELECT id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS every, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM documents JOIN best ON doc_id = id),
+h AS (SELECT * FROM (SELECT id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS w FROM p) WHERE w IN ('the', 'of')),
+r AS (SELECT a.id, a.i, count(DISTINCT b.w) AS k, count(*) AS n, max(b.i) AS e FROM h a JOIN h b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + 31 GROUP BY a.id, a.i),
+c AS (SELECT id, i - (32 - (e - i + 1)) // 2 AS b FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, n DESC, i) = 1),
+f AS (SELECT id, every, greatest(1, least(b, len(every) - 31)) AS b FROM c JOIN p USING (id))
+SELECT id, score, CASE WHEN b > 1 THEN '...' ELSE '' END || regexp_replace(array_to_string(list_slice(every, b, b + 31), ''), '[^\p{{L}}\p{{N}}]+$', '') || CASE WHEN b + 31 < len(every) THEN '...' ELSE '' END AS snippet FROM best JOIN f USING (id)""",
     "bm25_count": f"WITH {_BM25 % ''} SELECT count(*) AS n FROM bm25",
     "bm25_filtered": f"WITH {_BM25 % chr(32)}{_PAGE % (5, 2)}".replace("FROM documents ", "FROM documents WHERE source = 'src1' AND lang = 'en' ", 1),
     "sparse_topk": f"WITH {_SPARSE} SELECT id, score FROM sparse ORDER BY score DESC, id LIMIT 10",
