@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import checks as C
+from ..operators import delivery as D
 from ..operators import graph as G
 from ..operators import packing as P
 from ..operators import retrieval as R
@@ -54,6 +55,44 @@ def ask_hits(spark, d):
     return R.ask(rounded, sims, 10).select("rank", "id", F.round("score", 9).alias("score"), F.round("similarity", 6).alias("similarity"), "confidence")
 
 
+def _questions(spark, d):
+    """A question for each language and source: its first hit is the document nearest to 3,000 letters. Who asks and how goes by the hit's number."""
+    w = Window.partitionBy("lang", "source").orderBy(F.abs(F.length("text") - 3000), "doc_id")
+    docs = read(spark, d, "documents").withColumn("rank", F.row_number().over(w))
+    hits = docs.select(F.concat_ws("/", "lang", "source").alias("question"), "rank", F.col("doc_id").alias("id"))
+    first, i = hits.filter("rank = 1"), F.col("id")
+    label = F.element_at(F.array(*map(F.lit, ("strong", "weak", "no_match", "moderate"))), (i % 4 + 1).cast("int"))
+    caller = F.when(i % 2 == 0, "agent").otherwise("hook")
+    asks = first.select("question", F.lit(NOW).cast("timestamp").alias("ts"), caller.alias("caller"), label.alias("confidence"), (i % 5 == 0).alias("pointers_only"), (i % 3 == 0).alias("json"), F.lit(100).alias("notes"), (i % 7 < 3).alias("tight"), F.lit(True).alias("floor_applied"))
+    return hits, asks
+
+
+def ask_packs(spark, d):
+    """The pack of each question, its texts by their digests."""
+    hits, _ = _questions(spark, d)
+    pack = D.packs(hits, _notes(spark, d), _edges(spark, d), BUDGET)
+    return pack.select("question", "position", "id", "edge_type", "fm_tokens", F.sha2("body", 256).alias("body"), "body_tokens", "excerpted")
+
+
+def ask_accesses(spark, d):
+    """What the questions add to the access log."""
+    hits, asks = _questions(spark, d)
+    return D.access_rows(D.packs(hits, _notes(spark, d), _edges(spark, d), BUDGET), asks).drop("ts")
+
+
+def ask_deliveries(spark, d):
+    hits, asks = _questions(spark, d)
+    return D.counts(D.packs(hits, _notes(spark, d), _edges(spark, d), BUDGET), asks)
+
+
+def delivered_notes(spark, d):
+    """Clicks as accesses of the items of their kind's number, logged with delivery or from before it was."""
+    c = read(spark, d, "clicks").filter("client_id is not null and ts is not null")
+    log_ = c.select(F.col("client_id").alias("note_id"), "ts", F.when(F.col("kind") == "view", "agent").otherwise("hook").alias("caller"), F.when(F.col("value") > 50, True).when(F.col("value") > 20, False).alias("body_delivered"))
+    people = read(spark, d, "clients").groupBy(F.col("client_id").alias("id")).agg(F.min("name").alias("title"), F.min("segment").alias("type"))
+    return D.delivered_notes(log_, people).withColumn("last", F.unix_micros("last"))
+
+
 def _payload(spark, d):
     """An event for each user and day, whose JSON has two lists of ten notes: by value and by time, newest first."""
     e = log(spark, d).select(F.concat_ws("-", F.col("user").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("key"), F.get_json_object("props", "$.k").alias("note_id"), "value", "ts", "event_id")
@@ -102,7 +141,7 @@ def neighbors_confident(spark, d):
     return G.neighbours(_edges(spark, d), 17, 2, confidence="medium").select("id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (context_pack_targets, context_pack_two_pass, context_pack_body_first, ask_hits, nested_note_stats, nested_compare, nested_compare_means, outcome_performance, activation_compressed, registry_issues, neighbors_confident)}
+QUERIES = {f.__name__: f for f in (context_pack_targets, context_pack_two_pass, context_pack_body_first, ask_hits, ask_packs, ask_accesses, ask_deliveries, delivered_notes, nested_note_stats, nested_compare, nested_compare_means, outcome_performance, activation_compressed, registry_issues, neighbors_confident)}
 
 _GRAPH = """e AS (SELECT doc_id AS src, doc_id // 10 AS dst, 'explicit_relation' AS edge_type, 'high' AS confidence, doc_id * 3 AS "at" FROM documents
  UNION ALL SELECT doc_id, (doc_id * 7 + 3) % 100, 'explicit_link', 'high', doc_id * 3 + 1 FROM documents UNION ALL SELECT doc_id, doc_id + 2, 'tag_overlap', CASE WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END, doc_id * 3 + 2 FROM documents)"""
@@ -113,6 +152,16 @@ both_ways AS (SELECT src AS target, dst AS id, edge_type, confidence, "at" AS o
 c AS (SELECT target, id, arg_min(edge_type, o) AS edge_type, arg_min(confidence, o) AS confidence, min(o) AS o FROM both_ways WHERE target <> id GROUP BY target, id),
 p AS (SELECT c.target, c.id, edge_type, confidence, n.fm_tokens, n.tokens, t.remaining, row_number() OVER (PARTITION BY c.target ORDER BY CASE edge_type WHEN 'explicit_relation' THEN 0 WHEN 'explicit_link' THEN 1 ELSE CASE WHEN confidence = 'medium' THEN 2 ELSE 3 END END, updated DESC, o) AS position
  FROM c JOIN n ON n.id = c.id JOIN t ON t.target = c.target WHERE t.remaining > 0)"""
+_TWO = f"""{_CANDIDATES}, k AS (SELECT * FROM (SELECT *, sum(fm_tokens) OVER (PARTITION BY target ORDER BY position) AS used FROM p) WHERE used <= remaining),
+s AS (SELECT *, remaining - max(used) OVER (PARTITION BY target) AS start FROM k),
+f AS (SELECT target, position, id, edge_type, confidence, fm_tokens, CASE WHEN tokens > 0 AND tokens <= start THEN tokens END AS body_tokens, CASE WHEN tokens <= start THEN start - tokens ELSE start END AS room FROM s WHERE position = 1
+ UNION ALL SELECT s.target, s.position, s.id, s.edge_type, s.confidence, s.fm_tokens, CASE WHEN tokens > 0 AND tokens <= room THEN tokens END, CASE WHEN tokens <= room THEN room - tokens ELSE room END FROM f JOIN s ON s.target = f.target AND s.position = f.position + 1)"""
+_PACKS = f"""{_TWO}, q AS (SELECT concat_ws('/', lang, source) AS question, doc_id AS target, text FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY abs(length(text) - 3000), doc_id) = 1),
+own AS (SELECT question, 0 AS position, target AS id, NULL AS edge_type, fm_tokens, text AS whole, body_tokens,
+ CASE WHEN strlen(text) > 4 * ({BUDGET} - fm_tokens) THEN (SELECT max(left(text, i::BIGINT)) FROM range(4 * ({BUDGET} - fm_tokens) + 1) r(i) WHERE strlen(left(text, i::BIGINT)) <= 4 * ({BUDGET} - fm_tokens)) ELSE nullif(text, '') END AS body FROM q JOIN t USING (target)),
+more AS (SELECT question, position, f.id, edge_type, fm_tokens, d.text AS whole, body_tokens, CASE WHEN body_tokens IS NOT NULL THEN d.text END AS body FROM q JOIN f USING (target) JOIN documents d ON d.doc_id = f.id),
+pack AS (SELECT question, position::INT AS position, id, edge_type, fm_tokens, body, CASE WHEN body IS NOT NULL THEN body_tokens END::BIGINT AS body_tokens, coalesce(body <> whole, false) AS excerpted FROM (SELECT * FROM own UNION ALL SELECT * FROM more)),
+asks AS (SELECT question, CASE WHEN target % 2 = 0 THEN 'agent' ELSE 'hook' END AS caller, ['strong', 'weak', 'no_match', 'moderate'][(target % 4 + 1)::INT] AS label, target % 5 = 0 AS pointers_only, target % 3 = 0 AS json, target % 7 < 3 AS tight FROM q)"""
 _LISTS = f"""e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS event_id, user_id, json_extract_string(props, '$.k') AS note, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY value DESC, event_id) AS x, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id) AS y FROM events),
 r AS (SELECT event_id, user_id, 'value' AS variant, note, x AS rank FROM e WHERE x <= 10 UNION ALL SELECT event_id, user_id, 'recent', note, y FROM e WHERE y <= 10),
 pv AS (SELECT DISTINCT event_id, CASE WHEN user_id % 5 = 0 THEN '' WHEN user_id % 2 = 0 THEN 'recent' ELSE 'value' END AS pv FROM r)"""
@@ -124,10 +173,7 @@ m AS (SELECT pv.event_id, pv AS primary_variant, CASE WHEN pv = 'value' THEN 're
 _SEEN = """l1 AS (SELECT DISTINCT dst AS id FROM g WHERE src = 17 AND dst <> 17), l2 AS (SELECT DISTINCT dst AS id FROM g WHERE src IN (SELECT id FROM l1) AND dst <> 17 AND dst NOT IN (SELECT id FROM l1))"""
 ORACLE_SQL = {
     "context_pack_targets": f"WITH {_TARGETS} SELECT * FROM t",
-    "context_pack_two_pass": f"""{_CANDIDATES}, k AS (SELECT * FROM (SELECT *, sum(fm_tokens) OVER (PARTITION BY target ORDER BY position) AS used FROM p) WHERE used <= remaining),
-s AS (SELECT *, remaining - max(used) OVER (PARTITION BY target) AS start FROM k),
-f AS (SELECT target, position, id, edge_type, confidence, fm_tokens, CASE WHEN tokens > 0 AND tokens <= start THEN tokens END AS body_tokens, CASE WHEN tokens <= start THEN start - tokens ELSE start END AS room FROM s WHERE position = 1
- UNION ALL SELECT s.target, s.position, s.id, s.edge_type, s.confidence, s.fm_tokens, CASE WHEN tokens > 0 AND tokens <= room THEN tokens END, CASE WHEN tokens <= room THEN room - tokens ELSE room END FROM f JOIN s ON s.target = f.target AND s.position = f.position + 1)
+    "context_pack_two_pass": f"""{_TWO}
 SELECT target, position, id, edge_type, confidence, fm_tokens, body_tokens::BIGINT AS body_tokens FROM f""",
     "context_pack_body_first": f"""{_CANDIDATES},
 f AS (SELECT target, position, id, edge_type, confidence, fm_tokens, CASE WHEN tokens > 0 AND tokens <= remaining - fm_tokens THEN tokens END AS body_tokens, remaining - fm_tokens - CASE WHEN tokens <= remaining - fm_tokens THEN tokens ELSE 0 END AS room FROM p WHERE position = 1 AND fm_tokens <= remaining
@@ -135,6 +181,15 @@ f AS (SELECT target, position, id, edge_type, confidence, fm_tokens, CASE WHEN t
 SELECT target, position, id, edge_type, confidence, fm_tokens, body_tokens::BIGINT AS body_tokens FROM f""",
     "ask_hits": f"""{_FUSED}, h AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused ORDER BY score DESC, id LIMIT 10), g AS (SELECT (max(score) - min(score)) / max(score) AS gap FROM h WHERE rank <= 2)
 SELECT rank, id, round(score, 9) AS score, (SELECT round({_COS}, 6) FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id = h.id) AS similarity, CASE WHEN gap >= 0.05 THEN 'high' WHEN gap >= 0.015 THEN 'moderate' WHEN gap >= 0.005 THEN 'low' ELSE 'ambiguous' END AS confidence FROM h, g""",
+    "ask_packs": f"{_PACKS} SELECT question, position, id, edge_type, fm_tokens, sha256(body) AS body, body_tokens, excerpted FROM pack",
+    "ask_accesses": f"""{_PACKS}, r AS (SELECT *, CASE WHEN NOT bool_or(body IS NOT NULL) OVER (PARTITION BY question) THEN 'below_floor' WHEN json THEN NULL WHEN pointers_only THEN 'pointers_only' WHEN label = 'no_match' OR label = 'weak' AND NOT tight THEN 'below_floor' END AS reason FROM pack JOIN asks USING (question))
+SELECT question, id AS note_id, caller, reason IS NULL AND body IS NOT NULL AS body_delivered, reason FROM r""",
+    "ask_deliveries": f"""{_PACKS}, told AS (SELECT question, count(*) AS notes, sum((NOT pointers_only AND body IS NOT NULL)::INT)::BIGINT AS delivered, sum((NOT pointers_only AND body IS NOT NULL AND excerpted)::INT)::BIGINT AS excerpted FROM pack JOIN asks USING (question) GROUP BY question),
+said AS (SELECT *, notes - delivered AS titles_only FROM told)
+SELECT question, notes, delivered, excerpted, titles_only, delivered || ' delivered' || CASE WHEN delivered = 0 THEN '' WHEN excerpted = delivered THEN ' as excerpt' || CASE WHEN excerpted > 1 THEN 's' ELSE '' END WHEN excerpted > 0 THEN ', ' || excerpted || ' as excerpt' || CASE WHEN excerpted > 1 THEN 's' ELSE '' END ELSE ' in full' END
+ || CASE WHEN delivered > 0 AND titles_only > 0 THEN ', ' || titles_only || CASE WHEN titles_only = 1 THEN ' title only' ELSE ' titles only' END ELSE '' END AS phrase FROM said""",
+    "delivered_notes": """WITH a AS (SELECT client_id AS id, ts FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND (value > 50 OR ((value IS NULL OR value <= 20) AND kind = 'view'))), p AS (SELECT client_id AS id, coalesce(min(name), '') AS title, coalesce(min(segment), '') AS type FROM clients GROUP BY client_id)
+SELECT id, count(*) AS accesses, epoch_us(max(ts)) AS last, any_value(title) AS title, any_value(type) AS type FROM a JOIN p USING (id) GROUP BY id""",
     "nested_note_stats": f"WITH {_LISTS} SELECT note, count(DISTINCT event_id) AS n, min(rank) AS best FROM r GROUP BY note",
     "nested_compare": f"WITH {_COMPARED} SELECT event_id, shadow_variant, round(jaccard, 6) AS jaccard, round(tau, 6) AS tau, shared FROM m",
     "nested_compare_means": f"WITH {_COMPARED} SELECT primary_variant, shadow_variant, count(*) AS events, round(avg(jaccard), 6) AS jaccard, round(avg(tau), 6) AS tau, count(tau) AS tau_events FROM m GROUP BY ALL",
