@@ -67,15 +67,6 @@ def strip_markdown(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
-def strip_markdown_sql(text: str) -> str:
-    """The same in DuckDB's SQL."""
-    text = f"regexp_replace({text}, '(?m){FENCES}', '', 'g')"
-    for pattern, by in PLAIN:
-        out = "'\\1'" if by == 1 else "chr(10) || chr(10)" if "\n" in by else f"'{by}'"
-        text = f"regexp_replace({text}, '(?m){pattern}', {out}, 'g')"
-    return f"regexp_replace({text}, '\\A\\s+|\\s+\\z', '', 'g')"
-
-
 # Headings of the sections of an arc, in any case.
 SECTIONS = ("trigger", "push", "deeper sight", "principle", "what i did differently", "source")
 SPACE = r"(?U)\A\s+|\s+\z"

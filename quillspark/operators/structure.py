@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import slugify
+from ..functions.text import slugify, without_space_around
 
 # What marks fences, headings and block ids in a line.
 FENCE, HEADING, BLOCK = r"^\s*(?:```|~~~)", r"^(#{1,6})\s+([^\n]+)\z", r"\^([a-zA-Z0-9][a-zA-Z0-9_-]*)\s*\z"
@@ -25,7 +25,7 @@ def marks(body: Column) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         fence, is_heading = x["text"].rlike(FENCE), x["text"].rlike(HEADING)
-        title = F.trim(F.regexp_extract(x["text"], HEADING, 2))
+        title = without_space_around(F.regexp_extract(x["text"], HEADING, 2))
         heading = F.struct(x["line"].alias("line"), F.lit("heading").alias("kind"), F.length(F.regexp_extract(x["text"], HEADING, 1)).alias("level"), title.alias("text"), title.alias("heading"))
         block = F.struct(x["line"].alias("line"), F.lit("block").alias("kind"), F.lit(0).alias("level"), F.regexp_extract(x["text"], BLOCK, 1).alias("text"), s["heading"].alias("heading"))
         skip = fence | s["inside"]

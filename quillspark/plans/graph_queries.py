@@ -85,10 +85,6 @@ def estimate_tokens(spark, d):
     return notes(spark, d).select("id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-def strip_markdown(spark, d):
-    return notes(spark, d).select("id", T.strip_markdown(F.col("text")).alias("plain"))
-
-
 def excerpt_lead(spark, d):
     return notes(spark, d).select("id", T.excerpt(F.col("text"), 40).alias("excerpt"))
 
@@ -191,7 +187,7 @@ def snippets(spark, d):
     return notes(spark, d).select("id", T.snippet(F.col("text"), 120).alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, traversals, recall, tag_overlap_edges, link_extract, link_resolve, headings, slugs, estimate_tokens, strip_markdown, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
+QUERIES = {f.__name__: f for f in (entity_resolve, links_out, links_in, neighbors_bfs, neighbors_capped, traversals, recall, tag_overlap_edges, link_extract, link_resolve, headings, slugs, estimate_tokens, excerpt_lead, truncated, normalised_names, title_lookup, mget_order, context_pack_pass1, context_pack_pass2, edge_candidates, generated_ids, md_headings, md_blocks, full_notes, alias_lookup, lookup_names, path_lookup, slim_notes, links_three_way, links_both, snippets)}
 _BFS = f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 l1 AS (SELECT dst AS id, 1 AS distance, min(src) AS parent FROM both_ways WHERE src = 'R1' AND dst <> 'R1' GROUP BY dst),
 l2 AS (SELECT dst AS id, 2 AS distance, min(src) AS parent FROM both_ways WHERE src IN (SELECT id FROM l1) AND dst NOT IN (SELECT id FROM l1) AND dst <> 'R1' GROUP BY dst),
@@ -244,7 +240,6 @@ SELECT src, l.raw, coalesce(u.dst, p.dst) AS dst, coalesce(u.dst, p.dst) IS NOT
     "headings": "SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS title, generate_subscripts(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), 1) - 1 AS position FROM pages",
     "slugs": r"SELECT page_id, replace(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\p{L}\p{Nd}_ -]', '', 'g'), ' ', '-') AS slug FROM pages",
     "estimate_tokens": "SELECT doc_id AS id, ceil(strlen(text) / 4.0)::BIGINT AS tokens FROM documents",
-    "strip_markdown": f"SELECT doc_id AS id, {T.strip_markdown_sql('text')} AS plain FROM documents",
     "truncated": "SELECT doc_id AS id, CASE WHEN length(text) > 80 THEN substring(text, 1, 77) || '...' ELSE text END AS short FROM documents",
     "normalised_names": r"SELECT c_custkey, lower(translate(c_name, '-_', '  ')) AS name, trim(regexp_replace(lower(c_mktsegment), '\s+', ' ', 'g')) AS segment FROM customer",
     "title_lookup": "SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'red widget'",

@@ -101,8 +101,10 @@ def embedding_dims(spark, d):
 
 
 def vector_norms(spark, d):
-    v = vectors(spark, d).select("id", l2_normalise(F.col("v")).alias("u"), "v")
-    return v.select("id", F.round(cosine(F.col("u"), F.col("v")), 6).alias("same"))
+    """The length of each vector made one long, and its first and last number."""
+    v = vectors(spark, d).select("id", l2_normalise(F.col("v")).alias("u"))
+    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
+    return v.select("id", F.round(length, 5).alias("length"), F.round(F.get("u", F.lit(0)), 5).alias("first"), F.round(F.element_at("u", -1), 5).alias("last"))
 
 
 def golden_hits(spark, d):
@@ -182,7 +184,8 @@ SELECT id, CASE WHEN score < least(noise_floor - 0.5 * {_EFF}, 0.3) THEN 'no_mat
     "nearest_arcs": f"SELECT id, arc_id, rank, round(score, 5) AS score FROM (SELECT q.vec_id AS id, e.vec_id AS arc_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.label <> 0 AND e.label = 0) WHERE rank <= 3",
     "query_similarities": f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q",
     "embedding_dims": "SELECT len(embedding) AS dims, count(*) AS n FROM embeddings GROUP BY 1",
-    "vector_norms": "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS same FROM embeddings",
+    "vector_norms": """WITH n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
+SELECT id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length, round(CASE WHEN n > 0 THEN v[1] / n ELSE v[1] END, 5) AS first, round(CASE WHEN n > 0 THEN v[-1] / n ELSE v[-1] END, 5) AS last FROM n""",
     "golden_hits": f"""WITH n AS (SELECT q.vec_id AS id, q.label AS want, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 10 AND e.vec_id >= 10),
 r AS (SELECT id, min(CASE WHEN label = want THEN rank END) AS rank FROM n WHERE rank <= 10 GROUP BY id) SELECT id, coalesce((rank <= 5)::INT::DOUBLE, 0.0) AS hit, round(coalesce(1.0::DOUBLE / rank, 0.0), 6) AS rr FROM r""",
     "fuzzy_titles": r"""SELECT p_partkey, p_name, overlap FROM (SELECT p_partkey, p_name, len(list_intersect(list_filter(list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+')), lambda x: strlen(x) >= 3), ['small', 'red', 'widget']))::INT AS overlap FROM part) WHERE overlap > 0 ORDER BY overlap DESC, length(p_name), p_partkey LIMIT 10""",
