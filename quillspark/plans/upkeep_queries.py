@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shell import outside_quotes
 from ..sources import episodes as E
 from ..sources import index as I
 from .tables import read
@@ -51,8 +52,15 @@ def episode_records(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (index_plan, episode_records)}
+def shell_skeletons(spark, d):
+    """Documents as commands in which some words open or close quotes, and what of each stands outside of them."""
+    command = F.regexp_replace(F.regexp_replace("text", " (the|la|die) ", " '$1 "), " (and|et|und) ", ' "\\\\" $1 ')
+    return read(spark, d, "documents").select("doc_id", outside_quotes(command).alias("outside"))
+
+
+QUERIES = {f.__name__: f for f in (index_plan, episode_records, shell_skeletons)}
 ORACLE_SQL = {
+    "shell_skeletons": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, ' (the|la|die) ', ' ''\1 ', 'g'), ' (and|et|und) ', ' "\\" \1 ', 'g'), '(?s)''[^'']*(?:''|$)|"(?:[^"\\]|\\.)*(?:\\)?(?:"|$)', '', 'g') AS outside FROM documents""",
     "index_plan": """WITH f AS (SELECT source || '/' || doc_id || '.md' AS path, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS m, sha256(text) AS h, 'n' || (doc_id - doc_id % 2) AS id FROM documents),
 k AS (SELECT CASE WHEN lang = 'es' THEN 'old/' ELSE '' END || source || '/' || doc_id || '.md' AS path, CASE WHEN length(text) % 2 = 0 THEN 'before' ELSE sha256(text) END AS h, 1 AS m,
  CASE WHEN doc_id % 2 = 0 THEN 'n' || doc_id ELSE '_path:' || source || '/' || doc_id || '.md' END AS old_id FROM documents WHERE lang <> 'de'),
