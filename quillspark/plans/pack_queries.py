@@ -11,6 +11,7 @@ from ..operators import delivery as D
 from ..operators import graph as G
 from ..operators import packing as P
 from ..operators import retrieval as R
+from ..operators.variants import Variants
 from .retrieval_queries import _COS, _FUSED, _lanes
 from .tables import NOW, accesses, log, query_vector, read, vectors
 
@@ -104,6 +105,15 @@ def _payload(spark, d):
     return events.select("event_id", F.when(F.substring_index("event_id", "-", 1).cast("int") % 5 == 0, "").when(F.substring_index("event_id", "-", 1).cast("int") % 2 == 0, "recent").otherwise("value").alias("primary_variant"), "event_data")
 
 
+def shadow_payloads(spark, d):
+    """Each user's events of a day under four variants in one pass, read back from the JSON that is logged."""
+    e = log(spark, d).select(F.concat_ws("-", F.col("user").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("event_id"), F.col("event_id").alias("note_id"), "ts", "value")
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("ts", "note_id"))
+    v = Variants(value=F.col("value"), recent=F.unix_micros("ts"), mixed=F.round(F.col("value") - F.col("position") * 10, 6))
+    data = v.payloads(e.withColumn("position", place), "mixed", ["none", "value", "recent"], 5)
+    return A.payload(data).withColumn("rank", F.col("rank").cast("long"))
+
+
 def nested_note_stats(spark, d):
     return A.payload(_payload(spark, d)).groupBy(F.col("note_id").alias("note")).agg(F.count_distinct("event_id").alias("n"), F.min("rank").cast("long").alias("best"))
 
@@ -141,7 +151,7 @@ def neighbors_confident(spark, d):
     return G.neighbours(_edges(spark, d), 17, 2, confidence="medium").select("id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (context_pack_targets, context_pack_two_pass, context_pack_body_first, ask_hits, ask_packs, ask_accesses, ask_deliveries, delivered_notes, nested_note_stats, nested_compare, nested_compare_means, outcome_performance, activation_compressed, registry_issues, neighbors_confident)}
+QUERIES = {f.__name__: f for f in (context_pack_targets, context_pack_two_pass, context_pack_body_first, ask_hits, ask_packs, ask_accesses, ask_deliveries, delivered_notes, shadow_payloads, nested_note_stats, nested_compare, nested_compare_means, outcome_performance, activation_compressed, registry_issues, neighbors_confident)}
 
 _GRAPH = """e AS (SELECT doc_id AS src, doc_id // 10 AS dst, 'explicit_relation' AS edge_type, 'high' AS confidence, doc_id * 3 AS "at" FROM documents
  UNION ALL SELECT doc_id, (doc_id * 7 + 3) % 100, 'explicit_link', 'high', doc_id * 3 + 1 FROM documents UNION ALL SELECT doc_id, doc_id + 2, 'tag_overlap', CASE WHEN doc_id % 2 = 0 THEN 'medium' ELSE 'low' END, doc_id * 3 + 2 FROM documents)"""
@@ -190,6 +200,10 @@ SELECT question, notes, delivered, excerpted, titles_only, delivered || ' delive
  || CASE WHEN delivered > 0 AND titles_only > 0 THEN ', ' || titles_only || CASE WHEN titles_only = 1 THEN ' title only' ELSE ' titles only' END ELSE '' END AS phrase FROM said""",
     "delivered_notes": """WITH a AS (SELECT client_id AS id, ts FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND (value > 50 OR ((value IS NULL OR value <= 20) AND kind = 'view'))), p AS (SELECT client_id AS id, coalesce(min(name), '') AS title, coalesce(min(segment), '') AS type FROM clients GROUP BY client_id)
 SELECT id, count(*) AS accesses, epoch_us(max(ts)) AS last, any_value(title) AS title, any_value(type) AS type FROM a JOIN p USING (id) GROUP BY id""",
+    "shadow_payloads": """WITH c AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS event_id, event_id AS note, ts, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS p FROM events),
+r AS (SELECT event_id, 'none' AS variant, note, p AS rank FROM c UNION ALL SELECT event_id, 'value', note, row_number() OVER (PARTITION BY event_id ORDER BY value DESC NULLS LAST, p) FROM c
+ UNION ALL SELECT event_id, 'recent', note, row_number() OVER (PARTITION BY event_id ORDER BY ts DESC, p) FROM c UNION ALL SELECT event_id, 'mixed', note, row_number() OVER (PARTITION BY event_id ORDER BY round(value - p * 10, 6) DESC NULLS LAST, p) FROM c)
+SELECT event_id, variant, note::VARCHAR AS note_id, rank FROM r WHERE rank <= 5""",
     "nested_note_stats": f"WITH {_LISTS} SELECT note, count(DISTINCT event_id) AS n, min(rank) AS best FROM r GROUP BY note",
     "nested_compare": f"WITH {_COMPARED} SELECT event_id, shadow_variant, round(jaccard, 6) AS jaccard, round(tau, 6) AS tau, shared FROM m",
     "nested_compare_means": f"WITH {_COMPARED} SELECT primary_variant, shadow_variant, count(*) AS events, round(avg(jaccard), 6) AS jaccard, round(avg(tau), 6) AS tau, count(tau) AS tau_events FROM m GROUP BY ALL",
