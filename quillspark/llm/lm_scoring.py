@@ -9,8 +9,10 @@ of outputs, the normaliser of each context is computed once, by batched matrix p
 
 Counts, classes, noise and base scores come from all training tokens and are gathered by hashed
 buckets; counts of words outside the head never leave their bucket, which returns sums for each text.
-The network's weights are fitted to all training positions: in each of EPOCHS rounds every partition goes on
-from the common weights over its own positions, and the weights it ends with count by its positions in their mean.
+The network's weights are fitted to all training positions: rows are dealt by a hash to shards of about SHARD positions,
+whatever partitions the table has. In each of EPOCHS rounds every shard goes on from the common weights over its own
+positions, and the weights it ends with count by its positions in their mean. So a round learns as much from each position
+at any size (a table too small for one shard is gone over several times, PASSES at most), and scores don't depend on the table's layout (but for shards over HELD positions, which one huge text can make).
 Of HELD positions at a time, equal ones (contexts are pairs of outputs, so they are many) are one row that weighs as many.
 """
 
@@ -29,7 +31,7 @@ from .flow import arrow, batch, cut, documents, pack, ranges_by_bucket, unpack
 
 OWN, HEAD = 42, 1 << 17
 DIM, NOISE, EPOCHS, RATE = 32, 128, 2, 0.15
-HELD = 1 << 22
+HELD, SHARD, PASSES = 1 << 22, 1 << 21, 16
 END = U64(0x5E0F5E0F5E0F5E0F)  # the end of a text, as a token
 RESULT = "doc_id long,held_out boolean,n_tokens long,n_known long,train_tokens long,base_score double,score double"
 SCORED = "bucket int,slice long,blob binary,at int,doc_id long,held_out boolean,n_tokens long,n_rare long,known long,counts double,model double"
@@ -239,6 +241,10 @@ def fitted(docs: DataFrame, model: Model, n: int, most: int | None = None, seed:
         total = sum(np.frombuffer(x, np.float32) * np.float64(w) for x, w in zip(table["blob"].to_pylist(), weight, strict=True))
         return pa.table({"slice": table["slice"][:1].combine_chunks(), "blob": pa.array([pack((total / weight.sum()).astype(np.float32))], pa.binary())})
 
+    # only training rows travel; equal rows go to one shard together
+    shards = max(1, -(-min(model.n, most or model.n) // SHARD))
+    dealt = docs.filter("not held_out").repartition(shards, F.xxhash64("doc_id", "text"))
+
     for epoch in range(EPOCHS):
         start = docs.sparkSession.sparkContext.broadcast(net.state())
 
@@ -253,12 +259,14 @@ def fitted(docs: DataFrame, model: Model, n: int, most: int | None = None, seed:
                     own.learn(np.concatenate(held), rng)
                     held = []
             if held:
-                own.learn(np.concatenate(held), rng)
+                rows = np.concatenate(held)
+                for _ in range(min(PASSES, max(1, SHARD // seen))):
+                    own.learn(rows, rng)
             if seen:
                 state = own.state()
                 yield pa.RecordBatch.from_pydict({"slice": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "n": pa.array([seen] * n), "blob": pa.array([pack(state[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
-        means = docs.mapInArrow(run, "slice int, part int, n long, blob binary").groupBy("slice").applyInArrow(summed, "slice int, blob binary").collect()
+        means = dealt.mapInArrow(run, "slice int, part int, n long, blob binary").groupBy("slice").applyInArrow(summed, "slice int, blob binary").collect()
         if means:
             net.become(np.concatenate([np.frombuffer(r.blob, np.float32) for r in sorted(means, key=lambda r: r.slice)]))
     return finished(model, net, docs.sparkSession, n)

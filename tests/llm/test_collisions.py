@@ -67,3 +67,27 @@ def test_null_ids_leave_a_component_its_least_id(spark):
     assert found == [(5, 5), (6, 5), (9, 9), (None, 5), (None, 5), (None, None)]
     kept = jaccard_join.representatives(make(spark, rows)).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [5, 9, None]
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """The same model and scores for any partitioning, and a gain over single words on rows left out."""
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+
+    def text():
+        out = [r.choice(words)]
+        for _ in range(60):  # each word has two usual successors
+            i = int(out[-1][1:])
+            out.append(words[(2 * i + r.randrange(2)) % 300] if r.random() < 0.9 else r.choice(words))
+        return " ".join(out)
+
+    rows = spark.createDataFrame([(i, text()) for i in range(1200)] + [(None, "a b"), (3, None)], "doc_id long, text string").cache()
+    runs = []
+    for n in (1, 7):
+        found = lm_scoring.score(rows.repartition(n)).collect()
+        runs.append(sorted((str(x.doc_id), x.score, x.base_score, x.held_out, x.n_tokens) for x in found))
+    assert np.allclose([x[1] for x in runs[0]], [x[1] for x in runs[1]], atol=1e-6)
+    held = [x for x in runs[0] if x[3]]
+    assert sum(x[1] - x[2] for x in held) > 0.3 * sum(x[4] for x in held)
