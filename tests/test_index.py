@@ -8,6 +8,15 @@ import pytest
 from quillspark.sources import index
 from quillspark.sources.index import NoteIndex, classified, settled
 
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    """A handful of rows need no more than one task for each step."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 FILES = "path string, mtime long, content string, hash string"
 
 
