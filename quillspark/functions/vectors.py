@@ -55,9 +55,11 @@ def clamp_sigma(sigma: Column) -> Column:
 
 
 def relevance(top: Column, noise: Column, sigma: Column, default_noise: float) -> Column:
-    """z and label of a query's best cosine against the collection's noise floor."""
-    cutoff, z = F.least(noise - 0.5 * sigma, F.lit(default_noise)), (top - noise) / sigma
-    label = F.when(top < cutoff, "no_match").when(z <= 1.0, "weak").when(z <= 2.5, "moderate").otherwise("strong")
+    """z and label of a query's best cosine against the collection's noise floor; a z that is no number is 0 and no match."""
+    cutoff, raw = F.least(noise - 0.5 * sigma, F.lit(default_noise)), F.try_divide(top - noise, sigma)
+    number = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) < float("inf"))
+    z = F.when(number, raw).otherwise(0.0)
+    label = F.when(~number | (top <= cutoff), "no_match").when(z <= 1.0, "weak").when(z <= 2.5, "moderate").otherwise("strong")
     return F.struct(z.alias("z"), label.alias("label"))
 
 

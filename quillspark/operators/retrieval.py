@@ -120,6 +120,27 @@ def rerank(candidates: DataFrame, activation: DataFrame, n: int = 10, alpha: flo
     return rows.select("id", "rank", "act_rank", final.alias("final"))
 
 
+def activation_lane(activation: DataFrame, notes: DataFrame, kind: str | None = None) -> DataFrame:
+    """A lane (id, score) of notes (id, type) that were ever used, by their activation (id, activation) alone, whatever is asked; of one type if given.
+
+    Scores are drawn out to 0 to 1, all 1 if they are equal. As lanes are fused by the mean of those present, it lifts or lowers what
+    others find, and adds notes of its own."""
+    used = activation.select("id", "activation").join(notes if kind is None else notes.filter(F.col("type") == kind), "id", "left_semi")
+    ends = used.agg(F.min("activation").alias("low"), F.max("activation").alias("high"))  # one row
+    span = F.col("high") - F.col("low")
+    return used.crossJoin(F.broadcast(ends)).select("id", F.when(span > 0, (F.col("activation") - F.col("low")) / span).otherwise(1.0).alias("score"))
+
+
+def assembled(keyword: DataFrame, activation: DataFrame | None = None, **stored: DataFrame | None) -> dict[str, DataFrame]:
+    """The lanes of an ask by what a collection has: the keyword lane, and, if it has a dense one, the other stored ones (sparse, late) and the activation.
+
+    stored: lanes by name; None stands for vectors that the collection hasn't got. Without a dense lane the keyword lane stands alone."""
+    if stored.get("dense") is None:
+        return {"bm25": keyword}
+    given = {k: v for k, v in stored.items() if v is not None}
+    return {"bm25": keyword, **given, **({} if activation is None else {"activation": activation})}
+
+
 def gap_confidence(fused: DataFrame) -> DataFrame:
     """The label of the relative gap of the first and second hits' scores."""
     best = top(fused, 2).agg(F.max("score").alias("first"), F.min("score").alias("second"), F.count("*").alias("n"))
