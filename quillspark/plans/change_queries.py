@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frontmatter as FM
+from ..operators import policy as PO
 from ..operators import regions as RG
 from .tables import read
 
@@ -77,7 +78,34 @@ def regions_rendered(spark, d):
     return RG.rendered(notes, templates).select("path", F.sha2("text", 256).alias("text"), "sections", "error")
 
 
-QUERIES = {f.__name__: f for f in (frontmatter_normalised, plan_results, plan_files, plan_absent_keys, region_issues, regions_rendered)}
+def policy_decisions(spark, d):
+    """Orders as changes of files in repositories of many states."""
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    access = F.element_at(F.array(*map(F.lit, PO.ACCESS)), (k % 4 + 1).cast("int"))
+    rows = read(spark, d, "orders").select(k.alias("id"), access.alias("access"), F.concat(F.lit("f"), (k % 5).cast("string")).alias("target"), (F.col("o_orderstatus") != "P").alias("repo"), (k % 3 == 0).alias("clean"), (k % 7 == 0).alias("detached"), (k % 11 == 0).alias("merging"), F.lit(None).cast("boolean").alias("rebasing"), F.when(k % 2 == 0, F.array(F.lit("f0"), F.lit("f1"))).otherwise(none).alias("staged"), none.alias("unstaged"))
+    rule = lambda x: F.concat_ws("=", x["rule"], x["decision"])
+    return PO.decided(rows, {"no_repo": "allow"}).select("id", "decision", F.array_join(F.transform("reasons", rule), " ").alias("reasons"))
+
+
+def plan_issues(spark, d):
+    """Orders as plans, their lines as operations of which some lack fields."""
+    line, text = F.col("l_linenumber"), lambda c: F.lit(c).cast("string")
+    op = F.element_at(F.array(*map(F.lit, ("frontmatter_set", "frontmatter_unset", "note_create", "other"))), (line % 4 + 1).cast("int"))
+    target = F.when(F.col("l_quantity") > 25, "").otherwise("t")
+    ops = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), line.alias("at"), op.alias("op"), target.alias("target"), F.when(F.col("l_returnflag") != "R", "k").alias("key"), F.col("l_returnflag").alias("value"), F.create_map().cast("map<string,string>").alias("fields"), text(None).alias("section_key"), text(None).alias("template"), target.alias("path"), F.col("l_returnflag").alias("type"), F.when(F.col("l_linestatus") == "O", F.create_map().cast("map<string,string>")).alias("frontmatter"))
+    plans = read(spark, d, "orders").select(F.col("o_orderkey").alias("plan"), F.when(F.col("o_orderkey") % 9 == 0, 2).otherwise(1).alias("version"))
+    types = read(spark, d, "lineitem").filter("l_returnflag like '%A%'").select(F.col("l_returnflag").alias("type")).distinct()
+    return PO.plan_issues(plans, ops, types)
+
+
+def created_notes(spark, d):
+    """Documents as new notes, two to each path, of which every fifth path is taken."""
+    docs = _documents(spark, d).withColumn("path", F.concat(F.lit("d/n"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string"), F.lit(".md")))
+    asked = docs.select("path", F.col("doc_id").alias("at"), F.col("source").alias("type"), F.create_map(F.lit("lang"), "lang").alias("fields"), F.col("text").alias("body"))
+    return PO.created(asked, docs.filter("doc_id % 10 = 0").select("path")).select("path", "at", "id", F.sha2("content", 256).alias("content"), "error")
+
+
+QUERIES = {f.__name__: f for f in (frontmatter_normalised, plan_results, plan_files, plan_absent_keys, region_issues, regions_rendered, policy_decisions, plan_issues, created_notes)}
 
 _D = "d AS (SELECT doc_id, text, coalesce(lang, 'en') AS lang, coalesce(source, 'src0') AS source, 'd/' || doc_id AS path, printf('2024-01-%02d', doc_id % 28 + 1) AS day FROM documents)"
 _BODY = r"""CASE WHEN ltrim(text, E'\r\n') = '' THEN text ELSE ltrim(text, E'\r\n') END"""
@@ -97,4 +125,16 @@ FROM n WHERE doc_id // 4 NOT IN (SELECT plan FROM bad)""",
     "region_issues": f"WITH {_D}, {_MARKED} SELECT doc_id, 'summary' AS key, CASE WHEN k = 3 THEN 'malformed_markers' ELSE 'duplicate_markers' END AS rule, CASE WHEN k = 3 THEN 2 ELSE 5 END AS line FROM m WHERE k IN (3, 4)",
     "regions_rendered": f"""WITH {_D}, {_MARKED}, r AS (SELECT *, CASE k WHEN 1 THEN 'checksum_mismatch' WHEN 3 THEN 'malformed_markers' WHEN 5 THEN 'template_not_found' END AS error, concat('S:', source, E'\\n') AS new FROM m)
 SELECT path, sha256(CASE WHEN error IS NULL THEN concat(head, s, '<!-- checksum:', sha256(new), E' -->\\n', new, e, again, text) ELSE concat(head, s, c, old, e, again, text) END) AS text, 1 AS sections, error FROM r""",
+    "policy_decisions": """WITH x AS (SELECT o_orderkey AS id, (o_orderkey % 4)::INT AS a, o_orderstatus <> 'P' AS repo, o_orderkey % 3 = 0 AS clean, o_orderkey % 2 = 0 AND o_orderkey % 5 < 2 AS own, o_orderkey % 7 = 0 AS det, o_orderkey % 11 = 0 AS mer FROM orders),
+r AS (SELECT id, 0 AS n, 'dirty_unrelated' AS rule, ['allow', 'allow', 'warn', 'warn'][a + 1] AS d FROM x WHERE repo AND NOT clean AND NOT own UNION ALL SELECT id, 1, 'dirty_target', ['allow', 'allow', 'refuse', 'refuse'][a + 1] FROM x WHERE repo AND own
+ UNION ALL SELECT id, 2, 'detached_head', ['allow', 'allow', 'warn', 'refuse'][a + 1] FROM x WHERE repo AND det UNION ALL SELECT id, 3, 'merge_in_progress', ['allow', 'allow', 'refuse', 'refuse'][a + 1] FROM x WHERE mer
+ UNION ALL SELECT id, 4, 'no_repo', ['warn', 'warn', 'allow', 'refuse'][a + 1] FROM x WHERE NOT repo), g AS (SELECT id, max(CASE d WHEN 'refuse' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS worst, string_agg(rule || '=' || d, ' ' ORDER BY n) AS reasons FROM r GROUP BY id)
+SELECT x.id, ['allow', 'warn', 'refuse'][coalesce(worst, 0) + 1] AS decision, coalesce(reasons, '') AS reasons FROM x LEFT JOIN g USING (id)""",
+    "plan_issues": """WITH l AS (SELECT l_orderkey AS plan, l_linenumber AS "at", l_linenumber % 4 AS k, l_quantity > 25 AS bare, l_returnflag, l_linestatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 9 <> 0)
+SELECT o_orderkey AS plan, NULL::INT AS "at", CASE WHEN o_orderkey % 9 = 0 THEN 'unsupported_version' ELSE 'empty_plan' END AS code, NULL AS field FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT plan, "at", 'missing_field', CASE WHEN k < 2 THEN 'target' ELSE 'path' END FROM l WHERE k < 3 AND bare UNION ALL SELECT plan, "at", 'missing_field', 'key' FROM l WHERE k < 2 AND coalesce(l_returnflag, 'R') = 'R'
+UNION ALL SELECT plan, "at", 'missing_field', 'frontmatter' FROM l WHERE k = 2 AND coalesce(l_linestatus, '') <> 'O' UNION ALL SELECT plan, "at", 'missing_field', 'value' FROM l WHERE k = 0 AND l_returnflag IS NULL
+UNION ALL SELECT plan, "at", 'missing_field', 'type' FROM l WHERE k = 2 AND l_returnflag IS NULL UNION ALL SELECT plan, "at", 'unknown_type', 'type' FROM l WHERE k = 2 AND l_returnflag NOT LIKE '%A%' UNION ALL SELECT plan, "at", 'unknown_operation', 'op' FROM l WHERE k = 3""",
+    "created_notes": f"""WITH {_D}, x AS (SELECT *, doc_id - doc_id % 2 AS p, row_number() OVER (PARTITION BY doc_id - doc_id % 2 ORDER BY doc_id) > 1 OR doc_id - doc_id % 2 IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 0) AS bad FROM d)
+SELECT concat('d/n', p, '.md') AS path, doc_id AS "at", CASE WHEN NOT bad THEN concat(source, '-n', p) END AS id, CASE WHEN NOT bad THEN sha256(concat(E'---\\nid: ', source, '-n', p, E'\\nlang: ', lang, E'\\ntype: ', source, E'\\n---\\n', CASE WHEN coalesce(text, '') = '' THEN '' ELSE concat(E'\\n', text, CASE WHEN text LIKE E'%\\n' THEN '' ELSE E'\\n' END) END)) END AS content, CASE WHEN bad THEN 'path_exists' END AS error FROM x""",
 }
