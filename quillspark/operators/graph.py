@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..shared import cut
 from .traversal import traverse
 
 
@@ -54,24 +55,53 @@ def neighbours(edges: DataFrame, start, depth: int, max_nodes: int | None = None
     return traverse(edges.select("src", "dst", *filled), starts, depth, max_nodes, confidence).select("id", "distance", "parent", "n")
 
 
-def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None) -> DataFrame:
+def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None, digits: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """(a, b, weight, n_tags) of notes a < b whose common tags' ln(N / df) reach a sum. Tags (id, tag); null ids and tags link nothing, repeated ones are one.
 
+    digits round the weights that are given. With of (id) every pair is given both ways, of those ways the ones that lead from a note of these.
+
     A note's tags lie by falling weight, and it is looked up by those only from which on its weights still reach the threshold: the heaviest
     common tag of two notes that belong together is among them on both sides, so that common tags, the lightest, make few pairs. A pair is
-    weighed where that tag is met and nowhere else, so pairs need no second shuffle.
+    weighed where that tag is met and nowhere else, so pairs need no second shuffle. Each note brings 128 bits of its other tags along. Two
+    notes without a common bit share the met tag alone, whose weight is the pair's; lists of tags are compared for the others only.
     """
     tags = tags.select("id", "tag").filter("id is not null and tag is not null").distinct()
     df = tags.groupBy("tag").agg(F.count("*").alias("df"))
     df = df.withColumn("total", F.lit(n)) if n is not None else df.crossJoin(F.broadcast(tags.agg(F.count_distinct("id").alias("total"))))
+    # each tag is one of 128 bits
+    place = F.pmod(F.xxhash64("tag"), F.lit(128)).cast("int")
+    none, bit = F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), place)  # modulo 64
     weighed = tags.join(df.select("tag", F.log(F.col("total") / F.col("df")).alias("w")), "tag")
-    notes = weighed.groupBy("id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("w", "tag")))).alias("own"))
-    total = lambda items: F.aggregate(items, F.lit(0.0), lambda s, x: s + x["w"])
-    leading = F.filter("own", lambda x, i: total(F.slice("own", i + 1, F.size("own"))) >= threshold - 1e-9)
-    looked_up = notes.select("id", "own", F.explode(F.transform(leading, lambda x: x["tag"])).alias("tag"))
-    one, two = (looked_up.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}"), F.col("tag").alias(f"tag_{x}")) for x in "ab")
-    met = one.join(two, (F.col("tag_a") == F.col("tag_b")) & (F.col("a") < F.col("b"))).select("a", "b", "tag_a", F.array_intersect("own_a", "own_b").alias("common"))
-    return met.filter(F.col("common")[0]["tag"] == F.col("tag_a")).select("a", "b", total(F.col("common")).alias("weight"), F.size("common").cast("long").alias("n_tags")).filter(F.col("weight") >= threshold)
+    weighed = weighed.select("id", "w", "tag", F.when(place < 64, bit).otherwise(none).alias("low"), F.when(place >= 64, bit).otherwise(none).alias("high"))
+    notes = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "tag", "low", "high"))).alias("own"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+    notes = notes.withColumn("asked", F.lit(True)) if of is None else notes.join(of.select("id", F.lit(True).alias("asked")).distinct(), "id", "left")
+    shown = lambda w: w if digits is None else F.round(w, digits)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    reached = lambda s, x: s["sum"] + F.greatest(x["w"], F.lit(0.0))
+    light = F.aggregate("own", start, lambda s, x: F.struct(reached(s, x).alias("sum"), (s["n"] + F.when(reached(s, x) < threshold - 1e-9, 1).otherwise(0)).alias("n")), lambda s: s["n"])
+    # the met tag's own bit goes, unless another tag may have it too
+    single = F.bit_count("low") + F.bit_count("high") == F.size("own")
+    others = lambda x, c: F.when(F.col("single"), F.col(c).bitwiseXOR(x[c])).otherwise(F.col(c))
+    met = F.transform(F.slice("own", F.col("light") + 1, F.size("own")), lambda x: F.struct(x["tag"].alias("tag"), x["w"].alias("w"), others(x, "low").alias("low"), others(x, "high").alias("high")))
+    notes = notes.withColumns({"light": light, "single": single}).filter("light < size(own)")
+    looked_up = notes.select("id", "asked", F.reverse("own.tag").alias("tags"), F.reverse("own.w").alias("ws"), F.explode(met).alias("x")).select("id", "asked", "tags", "ws", "x.*")
+    looked_up = cut(looked_up.withColumn("shown", shown(F.col("w"))))  # read by both kinds of pairs
+
+    a, b = (lambda c: F.col("a." + c)), (lambda c: F.col("b." + c))
+    shared_bits = a("low").bitwiseAND(b("low")).bitwiseOR(a("high").bitwiseAND(b("high"))) != 0
+    apart = a("id") < b("id") if of is None else a("id") != b("id")
+    first = looked_up if of is None else looked_up.filter("asked")
+    pairs = lambda one, two, kept: one.alias("a").join(two.alias("b"), (a("tag") == b("tag")) & F.when(apart, kept))
+    lone = pairs(*(x.filter(F.col("w") >= threshold).select("id", "tag", "low", "high", "shown") for x in (first, looked_up)), ~shared_bits)
+    lone = lone.select(a("id").alias("a"), b("id").alias("b"), a("shown").alias("weight"), F.lit(1).cast("long").alias("n_tags"))
+    # lists are compared where bits are common, and looked through behind explode for those pairs only
+    common = F.array_intersect("a.tags", "b.tags")
+    several = pairs(first, looked_up, shared_bits & F.when(a("w") < threshold, F.size(common) > 1).otherwise(True))
+    several = several.select(a("id").alias("a"), b("id").alias("b"), a("tag").alias("tag"), a("tags").alias("tags"), a("ws").alias("ws"), F.explode(F.array(common)).alias("common"))
+    several = several.filter(F.col("common")[0] == F.col("tag"))
+    weight = F.aggregate("common", F.lit(0.0), lambda s, t: s + F.element_at("ws", F.array_position("tags", t).cast("int")))
+    several = several.select("a", "b", weight.alias("weight"), F.size("common").cast("long").alias("n_tags")).filter(F.col("weight") >= threshold)
+    return lone.union(several.withColumn("weight", shown(F.col("weight"))))
 
 
 def resolve_links(links: DataFrame, passes: list[DataFrame]) -> DataFrame:

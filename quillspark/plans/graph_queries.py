@@ -52,7 +52,7 @@ def recall(spark, d):
 
 def tag_overlap_edges(spark, d):
     tags = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("tag"))
-    return G.tag_overlap(tags, 12.0).select("a", "b", "n_tags", F.round("weight", 6).alias("weight"))
+    return G.tag_overlap(tags, 12.0, digits=6).select("a", "b", "n_tags", "weight")
 
 
 def _links(spark, d):
