@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let, tokens
 from ..functions.vectors import chunks, cosine, maxsim, minmax
 from ..shared import cut
+from .nearest import candidates
 
 K1, B, RRF = 1.2, 0.75, 60
 SNIPPET = 32
@@ -180,8 +181,10 @@ def pair_spread(vectors: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
 
 
 def nearest(texts: DataFrame, arcs: DataFrame, k: int = 3, few: str = "arcs") -> DataFrame:
-    """The k nearest arcs (arc_id, arc_v) of each vector (id, v); few: which side is a bounded set, that every part of the other is held against."""
-    scored = (texts.crossJoin(F.broadcast(arcs)) if few == "arcs" else arcs.crossJoin(F.broadcast(texts))).select("id", "arc_id", cosine(F.col("v"), F.col("arc_v")).alias("score"))
+    """The k nearest arcs (arc_id, arc_v) of each vector (id, v); few: which side is a bounded set, that every part of the other is held against.
+
+    All pairs are weighed, block by block; of a block only the k best of each vector go on."""
+    scored = candidates(texts, arcs, k, few)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "arc_id"))).filter(F.col("rank") <= k)
 
 

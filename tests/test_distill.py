@@ -96,6 +96,28 @@ def test_nearest_arcs_of_proposals(spark):
     assert D.annotated(spark.createDataFrame(own, "id long, v array<double>"), spark.createDataFrame([], "arc_id long, arc_v array<double>")).filter("size(nearest) = 0").count() == len(own)
 
 
+def test_nearest_by_blocks_equals_all_pairs(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quillspark.functions.vectors import cosine
+    from quillspark.operators import nearest, retrieval
+
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    r = random.Random(5)
+    vec = lambda n=4: [float(r.randrange(-2, 3)) for _ in range(n)]
+    odd = [None, [], [1.0], [0.0] * 4, [1.0, None, 2.0, 3.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [-0.0, 0.0, 0.0, 0.0]]
+    texts = spark.createDataFrame([(f"t{i}", v) for i, v in enumerate([vec() for _ in range(40)] + odd + odd[:2])], "id string, v array<double>")
+    arcs = spark.createDataFrame([(f"a{i}", v) for i, v in enumerate([vec() for _ in range(30)] + odd + [[1.0, 2.0, 1.0, 1.0]] * 20)], "arc_id string, arc_v array<double>")
+    scored = texts.crossJoin(arcs).select("id", "arc_id", cosine(F.col("v"), F.col("arc_v")).alias("score"))
+    for k, few in ((1, "texts"), (3, "arcs"), (60, "arcs")):
+        want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "arc_id"))).filter(F.col("rank") <= k)
+        assert sorted(map(str, retrieval.nearest(texts, arcs, k, few).collect())) == sorted(map(str, want.collect())), (k, few)
+    assert not retrieval.nearest(texts, arcs.limit(0)).take(1)
+    # pairs that can't be among the first k leave no task
+    assert nearest.candidates(texts, arcs, 1, "arcs").count() < scored.count() / 3
+
+
 def plain_redacted(data):
     try:
         x = json.loads(data)
