@@ -69,19 +69,20 @@ def plan_issues(plans: DataFrame, operations: DataFrame, types: DataFrame) -> Da
     """(plan, at, code, field) of what is wrong with the shape of plans (plan, version) and their operations, at their place `at`.
 
     operations: plan, at, op, target, key, value, fields, section_key, template, path, type, frontmatter; texts, of which an empty one is missing
-    but for value and frontmatter, which are missing if null; fields is a map, and an empty one is missing. types: (type), unique. A version other
-    than 1 (unsupported_version) or a plan without operations (empty_plan) is told alone, without a place; null plans are left out."""
+    but for value and frontmatter, which are missing if null; fields is a map, and an empty one is missing. types: (type), unique, a registry
+    that is sent to all tasks, as operations have few types and would meet in as few. A version other than 1 (unsupported_version) or a plan without operations (empty_plan) is told alone, without a place; null plans are left out."""
     supported = plans.filter("plan is not null").select("plan", (F.coalesce("version", F.lit(0)) == VERSION).alias("supported"))
     old = supported.filter("not supported").select("plan", F.lit(None).cast("int").alias("at"), F.lit("unsupported_version").alias("code"), F.lit(None).cast("string").alias("field"))
     good = supported.filter("supported").select("plan")
     empty = good.join(operations.select("plan").distinct(), "plan", "left_anti").select("plan", F.lit(None).cast("int").alias("at"), F.lit("empty_plan").alias("code"), F.lit(None).cast("string").alias("field"))
-    rows = operations.join(good, "plan", "left_semi").join(types.select("type", F.lit(True).alias("known")), "type", "left")
+    rows = operations.join(F.broadcast(types.select("type", F.lit(True).alias("known"))), "type", "left")
     lacks = lambda f: F.col(f).isNull() if f in ("value", "frontmatter") else (F.coalesce(F.size("fields"), F.lit(0)) <= 0) if f == "fields" else (F.coalesce(F.col(f), F.lit("")) == "")
     issue = lambda code, field: F.struct(F.lit(code).alias("code"), F.lit(field).cast("string").alias("field"))
     told = [F.when((F.col("op") == op) & lacks(f), issue("missing_field", f)) for op, fields in REQUIRED.items() for f in fields]
     told += [F.when((F.col("op") == "note_create") & ~lacks("type") & F.col("known").isNull(), issue("unknown_type", "type"))]
     told += [F.when(~F.coalesce(F.col("op").isin(*REQUIRED), F.lit(False)), issue("unknown_operation", "op"))]
-    found = rows.select("plan", "at", F.explode(F.filter(F.array(*told), lambda x: x.isNotNull())).alias("x")).select("plan", "at", "x.code", "x.field")
+    faulty = rows.select("plan", "at", F.filter(F.array(*told), lambda x: x.isNotNull()).alias("issues")).filter("size(issues) > 0")  # alone of all fields they are shuffled
+    found = faulty.join(good, "plan", "left_semi").select("plan", "at", F.explode("issues").alias("x")).select("plan", "at", "x.code", "x.field")
     return old.union(empty).union(found)
 
 

@@ -69,3 +69,14 @@ def test_paths_and_collections(spark):
     files = ["x/.c/f", "x/y/.c/f", "z/w/.c", "a/b/c/d/.c/f", "a/b/c/d2/e/.c/f", "n.md", "q/.cc/f"]
     roots = lambda more: {x.root for x in P.collections(spark.createDataFrame([(p,) for p in files + more] + [(None,)], "path string"), ".c").collect()}
     assert roots([]) == {"x", "z/w", "a/b/c/d"} and roots([".c/f"]) == {""}
+
+
+def test_operations_do_not_meet_by_their_type(spark):
+    ops = spark.range(100).selectExpr("id % 9 AS plan", "id AS at", "'note_create' AS op", "'t' AS target", "'k' AS key", "'v' AS value", "map('a', 'b') AS fields", "'s' AS section_key", "'m' AS template", "'p' AS path", "'few' AS type", "map('a', 'b') AS frontmatter")
+    found = P.plan_issues(spark.range(9).selectExpr("id AS plan", "1 AS version"), ops, spark.range(1).selectExpr("'other' AS type"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of unknown or great size
+    try:
+        assert "hashpartitioning(type" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.filter("code = 'unknown_type'").count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
