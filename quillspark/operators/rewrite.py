@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 # A link without an anchor, with an optional text to show, and the frontmatter before a body.
 LINK = r"\[\[([^\]|#]+)(\|([^\]]*))?\]\]"
 FRONT = r"(?s)\A(---.*?\n---\n?)"
@@ -41,6 +43,7 @@ def fixed(files: DataFrame, notes: DataFrame, aliases: DataFrame) -> DataFrame:
     files: path, content; paths are unique and null contents have no links. A link whose target is a known name other
     than its file's gets the file's name and shows what it showed before. Frontmatter and all else stay as they are.
     """
+    files = cut(files.select("path", "content"))  # read for the links' targets, then for the bodies
     front = F.regexp_extract("content", FRONT, 1)
     split = files.select("path", front.alias("front"), F.substring(F.col("content"), F.length(front) + 1, F.length("content")).alias("body"))
     split = split.filter(F.contains("body", F.lit("[[")))

@@ -39,3 +39,19 @@ def test_links_lead_to_files(spark):
     got = {x.path: (x.content, [tuple(k) for k in x.links], x.n_fixed) for x in W.fixed(spark.createDataFrame(rows, "path string, content string"), spark.createDataFrame(notes, "id string, title string, path string"), spark.createDataFrame(aliases, "id string, alias string")).collect()}
     want = {p: (*plain(t, names), len(plain(t, names)[1])) for p, t in rows if t is not None and plain(t, names)[1]}
     assert got == want and len(want) > 60
+
+
+def test_bodies_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        calls.add(1)
+        return text
+
+    files = spark.range(10).select(F.concat(F.lit("p"), "id").alias("path"), told(F.lit("see [[a]]")).alias("content"))
+    notes = spark.createDataFrame([("n", "a", "x/file.md")], "id string, title string, path string")
+    found = W.fixed(files, notes, notes.select("id", F.lit(None).cast("string").alias("alias")))
+    assert {x.content for x in found.collect()} == {"see [[file|a]]"} and calls.value == 10
