@@ -60,48 +60,79 @@ def tag_overlap(tags: DataFrame, threshold: float, n: int | None = None, digits:
 
     digits round the weights that are given. With of (id) every pair is given both ways, of those ways the ones that lead from a note of these.
 
-    A note's tags lie by falling weight, and it is looked up by those only from which on its weights still reach the threshold: the heaviest
-    common tag of two notes that belong together is among them on both sides, so that common tags, the lightest, make few pairs. A pair is
-    weighed where that tag is met and nowhere else, so pairs need no second shuffle. Each note brings 128 bits of its other tags along. Two
-    notes without a common bit share the met tag alone, whose weight is the pair's; lists of tags are compared for the others only.
+    A tag is rare if its weight alone reaches the threshold. Only the others, of which there are at most e ** threshold times the tags of a
+    note, are weighed before notes meet. They lie by weight, and a note is looked up by its rare tags and by those from which on its weights
+    still reach the threshold: the heaviest common tag of two notes that belong together is among them on both sides.
+
+    Notes go to their tags once, with 64 bits of all other tags, 16 bits of each other rare one, and the tags that aren't rare as they are.
+    Two notes that share nothing of these share the met tag alone and are a result there, without a shuffle of pairs. The others bring a rare
+    tag's weight from where they meet it, and the rest's from any of these places; these are summed, so equal bits of other tags add nothing.
     """
-    tags = tags.select("id", "tag").filter("id is not null and tag is not null").distinct()
-    df = tags.groupBy("tag").agg(F.count("*").alias("df"))
-    df = df.withColumn("total", F.lit(n)) if n is not None else df.crossJoin(F.broadcast(tags.agg(F.count_distinct("id").alias("total"))))
-    # each tag is one of 128 bits
-    place = F.pmod(F.xxhash64("tag"), F.lit(128)).cast("int")
-    none, bit = F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), place)  # modulo 64
-    weighed = tags.join(df.select("tag", F.log(F.col("total") / F.col("df")).alias("w")), "tag")
-    weighed = weighed.select("id", "w", "tag", F.when(place < 64, bit).otherwise(none).alias("low"), F.when(place >= 64, bit).otherwise(none).alias("high"))
-    notes = weighed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", "tag", "low", "high"))).alias("own"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
-    notes = notes.withColumn("asked", F.lit(True)) if of is None else notes.join(of.select("id", F.lit(True).alias("asked")).distinct(), "id", "left")
-    shown = lambda w: w if digits is None else F.round(w, digits)
+    tags = tags.select("id", "tag").filter("id is not null and tag is not null")
+    total = F.lit(tags.agg(F.count_distinct("id")).first()[0] if n is None else n)
+    weight = lambda count: F.log(total / count)
+    # repeated tags only make a tag seem less rare, so that few are left to be counted without them
+    often = cut(tags.groupBy("tag").count().filter(weight(F.col("count")) < threshold).select("tag"))
+    common = cut(tags.join(often, "tag", "left_semi").distinct().groupBy("tag").count().select("tag", weight(F.col("count")).alias("w")).filter(F.col("w") < threshold))
+
+    short, bit = (F.pmod(F.xxhash64("tag"), F.lit(1 << 16)) - (1 << 15)).cast("short"), lambda tag: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(tag), F.lit(64)).cast("int"))
+    own = tags.repartition("id").join(common, "tag", "left")
+    known = F.col("w").isNotNull()
+    notes = own.groupBy("id").agg(
+        F.collect_set(F.when(~known, F.struct("tag", short.alias("bits")))).alias("rare"),
+        F.sort_array(F.collect_set(F.when(known, F.struct("w", "tag")))).alias("common"),
+        F.bit_or(bit("tag")).alias("mask"),
+    )
+    notes = notes.withColumn("asked", F.lit(True)) if of is None else notes.join(of.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
     reached = lambda s, x: s["sum"] + F.greatest(x["w"], F.lit(0.0))
-    light = F.aggregate("own", start, lambda s, x: F.struct(reached(s, x).alias("sum"), (s["n"] + F.when(reached(s, x) < threshold - 1e-9, 1).otherwise(0)).alias("n")), lambda s: s["n"])
-    # the met tag's own bit goes, unless another tag may have it too
-    single = F.bit_count("low") + F.bit_count("high") == F.size("own")
-    others = lambda x, c: F.when(F.col("single"), F.col(c).bitwiseXOR(x[c])).otherwise(F.col(c))
-    met = F.transform(F.slice("own", F.col("light") + 1, F.size("own")), lambda x: F.struct(x["tag"].alias("tag"), x["w"].alias("w"), others(x, "low").alias("low"), others(x, "high").alias("high")))
-    notes = notes.withColumns({"light": light, "single": single}).filter("light < size(own)")
-    looked_up = notes.select("id", "asked", F.reverse("own.tag").alias("tags"), F.reverse("own.w").alias("ws"), F.explode(met).alias("x")).select("id", "asked", "tags", "ws", "x.*")
-    looked_up = cut(looked_up.withColumn("shown", shown(F.col("w"))))  # read by both kinds of pairs
-
+    light = F.aggregate("common", start, lambda s, x: F.struct(reached(s, x).alias("sum"), (s["n"] + F.when(reached(s, x) < threshold - 1e-9, 1).otherwise(0)).alias("n")), lambda s: s["n"])
+    notes = notes.withColumns({"light": light, "n_rare": F.size("rare"), "n": F.size("rare") + F.size("common"), "tags": F.col("rare.tag"), "every": F.col("rare.bits")})
+    met = notes.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).filter("i < n_rare or i >= n_rare + light")
+    of_rare, i, n = F.col("i") < F.col("n_rare"), F.col("i"), F.col("n_rare")
+    met = met.withColumn("x", F.when(~of_rare, F.get("common", i - n))).withColumn("tag", F.when(of_rare, F.get("tags", i)).otherwise(F.col("x.tag")))
+    looked_up = met.select(
+        "id",
+        "asked",
+        "tag",
+        F.col("x.w").alias("w"),
+        # the met tag's own bit goes, unless another tag has it too
+        F.when(F.bit_count("mask") == F.col("n"), F.col("mask").bitwiseXOR(bit("tag"))).otherwise(F.col("mask")).alias("mask"),
+        F.when(of_rare, F.concat(F.slice("every", F.lit(1), i), F.slice("every", i + 2, n))).otherwise(F.col("every")).alias("bits"),
+        F.when(F.col("n") > n, F.col("common")).alias("common"),
+    )
+
+    # All pairs are made of the same columns, so that what notes bring along is shuffled once
     a, b = (lambda c: F.col("a." + c)), (lambda c: F.col("b." + c))
-    shared_bits = a("low").bitwiseAND(b("low")).bitwiseOR(a("high").bitwiseAND(b("high"))) != 0
-    apart = a("id") < b("id") if of is None else a("id") != b("id")
-    first = looked_up if of is None else looked_up.filter("asked")
-    pairs = lambda one, two, kept: one.alias("a").join(two.alias("b"), (a("tag") == b("tag")) & F.when(apart, kept))
-    lone = pairs(*(x.filter(F.col("w") >= threshold).select("id", "tag", "low", "high", "shown") for x in (first, looked_up)), ~shared_bits)
-    lone = lone.select(a("id").alias("a"), b("id").alias("b"), a("shown").alias("weight"), F.lit(1).cast("long").alias("n_tags"))
-    # lists are compared where bits are common, and looked through behind explode for those pairs only
-    common = F.array_intersect("a.tags", "b.tags")
-    several = pairs(first, looked_up, shared_bits & F.when(a("w") < threshold, F.size(common) > 1).otherwise(True))
-    several = several.select(a("id").alias("a"), b("id").alias("b"), a("tag").alias("tag"), a("tags").alias("tags"), a("ws").alias("ws"), F.explode(F.array(common)).alias("common"))
-    several = several.filter(F.col("common")[0] == F.col("tag"))
-    weight = F.aggregate("common", F.lit(0.0), lambda s, t: s + F.element_at("ws", F.array_position("tags", t).cast("int")))
-    several = several.select("a", "b", weight.alias("weight"), F.size("common").cast("long").alias("n_tags")).filter(F.col("weight") >= threshold)
-    return lone.union(several.withColumn("weight", shown(F.col("weight"))))
+    alone = weight(F.count("*").over(Window.partitionBy("tag")))  # all notes of a rare tag are looked up by it
+    one = looked_up.withColumn("alone", alone).withColumn("shown", F.col("alone") if digits is None else F.round("alone", digits))
+    is_rare = F.greatest(a("w"), b("w")).isNull()
+    shared_bits = a("mask").bitwiseAND(b("mask")) != 0
+    other_rare = shared_bits & F.arrays_overlap(a("bits"), b("bits"))
+    other_common = shared_bits & F.coalesce(F.array_size(a("common")) * F.array_size(b("common")) > 0, F.lit(False))
+    pairs = lambda kept: one.alias("a").join(looked_up.alias("b"), (a("tag") == b("tag")) & F.when(a("id") < b("id"), (a("asked") | b("asked")) & kept))
+    ends = a("id").alias("a"), b("id").alias("b"), a("asked").alias("from_a"), b("asked").alias("from_b")
+    lone = pairs(is_rare & ~other_common & ~other_rare).select(*ends, a("shown").alias("weight"), F.lit(1).cast("long").alias("n_tags"))
+    shared = F.when(other_common, F.array_intersect(a("common"), b("common")))
+    several = pairs(other_common | other_rare).select(*ends, a("tag").alias("tag"), is_rare.alias("is_rare"), other_rare.alias("more"), a("alone").alias("alone"), F.explode(F.array(shared)).alias("shared"))
+    rest = F.coalesce(F.aggregate("shared", F.lit(0.0), lambda s, x: s + x["w"]), F.lit(0.0))
+    several = several.filter(F.col("is_rare") | (F.get("shared", F.size("shared") - 1)["tag"] == F.col("tag"))).withColumn("rest", rest)
+    several = several.filter(F.col("is_rare") | F.col("more") | (F.col("rest") >= threshold))
+    several = several.groupBy("a", "b", "from_a", "from_b").agg(
+        (F.coalesce(F.sum(F.when(F.col("is_rare"), F.col("alone"))), F.lit(0.0)) + F.max("rest")).alias("weight"),
+        (F.count(F.when(F.col("is_rare"), 1)) + F.max(F.coalesce(F.array_size("shared"), F.lit(0)))).alias("n_tags"),
+    )
+    several = several.filter(F.col("weight") >= threshold)
+    several = several if digits is None else several.withColumn("weight", F.round("weight", digits))
+
+    def ways(df: DataFrame) -> DataFrame:
+        if of is None:
+            return df.select("a", "b", "weight", "n_tags")
+        there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        some = F.when(F.col("from_a") & F.col("from_b"), F.array(there, back)).when(F.col("from_a"), F.array(there)).otherwise(F.array(back))
+        return df.select(F.explode(some).alias("x"), "weight", "n_tags").select("x.*", "weight", "n_tags")
+
+    return ways(lone).union(ways(several))
 
 
 def resolve_links(links: DataFrame, passes: list[DataFrame]) -> DataFrame:
